@@ -59,7 +59,7 @@ def sample_by_hash(df: DataFrame, key: Column, group: str, per_group: int, seed:
     return df.join(F.broadcast(rates), group).where(unit_hash(F.lit(seed), key) < F.col("_rate")).drop("_rate")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``limit`` bytes of text, at least one row."""
     for batch in batches:
         total = start = 0

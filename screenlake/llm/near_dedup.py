@@ -7,9 +7,11 @@ random sequence of bins. ROWS bins make a band; documents that agree on a band s
 1. Documents with the same set are one class, represented by the smallest id.
 2. In each bucket every representative is paired with the bucket's smallest only (a star), so pairs grow
    with the rows, not with their square. Pairs are confirmed on full sets and joined to components.
-3. What a star can miss lies in buckets that still hold several components. There, members outside the
-   bucket's most frequent component meet all members, in blocks of bounded size, pairs whose sketches
-   rule out the similarity are left out, and the rest is confirmed on full sets as well.
+3. What a star can miss lies in buckets that still hold several components. Only their members' full
+   sets are kept. In STAR_ROUNDS more stars, each bucket takes another centre, from its most frequent
+   component, for the members outside it.
+4. What is then still outside meets all members of its buckets, in blocks of bounded size; pairs that a
+   finer sketch rules out are left out, and the rest is confirmed on full sets as well.
 
 No bucket is capped. A link between two texts is lost only if no band agrees: at similarity 0.8 with
 BANDS = 24 and ROWS = 4, one in 300,000.
@@ -37,7 +39,10 @@ from .components import components
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
 BLOCK = 512
+STAR_ROUNDS = 1
+FINE = 512
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS)[:-1].astype(np.uint64)
+_FINE_EDGES = (np.arange(FINE + 1, dtype=object) * (1 << 64) // FINE)[:-1].astype(np.uint64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -172,19 +177,74 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col: s
         return staged(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "confirmed")
 
 
-def leftovers(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in the same bucket whose sketches allow the similarity.
+def fine_sketch(shingles: np.ndarray) -> np.ndarray:
+    """FINE bins of a byte each: 1 to 255 from the bin's least hash, 0 for an empty bin."""
+    at = np.searchsorted(shingles, _FINE_EDGES)
+    full = at < np.append(at[1:], len(shingles))
+    return np.where(full, shingles[np.minimum(at, len(shingles) - 1)] % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8)
 
-    ``members``: (key, doc_id, component, mins, n_shingles) of buckets that hold several components.
+
+def may_reach(a: np.ndarray, b: np.ndarray, na: int, nb: np.ndarray, least: float) -> np.ndarray:
+    """Whether fine sketches leave a similarity of ``least`` possible, with 5 deviations of room.
+
+    A non-empty bin is a draw without replacement from the union of the sets.
+    """
+    used = np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
+    same = ((a == b) & (a > 0)).sum(axis=1) / used
+    drawn = np.minimum(1.0, used * (1 + least) / (na + nb))
+    room = 5 * np.sqrt(least * (1 - least) / used * (1 - drawn) + 1e-4)
+    return (same >= least - room) & (np.minimum(na, nb) >= least * np.maximum(na, nb))
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, size, shingles, fine) of the documents in ``ids`` (doc_id), a row for each of their rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            sets = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
+            fine = [fine_sketch(s).tobytes() if len(s) else bytes(FINE) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "size", "shingles", "fine"])
+
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id bigint, size bigint, shingles binary, fine binary")
+
+
+def confirmed_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """As ``confirmed``, from the sets themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    with arrow_rows(pairs.sparkSession, 512):
+        return staged(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "confirmed")
+
+
+def several(members: DataFrame) -> DataFrame:
+    """(key, main, n, outside, centre) of the buckets of ``members`` (key, doc_id, component) with several components."""
+    by = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "key", "component")).alias("centre"))
+    sizes = by.groupBy("key").agg(F.max_by(F.struct("component", "centre"), F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside"))
+    return sizes.where("outside > 0").select("key", F.col("top.component").alias("main"), F.col("top.centre").alias("centre"), "n", "outside")
+
+
+def leftovers(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in the same bucket whose fine sketches allow the similarity.
+
+    ``members``: (key, doc_id, component) of buckets.
     """
-    spark = members.sparkSession
-    by = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = staged(by.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside")), "sizes")
+    sizes = staged(several(members), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    joined = members.join(sizes, "key").withColumn("rb", F.ceil(F.col("n") / BLOCK)).withColumn("lb", F.ceil(F.col("outside") / BLOCK))
+    joined = members.join(sizes, "key").join(sets.select("doc_id", "size", "fine"), "doc_id")
+    joined = joined.withColumn("rb", F.ceil(F.col("n") / BLOCK)).withColumn("lb", F.ceil(F.col("outside") / BLOCK))
     number = lambda salt, of: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(of) - 1))
-    payload = ["key", "doc_id", "component", "mins", "n_shingles"]
+    payload = ["key", "doc_id", "component", "fine", "size"]
     left = joined.where("component <> main").select(*payload, F.lit(True).alias("left"), number("left", "lb").alias("l"), every("rb").alias("r"))
     right = joined.select(*payload, F.lit(False).alias("left"), number("right", "rb").alias("r"), every("lb").alias("l"))
     groups = max(1, int(total // 4096))
@@ -195,12 +255,14 @@ def leftovers(members: DataFrame, percent: int) -> DataFrame:
             sides = [bucket[bucket["left"]], bucket[~bucket["left"]]]
             if not len(sides[0]) or not len(sides[1]):
                 continue
-            (ma, mb), (ia, ib), (ca, cb), (na, nb) = ([np.frombuffer(b"".join(s["mins"]), dtype=np.uint16).reshape(-1, BINS) for s in sides], *([s[c].to_numpy() for s in sides] for c in ("doc_id", "component", "n_shingles")))
+            fa, fb = (np.frombuffer(b"".join(s["fine"]), dtype=np.uint8).reshape(-1, FINE) for s in sides)
+            (ia, ib), (ca, cb), (na, nb) = ([s[c].to_numpy() for s in sides] for c in ("doc_id", "component", "size"))
             for i in range(len(ia)):
-                at = np.flatnonzero((cb != ca[i]) & plausible(ma[i], mb, na[i], nb, percent / 100))
+                at = np.flatnonzero(cb != ca[i])
+                at = at[may_reach(fa[i], fb[at], na[i], nb[at], percent / 100)]
                 out.append(np.stack([np.minimum(ia[i], ib[at]), np.maximum(ia[i], ib[at])], axis=1))
         pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).drop_duplicates()
 
     both = left.unionByName(right).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)))
     return both.groupBy("g", "l", "r").applyInPandas(meet, "a bigint, b bigint").distinct()
@@ -218,15 +280,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     pairs = staged(likely(star, reps, percent).distinct(), "pairs")
     links = confirmed(pairs, docs, n, percent, id_col, text_col)
     first = components(links)
-    labelled = reps.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    spread = staged(labelled.select("doc_id", "component", F.explode("keys").alias("key")).join(centres.select("key"), "key"), "buckets")
-    several = spread.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    members = staged(spread.join(several, "key").join(reps.select("doc_id", "mins", "n_shingles"), "doc_id").select("key", "doc_id", "component", "mins", "n_shingles"), "members")
-    tried = leftovers(members, percent).join(pairs, ["a", "b"], "left_anti")
-    more = confirmed(staged(tried, "pairs"), docs, n, percent, id_col, text_col)
+    label = first
+    spread = staged(buckets.join(centres.select("key"), "key"), "buckets")
+    members, sets, own = spread, None, first.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    for step in range(STAR_ROUNDS + 1):
+        known = label.select(F.col("node").alias("doc_id"), "component")
+        named = members.select("key", "doc_id").join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        split = staged(several(named), "several")
+        members = staged(named.join(split.select("key"), "key", "left_semi"), "members")
+        if sets is None:
+            sets = staged(full_sets(docs, members.select("doc_id").distinct(), n, id_col, text_col), "sets")
+        if step < STAR_ROUNDS:
+            star = members.join(split, "key").where("component <> main").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+        else:
+            star = leftovers(members, sets, percent)
+        more = confirmed_sets(staged(star, "pairs"), sets, percent)
+        own = own.unionByName(more)
+        if step < STAR_ROUNDS:
+            label = components(own)
     copies = some.select("doc_id", "set_key").join(reps.select("set_key", F.col("doc_id").alias("rep")), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    own = first.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    label = components(own.unionByName(more).unionByName(copies))
+    label = components(own.unionByName(copies))
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     out = sketched.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", component)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -39,7 +39,7 @@ class PieceEncoder:
     either, for pieces that don't hold it; new pieces are then encoded many at a time.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000, separator: str = "\n"):
+    def __init__(self, path: str, limit: int = 1_000_000, separator: str = "\n"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
