@@ -187,9 +187,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                     walks = forest.walk(aimed(v), first, last, radius)
                     row = np.repeat(np.arange(len(v)), [len(w) for w in walks])
                     pairs = np.array([p for w in walks for p in w], dtype=np.int32).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), batch.column("key").take(pa.array(row)), batch.column("v").take(pa.array(row))], ["tree", "leaf", "key", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(batch.column(c).take(pa.array(row)) for c in ("key", "v", "known"))], ["tree", "leaf", "key", "v", "known"])
 
-        return frame.select("key", "v", "radius").mapInArrow(run, "tree int, leaf int, key string, v array<double>")
+        return frame.select("key", "v", "radius", "known").mapInArrow(run, "tree int, leaf int, key string, v array<double>, known double")
 
     def rank_leaf(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
@@ -201,6 +201,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             rough = mine @ a.T
             n = min(k + 1, rough.shape[1])
             least = -np.partition(-rough, n - 1, axis=1)[:, n - 1]
+            least = np.maximum(least, part["known"].to_numpy())  # k + 1 at least as near are known already
             i, j = np.nonzero(rough >= (least - 1e-9 * np.abs(rough).max(axis=1))[:, None])  # with what ties with the last
             exact = np.einsum("ij,ij->i", mine[i], a[j])  # the same sum for a pair wherever it is met
             out.append(pd.DataFrame({"key": part["key"].to_numpy()[i], "score": exact, "ids": held[j]}))
@@ -213,12 +214,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
         return flat.withColumn("_r", order).where(F.col("_r") <= k + 1).drop("_r")
 
-    near = staged(ranked(visits(queries.withColumn("radius", F.lit(float("inf"))), 0, low)), "near")
+    near = staged(ranked(visits(queries.withColumns({"radius": F.lit(float("inf")), "known": F.lit(float("-inf"))}), 0, low)), "near")
     # squared distance of the k-th found, with |query| = 1 and |x| <= 1: 2 - 2 cos
     kth = near.groupBy("key").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    radius = F.when(F.coalesce(F.col("n"), F.lit(0)) <= k, F.lit(float("inf"))).otherwise(2 - 2 * F.col("s") / (length * float(np.sqrt(norm2))))
-    far = ranked(visits(queries.join(kth, "key", "left").select("key", "v", radius.alias("radius")), low, high))
+    few = F.coalesce(F.col("n"), F.lit(0)) <= k
+    radius = F.when(few, F.lit(float("inf"))).otherwise(2 - 2 * F.col("s") / (length * float(np.sqrt(norm2))))
+    known = F.when(few, F.lit(float("-inf"))).otherwise(F.col("s"))
+    far = ranked(visits(queries.join(kth, "key", "left").select("key", "v", radius.alias("radius"), known.alias("known")), low, high))
     both = near.unionByName(far).groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     own = good.where(is_query).select(F.col("vec_id").alias("query_id"), vector_key().alias("key")).dropDuplicates(["query_id"])
     pairs = own.select("query_id", "key").join(both, "key").where("query_id != vec_id")
