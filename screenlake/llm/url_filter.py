@@ -53,11 +53,13 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """(host, rank): personalised PageRank over ``edges`` (src, dst, n) from ``seeds`` (host, seed summing to 1).
 
-    What hosts without links hold flows back to the seeds. Ranks are written every five rounds.
+    What hosts without links hold flows back to the seeds. Ranks are written every other round.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = staged(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
     ranks = seeds.select("host", F.col("seed").alias("rank"))
+    if shares.isEmpty():  # all of it flows back in every round
+        return ranks
     for k in range(iterations):
         flow = ranks.join(shares, ranks["host"] == shares["src"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("x"))
         # all flow is at most ``damping``; what is missing to 1 starts again from the seeds
@@ -65,7 +67,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterati
         moved = arrived.agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("moved"))
         restart = seeds.crossJoin(F.broadcast(moved)).select("host", (F.col("seed") * (1 - F.col("moved"))).alias("x"))  # one row on the right
         ranks = arrived.unionByName(restart).groupBy("host").agg(F.sum("x").alias("rank"))
-        if k % 5 == 4 or k == iterations - 1:
+        if k % 2 or k == iterations - 1:
             ranks = staged(ranks, "ranks")
     return ranks
 
