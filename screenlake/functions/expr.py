@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Z95 = 1.959963984540054
 ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
@@ -40,7 +41,7 @@ def fold_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_accents_full(text):
     """NFKD, then only what is ASCII; no built-in function decomposes."""
     import unicodedata

@@ -88,6 +88,7 @@ CODE_NAMES = "code_names AS (SELECT (r_regionkey + 10)::VARCHAR AS code, r_name
 
 
 def wilson_sql(hits: str = "hits", n: str = "n") -> str:
+    # + 0.0: no negative zero
     z, p = "1.959963984540054", f"({hits}::DOUBLE / {n})"
     centre, half, den = f"({p} + {z} * {z} / 2 / {n})", f"({z} * sqrt({p} * (1 - {p}) / {n} + {z} * {z} / 4 / ({n}::DOUBLE * {n})))", f"(1 + {z} * {z} / {n})"
-    return f"round(100 * {p}, 6) AS pct, round(100 * ({centre} - {half}) / {den}, 6) AS ci_low, round(100 * ({centre} + {half}) / {den}, 6) AS ci_high"
+    return f"round(100 * {p}, 6) AS pct, round(100 * ({centre} - {half}) / {den}, 6) + 0.0 AS ci_low, round(100 * ({centre} + {half}) / {den}, 6) AS ci_high"
