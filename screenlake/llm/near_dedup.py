@@ -11,7 +11,8 @@ random sequence of bins. ROWS bins make a band; documents that agree on a band s
    sets are kept. In STAR_ROUNDS more stars, each bucket takes another centre, from its most frequent
    component, for the members outside it.
 4. What is then still outside meets all members of its buckets, in blocks of bounded size; pairs that a
-   finer sketch rules out are left out, and the rest is confirmed on full sets as well.
+   finer sketch rules out are left out, and the rest is confirmed on full sets as well. A pair that
+   shares several buckets is made in one of them only, that of the smallest key.
 
 No bucket is capped. A link between two texts is lost only if no band agrees: at similarity 0.8 with
 BANDS = 24 and ROWS = 4, one in 300,000.
@@ -197,16 +198,20 @@ def may_reach(a: np.ndarray, b: np.ndarray, na: int, nb: np.ndarray, least: floa
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, size, shingles, fine) of the documents in ``ids`` (doc_id), a row for each of their rows."""
+    """(doc_id, size, shingles, fine, own) of the documents in ``ids`` (doc_id), a row for each of their rows.
+
+    ``own``: the keys of the text's buckets, BANDS numbers of 8 bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             sets = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
             fine = [fine_sketch(s).tobytes() if len(s) else bytes(FINE) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "size", "shingles", "fine"])
+            own = [bands(sketch(s)).tobytes() if len(s) else bytes(8 * BANDS) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in ([s.tobytes() for s in sets], fine, own))], ["doc_id", "size", "shingles", "fine", "own"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id bigint, size bigint, shingles binary, fine binary")
+    return texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id bigint, size bigint, shingles binary, fine binary, own binary")
 
 
 def confirmed_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,26 +245,30 @@ def leftovers(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     sizes = staged(several(members), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    joined = members.join(sizes, "key").join(sets.select("doc_id", "size", "fine"), "doc_id")
+    joined = members.join(sizes, "key").join(sets.select("doc_id", "size", "fine", "own"), "doc_id")
     joined = joined.withColumn("rb", F.ceil(F.col("n") / BLOCK)).withColumn("lb", F.ceil(F.col("outside") / BLOCK))
     number = lambda salt, of: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(of) - 1))
-    payload = ["key", "doc_id", "component", "fine", "size"]
+    payload = ["key", "doc_id", "component", "main", "fine", "own", "size"]
     left = joined.where("component <> main").select(*payload, F.lit(True).alias("left"), number("left", "lb").alias("l"), every("rb").alias("r"))
     right = joined.select(*payload, F.lit(False).alias("left"), number("right", "rb").alias("r"), every("lb").alias("l"))
     groups = max(1, int(total // 4096))
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, bucket in frame.groupby("key", sort=False):
+        for key, bucket in frame.groupby("key", sort=False):
             sides = [bucket[bucket["left"]], bucket[~bucket["left"]]]
             if not len(sides[0]) or not len(sides[1]):
                 continue
             fa, fb = (np.frombuffer(b"".join(s["fine"]), dtype=np.uint8).reshape(-1, FINE) for s in sides)
+            ka, kb = (np.frombuffer(b"".join(s["own"]), dtype=np.int64).reshape(-1, BANDS) for s in sides)
             (ia, ib), (ca, cb), (na, nb) = ([s[c].to_numpy() for s in sides] for c in ("doc_id", "component", "size"))
-            for i in range(len(ia)):
-                at = np.flatnonzero(cb != ca[i])
+            outside, here = cb != sides[1]["main"].to_numpy(), (kb == key).any(axis=1)
+            for i in np.flatnonzero((ka == key).any(axis=1)):
+                # two rows outside the main component meet twice, once on either side
+                at = np.flatnonzero(here & (cb != ca[i]) & (~outside | (ib > ia[i])))
                 at = at[may_reach(fa[i], fb[at], na[i], nb[at], percent / 100)]
+                at = at[~np.isin(kb[at], ka[i][ka[i] < key]).any(axis=1)]
                 out.append(np.stack([np.minimum(ia[i], ib[at]), np.maximum(ia[i], ib[at])], axis=1))
         pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).drop_duplicates()
