@@ -133,7 +133,7 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
-    """Fewer rows in each batch for Python, where rows hold two whole texts."""
+    """Fewer rows in each batch for Python, where rows hold two whole sets."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, str(rows))
@@ -156,28 +156,6 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of documents with 100 * intersection >= percent * union of their full sets, as a table."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, str | None, np.ndarray] = (None, None, np.zeros(0, dtype=np.uint64))
-        for batch in batches:
-            keep = []
-            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb"))):
-                if last[0] != a or last[1] != ta:
-                    last = (a, ta, shingle_set(ta, n))
-                other = shingle_set(tb, n)
-                both = len(np.intersect1d(last[2], other, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(last[2]) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("ta"))
-    right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("tb"))
-    with arrow_rows(docs.sparkSession, 256):
-        return staged(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "confirmed")
-
-
 def fine_sketch(shingles: np.ndarray) -> np.ndarray:
     """FINE bins of a byte each: 1 to 255 from the bin's least hash, 0 for an empty bin."""
     at = np.searchsorted(shingles, _FINE_EDGES)
@@ -215,7 +193,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: st
 
 
 def confirmed_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """As ``confirmed``, from the sets themselves."""
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full ``sets``, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +205,7 @@ def confirmed_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    with arrow_rows(pairs.sparkSession, 512):
+    with arrow_rows(pairs.sparkSession, 256):
         return staged(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "confirmed")
 
 
@@ -287,7 +265,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     centres = staged(buckets.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "centres")
     star = buckets.join(centres, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     pairs = staged(likely(star, reps, percent).distinct(), "pairs")
-    links = confirmed(pairs, docs, n, percent, id_col, text_col)
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    links = confirmed_sets(pairs, staged(full_sets(docs, paired, n, id_col, text_col), "sets"), percent)
     first = components(links)
     label = first
     spread = staged(buckets.join(centres.select("key"), "key"), "buckets")
