@@ -42,6 +42,8 @@ BINS = BANDS * ROWS
 BLOCK = 512
 STAR_ROUNDS = 1
 FINE = 512
+#: Up to so many ids (8 bytes each, counted first) are broadcast to pick texts; beyond it the texts are shuffled.
+BROADCAST_IDS = 4_000_000
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS)[:-1].astype(np.uint64)
 _FINE_EDGES = (np.arange(FINE + 1, dtype=object) * (1 << 64) // FINE)[:-1].astype(np.uint64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -178,8 +180,11 @@ def may_reach(a: np.ndarray, b: np.ndarray, na: int, nb: np.ndarray, least: floa
 def full_sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, size, shingles, fine, own) of the documents in ``ids`` (doc_id), a row for each of their rows.
 
-    ``own``: the keys of the text's buckets, BANDS numbers of 8 bytes.
+    ``own``: the keys of the text's buckets, BANDS numbers of 8 bytes. Texts stay where they are read, unless
+    there are more than BROADCAST_IDS ids.
     """
+    ids = staged(ids, "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -189,7 +194,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in ([s.tobytes() for s in sets], fine, own))], ["doc_id", "size", "shingles", "fine", "own"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id bigint, size bigint, shingles binary, fine binary, own binary")
+    return texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id bigint, size bigint, shingles binary, fine binary, own binary")
 
 
 def confirmed_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -196,6 +196,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(docs, 4, 80)
 
 
+def test_texts_are_picked_alike_with_and_without_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j"), (3, None), (None, "a b c d e")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1,), (3,), (9,)], "doc_id long")
+    pick = lambda: sorted((r["doc_id"], r["size"]) for r in near_dedup.full_sets(docs, ids, 4, "doc_id", "text").collect())
+    few = pick()
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    assert few == pick() == [(1, 2), (3, 0)]
+
+
 def test_near_duplicates_of_odd_rows(odd_docs):
     got = near_dedup.near_duplicates(odd_docs).collect()
     assert len(got) == 7 and all(r["kept"] for r in got)
