@@ -6,8 +6,8 @@ Training is back-propagation through time in numpy on the driver, on a sample of
 ``docs_per_language`` documents of each language, of which WINDOWS_A_DOC windows each are read.
 Prediction reads whole texts, in tasks, and needs no shuffle.
 
-Cases: a text that is null or has no letter gets UNKNOWN with score 0; an empty training set makes all
-predictions UNKNOWN; ties go to the language that sorts first; other columns and repeated rows are kept.
+Cases: a text that is null or has no letter gets UNKNOWN with score 0 and is not trained on, so a language
+with no other text is not known to the network; an empty training set makes all predictions UNKNOWN; ties go to the language that sorts first; other columns and repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -184,19 +184,18 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 150) -> LanguageModel:
     """Train on rows with text and language, a bounded sample of them (see above)."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     size = F.length("text")
     pieces = [F.substring(F.col("text"), (F.pmod(F.xxhash64(F.col("text"), F.lit(i)), F.greatest(size - LENGTH, F.lit(1))) + 1).cast("int"), F.lit(LENGTH)) for i in range(WINDOWS_A_DOC)]
     sample = sample_by_hash(rows, F.col("text"), "lang", docs_per_language, "language").select("lang", F.array(*pieces).alias("parts")).collect()
     sample = sorted((r["lang"], list(r["parts"])) for r in sample)
-    languages = sorted({lang for lang, _ in sample})
-    pairs = [(windows(p.encode("utf-8", "replace")[:LENGTH]), languages.index(lang)) for lang, parts in sample for p in parts if LETTER.search(p)]
+    pairs = [(windows(p.encode("utf-8", "replace")[:LENGTH]), lang) for lang, parts in sample for p in parts if LETTER.search(p)]
+    languages = sorted({lang for _, lang in pairs})
     if not pairs:
         return LanguageModel(None)
     network = Network(languages)
-    y = np.array([i for _, i in pairs])
-    if len(set(y.tolist())) == len(languages) > 1:
-        network.train(np.concatenate([x for x, _ in pairs]), y)
+    if len(languages) > 1:
+        network.train(np.concatenate([x for x, _ in pairs]), np.array([languages.index(lang) for _, lang in pairs]))
     return LanguageModel(network)
 
 

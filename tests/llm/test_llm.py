@@ -106,6 +106,17 @@ def test_language_of_odd_rows(odd_docs):
     assert {r["lang_pred"] for r in language_id.predict(odd_docs, language_id.fit(odd_docs.where("false"))).collect()} == {"und"}
 
 
+def test_language_without_letters_leaves_training_whole(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    more = docs.union(spark.createDataFrame([(-1, "", "xx"), (-2, "... 12", "yy")], docs.schema))
+    held = [r for r in docs.where(q.fold(F.col("doc_id")) == 1).collect()]
+    right = []
+    for labelled in (docs, more):
+        names, _ = language_id.fit(labelled.where(q.fold(F.col("doc_id")) != 1)).predict([r["text"] for r in held])
+        right.append(np.mean([r["lang"] == n for r, n in zip(held, names)]))
+    assert right[0] == right[1] > 0.9
+
+
 def test_backpropagation_matches_differences():
     net = language_id.Network(["a", "b"], seed=1)
     side, rng = net.sides[0], np.random.default_rng(0)
