@@ -3,6 +3,7 @@
 A source's mean repetition rate is its target share of all characters over its actual share. Each
 document's number of copies is drawn from the Poisson distribution with its source's rate: a uniform
 number from the md5 of the seed and the document's id is inverted through the distribution function.
+A rate above LARGEST is drawn as the sum of independent draws of equal smaller rates, a hash for each.
 Copies are exploded into rows of their own and the table is shuffled globally by a hash of seed, id and
 copy. All of it is DataFrame functions; only the per-source totals (a row a source) are broadcast.
 
@@ -18,6 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import unit_hash
 
+#: Beyond this rate exp(-rate) is near underflow (the SQL, which makes a single draw, holds up to it); a larger one is drawn in parts of at most PART.
+LARGEST, PART = 700, 500
+#: Copies are numbered in blocks, so that no row holds the numbers of all copies of a document.
+BLOCK = 100_000
+
 #: Terms of the distribution function are summed in blocks of this many; see ``poisson``.
 TERMS = 24
 
@@ -38,14 +44,20 @@ def poisson(rate: Column, uniform: Column, largest: Column | None = None) -> Col
     """The inverse of the Poisson distribution function: the least k whose cumulated probability exceeds ``uniform``.
 
     The sum runs over 0 .. ``largest``, by default so far beyond the rate that what is left out is below
-    2**-52, the step of ``uniform``. Rates above 700 (where exp underflows) are split into equal parts
-    of the exponent by the caller's choice of weights; they are refused with an error.
+    2**-52, the step of ``uniform``. Rates above LARGEST are refused with an error; ``draws`` splits them.
     """
     top = F.ceil(rate + 10 * F.sqrt(rate) + TERMS) if largest is None else largest
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("below"), F.lit(0).cast("bigint").alias("k"))
     step = lambda s, i: F.when(s["below"] > uniform, s).otherwise(F.struct((s["p"] * rate / i).alias("p"), (s["below"] + s["p"] * rate / i).alias("below"), i.cast("bigint").alias("k")))
     draw = F.aggregate(F.sequence(F.lit(1), top.cast("int")), start, step, lambda s: s["k"])
-    return F.when(rate > 700, F.raise_error(F.lit("a repetition rate above 700 cannot be drawn"))).when(rate <= 0, F.lit(0).cast("bigint")).otherwise(draw)
+    return F.when(rate > LARGEST, F.raise_error(F.lit(f"a repetition rate above {LARGEST} cannot be drawn at once"))).when(rate <= 0, F.lit(0).cast("bigint")).otherwise(draw)
+
+
+def draws(rate: Column, *key: Column) -> Column:
+    """The Poisson draw of ``key`` for any rate, a bigint."""
+    parts = F.when(rate > LARGEST, F.ceil(rate / PART)).otherwise(1).cast("int")
+    uniforms = F.when(rate > LARGEST, F.transform(F.sequence(F.lit(1), parts), lambda i: unit_hash(*key, F.lit("part"), i))).otherwise(F.array(unit_hash(*key)))
+    return F.aggregate(uniforms, F.lit(0).cast("bigint"), lambda n, u: n + poisson(rate / parts, u))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -54,8 +66,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     per = rates(docs, weights, default_weight, source_col, text_col).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     drawn = docs.select(*[F.col(f"`{c}`") for c in names]).join(F.broadcast(per), F.col(source_col).eqNullSafe(F.col("_source")))
-    copies = poisson(F.col("_rate"), unit_hash(F.lit(seed), key)).cast("int")
-    some = drawn.withColumn("_n", copies).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    numbered = drawn.withColumn("_n", draws(F.col("_rate"), F.lit(seed), key)).where("_n > 0").withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(BLOCK).cast("bigint"))))
+    some = numbered.withColumn("copy", F.explode(F.sequence(F.col("_from").cast("int"), (F.least(F.col("_from") + BLOCK, "_n") - 1).cast("int"))))
     keyed = some.withColumn("position", F.md5(F.concat_ws("|", F.lit(seed), key, F.col("copy").cast("string"))))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.select(*[F.col(f"`{c}`") for c in names], "copy", "position").repartition(parts, "position").sortWithinPartitions("position")

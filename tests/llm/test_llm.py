@@ -155,6 +155,16 @@ def test_mixing_draws_poisson(spark, odd_docs):
         assert abs(mean - rate) < 0.02
 
 
+def test_mixing_draws_large_rates(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 1000)
+    df = spark.createDataFrame([(0, "a", "one")], "doc_id long, text string, source string").union(spark.range(1, 1001).select("id", F.lit("abcdef"), F.lit("big")))
+    assert mixing.rates(df).where("source = 'one'").first()["rate"] == 3000.5
+    n = {r["source"]: r.asDict() for r in mixing.mix(df).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id", "copy").alias("copies"), F.max("copy").alias("last")).collect()}
+    assert n["one"]["n"] == n["one"]["copies"] == n["one"]["last"] + 1 and abs(n["one"]["n"] - 3000) < 330
+    many = spark.range(400).select(mixing.draws(F.lit(2000.0), F.lit("s"), F.col("id")).alias("n")).agg(F.avg("n"), F.variance("n")).first()
+    assert abs(many[0] - 2000) < 12 and 1400 < many[1] < 2700
+
+
 def test_lm_scores_sum_to_one_and_learn(spark, odd_docs):
     text = " ".join(["red blue green"] * 40)
     docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
