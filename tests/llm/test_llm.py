@@ -182,6 +182,14 @@ def test_lm_scores_sum_to_one_and_learn(spark, odd_docs):
     assert got.count() == 7 and got.where("doc_id = 2").first()["log_prob"] == 0
 
 
+def test_lm_trains_on_every_position(spark):
+    words = [f"w{i:02}" for i in range(16)]
+    for text in ("w00 w01", " ".join(words)):
+        weights = lm_scoring.trained(spark.createDataFrame([(text,)], "text string"), words, lm_scoring.Network().flat())
+        bias = lm_scoring.Network(weights).p["tb"].reshape(-1)
+        assert (bias[: len(text.split())] > 0).all()  # the bias of every token that was trained on rises
+
+
 def brute_components(docs, n, percent):
     ids, sets = [], []
     for i, t in docs:
