@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, language_id, lm_scoring, mixing, near_dedup, quality, token_store, topk, url_filter
-from .common import fold, shared_dir, table
+from .common import fold, shared_dir, staged, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -34,8 +34,9 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known, weights = lm_scoring.fit(docs)
-    return lm_scoring.score(docs, known, weights).select("doc_id", "n_tokens", "log_prob", "log_prob_per_token")
+    counts = staged(lm_scoring.word_counts(docs), "words")
+    known, weights = lm_scoring.fit(docs, counts=counts)
+    return lm_scoring.score(docs, known, weights, counts=counts).select("doc_id", "n_tokens", "log_prob", "log_prob_per_token")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

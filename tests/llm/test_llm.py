@@ -190,6 +190,24 @@ def test_lm_trains_on_every_position(spark):
         assert (bias[: len(text.split())] > 0).all()  # the bias of every token that was trained on rises
 
 
+def test_lm_tells_words_of_one_number_apart(spark, odd_docs):
+    common, by = " ".join(f"c{i:03}" for i in range(lm_scoring.KNOWN)), {}
+    for i in range(9000):
+        by.setdefault(lm_scoring.Numbers([])(f"r{i}")[0], []).append(f"r{i}")
+    often, once, never, *_ = max(by.values(), key=len)
+    rows = [(i, common) for i in range(9)] + [(10, often), (11, often), (12, often), (13, f"{once} c001")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm_scoring.word_counts(docs)
+    known, weights = lm_scoring.fit(docs, counts=counts)
+    judged = spark.createDataFrame([(1, often), (2, once), (3, never), (4, often), (5, f"{often} {often} c001"), (6, None), (6, None), (7, "c001")], docs.schema)
+    plain, got = ({r["doc_id"]: r["log_prob"] for r in lm_scoring.score(judged, known, weights, counts=c).collect()} for c in (None, counts))
+    assert often not in known and once not in known and plain[1] == pytest.approx(plain[2]) == pytest.approx(plain[3])
+    for i, count in ((1, [3]), (2, [1]), (3, [0.5]), (4, [3]), (5, [3, 3]), (6, []), (7, [])):
+        assert got[i] == pytest.approx(plain[i] + sum(np.log(n / 4.5) for n in count))
+    odd = lm_scoring.score(odd_docs, known, weights, counts=counts)
+    assert odd.count() == 7 and odd.columns[: len(odd_docs.columns)] == odd_docs.columns and odd.where("doc_id = 2").first()["log_prob"] == 0
+
+
 def brute_components(docs, n, percent):
     ids, sets = [], []
     for i, t in docs:
