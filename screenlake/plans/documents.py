@@ -126,6 +126,13 @@ def fold_accents(spark, d):
     return o.select("o_orderkey", expr.fold_accents(F.concat(F.lit("Résumé "), (F.col("o_orderkey") % 7).cast("string"))).alias("folded"), expr.fold_accents_full(F.concat(F.lit("École"), F.substring("o_orderpriority", 99, 1))).alias("full_folded"))
 
 
+@query(r"SELECT doc_id, strip_accents(text) AS folded, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS full_folded FROM documents")
+def fold_document_accents(spark, d):
+    """Whole texts; the SQL does for letters whose compatible form is their canonical one, as those of the table."""
+    text = F.col("text")
+    return s.table(spark, d, "documents").select("doc_id", expr.fold_accents(text).alias("folded"), expr.fold_accents_full(text).alias("full_folded"))
+
+
 @query("SELECT doc_id, c[1]::BIGINT AS cited, pos FROM (SELECT doc_id, unnest([[(doc_id + 1)::VARCHAR], [(doc_id * 7)::VARCHAR]]) AS c, unnest([1, 2])::BIGINT AS pos FROM labels) WHERE NOT (doc_id + 1 = doc_id * 7 AND pos = 2)")
 def cited_ids(spark, d):
     i = F.col("doc_id")

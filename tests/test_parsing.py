@@ -1,5 +1,7 @@
 """The response parser on written-out cases, and on corrupted JSON, which must never raise."""
 
+import unicodedata
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -21,6 +23,18 @@ def test_never_raises(spark, texts):
     assert len(df.select(parsing.cascade_score(r), parsing.excerpts(r), parsing.flag(r), parsing.salvaged_field(r, "score", ["excerpts"])).collect()) == len(texts)
 
 
+def test_accents_of_whole_texts(spark, small):
+    from __spark_entry__ import queries
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if ord(c) < 128)
+    got = {r["doc_id"]: r["full_folded"] for r in queries()["fold_document_accents"](spark, small).collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in docs.items()} and any(t and plain(t) != t for t in docs.values())
+    odd = ["ﬁn ½ Å 한 ① ǆ", "", "e\u0301", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", expr.fold_accents_full(F.col("t")).alias("f")).collect()
+    assert {r["i"]: r["f"] for r in rows} == {i: None if t is None else plain(t) for i, t in enumerate(odd)}
+
+
 def test_expressions(spark):
     row = spark.createDataFrame([("0161", " t ", "Énorme", 0, 0)], "c string, l string, a string, h int, n int")
     low, high = expr.wilson(F.col("h").cast("double"), F.col("n").cast("double"))
