@@ -22,6 +22,23 @@ CONTEXT = r"(?is)(?:score|rating|assessment|severity)\D{0,20}(\d{1,3})|(\d{1,3})
 FLAG_KEYS = ("signal", "indicator", "overall_indicator")
 WHOLE_OBJECT = r"(?s)^\s*\{.*\}\s*$"
 
+# The declared response formats: their required fields and types.
+SCORE, REASONING, EXCERPTS = {"score": "int"}, {"reasoning": "string"}, {"excerpts": "array"}
+FORMATS: dict[str, dict[str, str]] = {
+    "Score": SCORE,
+    "ScoreReasoning": SCORE | REASONING,
+    "ScoreReasoningExcerpts": SCORE | REASONING | EXCERPTS,
+    "ScoreReasoningExcerptsTable": SCORE | REASONING | EXCERPTS | {"table": "string"},
+    "SignalReasoning": {"signal": "string"} | REASONING,
+    "SignalScoreReasoning": {"signal": "string"} | SCORE | REASONING,
+    "FlagReasoning": {"signal": "boolean"} | REASONING,
+    "FlagScoreReasoning": {"signal": "boolean"} | SCORE | REASONING,
+    "IndicatorExcerpts": {"indicator": "boolean"} | EXCERPTS,
+    "OverallSignalSeverity": {"overall_indicator": "boolean", "signal": "string"} | EXCERPTS | {"severity_score": "int"} | REASONING,
+    "OverallIndicatorsConfidence": {"overall_indicator": "boolean", "indicators": "array", "confidence_score": "int"} | EXCERPTS,
+}
+BOOLEANS = ("0", "1", "t", "f", "y", "n", "true", "false", "yes", "no", "on", "off")
+
 
 def matched(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match; NULL without a match."""
@@ -85,6 +102,37 @@ def excerpts(response: Column, mode: str = "joined") -> Column:
     return F.coalesce(F.array_join(listed, "; "), F.array_join(F.filter(parts, lambda x: x != ""), "; ") if mode == "joined" else raw)
 
 
+def has_field(parsed: Column, key: str, kind: str) -> Column:
+    """Whether a parsed object has the field with a value that can be read as of this kind; never NULL for an object."""
+    value = F.try_variant_get(parsed, f"$.{key}", "variant")
+    name, text = F.schema_of_variant(value), F.try_variant_get(parsed, f"$.{key}", "string")
+    number = name.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    match kind:
+        case "string":
+            fits = name == "STRING"
+        case "array":  # of strings only
+            items = F.try_variant_get(parsed, f"$.{key}", "array<string>")
+            fits = name.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(items, lambda x: x.isNull())
+        case "boolean":
+            fits = (name == "BOOLEAN") | ((name == "STRING") & F.lower(text).isin(*BOOLEANS)) | (number & text.try_cast("double").isin(0.0, 1.0))
+        case _:  # whole numbers, also as text or with a zero fraction
+            fits = (name == "BOOLEAN") | ((name == "STRING") & text.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$")) | (number & (text.try_cast("double") == F.floor(text.try_cast("double"))))
+    return F.coalesce(fits, F.lit(False))
+
+
+def validated(response: Column, format_name: Column) -> Column:
+    """Whether the response is one JSON object with all required fields of the declared format; other fields are let through.
+
+    NULL, broken or surrounded JSON, repeated keys and unknown formats aren't valid.
+    """
+    parsed = F.try_parse_json(response)
+    alone = F.try_parse_json(F.concat(F.lit("["), response, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), response, F.lit("}"))).isNotNull()
+    checks = F.lit(False)
+    for name, fields in FORMATS.items():
+        checks = F.when(format_name == name, reduce(lambda a, b: a & b, [has_field(parsed, k, t) for k, t in fields.items()])).otherwise(checks)
+    return F.coalesce(parsed.isNotNull() & alone & checks, F.lit(False))
+
+
 def flag(response: Column) -> Column:
     """The first present of the flag keys as 0/1."""
     return F.coalesce(*[flag_number(json_field(response, k)) for k in FLAG_KEYS])

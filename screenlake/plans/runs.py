@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import expr, parsing
@@ -204,6 +206,29 @@ def validate_responses(spark, d):
     return malformed(spark, d).select("run_id", F.coalesce(score.between(0, 100), F.lit(False)).alias("valid"))
 
 
+EXAMPLES = {"int": "@", "string": "as @", "array": ["a @", "b"], "boolean": True}
+
+
+def declared(spark, d):
+    """All runs with a response of one of the declared formats by turns: whole, without its last field, with that as null, and cut off."""
+    texts = []
+    for fields in parsing.FORMATS.values():
+        whole = {k: EXAMPLES[t] for k, t in fields.items()}
+        last = list(whole)[-1]
+        kinds = [whole, {k: v for k, v in whole.items() if k != last}, whole | {last: None}]
+        texts += [json.dumps(x).replace('"@"', "@") for x in (*kinds, whole)]
+        texts[-1] = texts[-1][:-1]
+    i = F.col("run_id")
+    text = F.element_at(F.array(*map(F.lit, texts)), (4 * (i % 11) + F.floor(i / 11) % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, parsing.FORMATS)), (i % 11 + 1).cast("int"))
+    return s.runs(spark, d).withColumns({"format": name, "response": F.replace(text, F.lit("@"), F.col("score").cast("int").cast("string"))})
+
+
+@query(R + "SELECT run_id, [" + ", ".join(f"'{f}'" for f in parsing.FORMATS) + "][run_id % 11 + 1] AS format, (run_id // 11) % 4 = 0 AS valid FROM runs")
+def validate_formats(spark, d):
+    return declared(spark, d).select("run_id", "format", parsing.validated(F.col("response"), F.col("format")).alias("valid"))
+
+
 @query("WITH h AS (SELECT o_orderkey, quarter(o_orderdate)::BIGINT AS quarter, year(o_orderdate)::BIGINT AS year FROM orders) SELECT * FROM h")
 def period_from_headline(spark, d):
     o = s.table(spark, d, "orders")

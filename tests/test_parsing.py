@@ -23,6 +23,19 @@ def test_never_raises(spark, texts):
     assert len(df.select(parsing.cascade_score(r), parsing.excerpts(r), parsing.flag(r), parsing.salvaged_field(r, "score", ["excerpts"])).collect()) == len(texts)
 
 
+def test_declared_formats(spark):
+    cases = [
+        ("SignalReasoning", '{"signal": "s", "reasoning": "r"}', True), ("FlagReasoning", '{"signal": true, "reasoning": "r", "more": 1}', True), ("FlagReasoning", '{"signal": "maybe", "reasoning": "r"}', False),
+        ("IndicatorExcerpts", '{"indicator": false, "excerpts": []}', True), ("IndicatorExcerpts", '{"indicator": 2, "excerpts": []}', False), ("IndicatorExcerpts", '{"indicator": true, "excerpts": ["a", null]}', False), ("IndicatorExcerpts", '{"indicator": true, "excerpts": [1]}', False),
+        ("OverallSignalSeverity", '{"overall_indicator": true, "signal": "s", "excerpts": ["e"], "severity_score": 3, "reasoning": "r"}', True), ("OverallIndicatorsConfidence", '{"overall_indicator": true, "indicators": ["i"], "confidence_score": 300, "excerpts": ["e"]}', True),
+        ("ScoreReasoning", '{"score": 5}', False), ("ScoreReasoning", '{"score": 5, "reasoning": 7}', False), ("ScoreReasoningExcerpts", '{"score": 5, "reasoning": "r", "excerpts": null}', False),
+        ("Score", '{"score": 5.0}', True), ("Score", '{"score": "5"}', True), ("Score", '{"score": 5.5}', False), ("Score", '{"score": "x"}', False), ("Score", ' {"score": 5} \n', True), ("Score", 'So {"score": 5}', False), ("Score", '{"score": 5} so', False), ("Score", '{"score": 5}, {}', False), ("Score", '{"score": 5}] {}', False), ("Score", "[5]", False), ("Score", None, False), ("None", '{"score": 5}', False), (None, '{"score": 5}', False),
+    ]
+    df = spark.createDataFrame([(i, f, r) for i, (f, r, _) in enumerate(cases)], "i int, f string, r string")
+    got = {x["i"]: x["v"] for x in df.select("i", parsing.validated(F.col("r"), F.col("f")).alias("v")).collect()}
+    assert [c for i, c in enumerate(cases) if got[i] != c[2]] == [] and len(parsing.FORMATS) == 11
+
+
 def test_accents_of_whole_texts(spark, small):
     from __spark_entry__ import queries
 
