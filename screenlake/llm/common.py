@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a new local folder is made and set.
+    Where the setting is absent, a session on one machine gets a new local folder; a cluster has none to take.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -31,7 +35,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables that no later step reads; anything else is left alone."""
+    for df in tables:
+        path = getattr(df, "staged_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,14 +65,69 @@ def unit_hash(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def sample_by_hash(df: DataFrame, key: Column, group: str, per_group: int, seed: str) -> DataFrame:
-    """About ``per_group`` rows of every value of ``group``, chosen by the hash of ``key``.
+def sample_by_hash(df: DataFrame, key: Column, group: str, per_group: int, seed: str, most_groups: int = 1000) -> DataFrame:
+    """At most ``per_group`` rows of each of the ``most_groups`` most frequent values of ``group``.
 
-    The rates come from the counts of all rows, so no group is sorted or gathered in a task; the
-    number of rows is ``per_group`` a group with a spread of its square root.
+    They are those with the smallest hashes of ``key``, one row for each hash, so rows that repeat a key are
+    one. Rows are first thinned at rates from the counts of all rows: a group, however large, reaches the
+    ranking as about twice ``per_group`` rows.
     """
-    rates = df.groupBy(group).count().select(group, (F.lit(float(per_group)) / F.col("count")).alias("_rate"))
-    return df.join(F.broadcast(rates), group).where(unit_hash(F.lit(seed), key) < F.col("_rate")).drop("_rate")
+    hashed = df.withColumn("_u", unit_hash(F.lit(seed), key))
+    keys = hashed.groupBy(group).agg(F.approx_count_distinct("_u").alias("_keys"), F.count(F.lit(1)).alias("_rows"))
+    rates = keys.orderBy(F.desc("_rows"), group).limit(most_groups).select(F.col(group).alias("_group"), (F.lit(2.0 * per_group + 20) / F.greatest("_keys", F.lit(1))).alias("_rate"))
+    drawn = hashed.join(F.broadcast(rates), F.col(group).eqNullSafe(F.col("_group"))).where(F.col("_u") < F.col("_rate")).dropDuplicates(["_group", "_u"])
+    order = Window.partitionBy("_group").orderBy("_u")
+    return drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_group).drop("_u", "_group", "_rate", "_n")
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *replaced: str) -> list:
+    """The fields of ``df`` that a result with the columns ``replaced`` keeps (Spark's names ignore case)."""
+    lower = {r.lower() for r in replaced}
+    return [f for f in df.schema.fields if f.name.lower() not in lower]
+
+
+class Members:
+    """A Bloom filter of the ids of a table: ``mask`` and ``may_hold`` are true for each of them and for few others.
+
+    It has BITS bits an id, MOST at most in all (32 MB on the driver and in each task), whatever the table's
+    size; a larger table has more false hits, so what reads it must be right with any number of them. Ids
+    are hashed and merged to bitmaps in tasks; only the bitmaps reach the driver.
+    """
+
+    BITS, MOST, HASHES = 16, 1 << 28, 3
+
+    def __init__(self, ids: DataFrame, id_col: str = "doc_id"):
+        want = max(1 << 15, min(self.MOST, self.BITS * ids.count()))
+        self.size = 1 << (want - 1).bit_length()
+        spots = ids.select(F.explode(F.array(*self.places(column(id_col)))).alias("p"))
+        maps = spots.groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect()
+        self.bits = np.zeros(self.size >> 3, dtype=np.uint8)
+        for r in maps:  # 4 KB each
+            self.bits[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], dtype=np.uint8)
+
+    def places(self, key: Column) -> list[Column]:
+        a, b = (F.pmod(F.xxhash64(key.cast("bigint"), F.lit(i)), F.lit(self.size)) for i in (1, 2))
+        return [F.pmod(a + b * j, F.lit(self.size)) for j in range(self.HASHES)]
+
+    def mask(self, places: list[np.ndarray]) -> np.ndarray:
+        out = np.ones(len(places[0]), dtype=bool)
+        for p in places:
+            out &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+    def may_hold(self, spark: SparkSession, key: Column) -> Column:
+        """The same as an expression; the bitmap is one scalar value, read once by each task."""
+        bits = spark.createDataFrame([(self.bits.tobytes(),)], "bits binary").scalar()
+        out = key.isNotNull()
+        for p in self.places(key):
+            byte = F.conv(F.hex(F.substring(bits, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+            out = out & (F.pmod(F.floor(byte / F.pow(F.lit(2.0), p.bitwiseAND(F.lit(7)))), F.lit(2)) == 1)
+        return F.coalesce(out, F.lit(False))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -14,8 +14,13 @@ random sequence of bins. ROWS bins make a band; documents that agree on a band s
    finer sketch rules out are left out, and the rest is confirmed on full sets as well. A pair that
    shares several buckets is made in one of them only, that of the smallest key.
 
-No bucket is capped. A link between two texts is lost only if no band agrees: at similarity 0.8 with
-BANDS = 24 and ROWS = 4, one in 300,000.
+No bucket is capped. A link between two texts is lost if no band agrees (at similarity 0.8 with BANDS = 24
+and ROWS = 4, one in 300,000), or if a sketch rules the pair out (at 5 deviations of room, about one in three
+million for each of the two tests).
+
+Texts are never shuffled: the ids that need their full sets, and those that are dropped in the end, are
+found where the texts are read by a Bloom filter of bounded size; what it lets through by chance joins
+nothing.
 
 Cases: words are split at ASCII white space and A-Z lower-cased; fewer words than a shingle make one
 shingle; null texts and texts without words have the empty set, link with nothing and are kept; rows
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, text_slices
+from .common import Members, column, discard, staged, text_slices
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -42,8 +47,6 @@ BINS = BANDS * ROWS
 BLOCK = 512
 STAR_ROUNDS = 1
 FINE = 512
-#: Up to so many ids (8 bytes each, counted first) are broadcast to pick texts; beyond it the texts are shuffled.
-BROADCAST_IDS = 4_000_000
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS)[:-1].astype(np.uint64)
 _FINE_EDGES = (np.arange(FINE + 1, dtype=object) * (1 << 64) // FINE)[:-1].astype(np.uint64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -119,7 +122,7 @@ def sketches(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "t
                 mins.append(values.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())], ["doc_id", "n_shingles", "set_key", "keys", "mins"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, keys array<bigint>, mins binary")
+    return docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, keys array<bigint>, mins binary")
 
 
 def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
@@ -180,21 +183,24 @@ def may_reach(a: np.ndarray, b: np.ndarray, na: int, nb: np.ndarray, least: floa
 def full_sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, size, shingles, fine, own) of the documents in ``ids`` (doc_id), a row for each of their rows.
 
-    ``own``: the keys of the text's buckets, BANDS numbers of 8 bytes. Texts stay where they are read, unless
-    there are more than BROADCAST_IDS ids.
+    ``own``: the keys of the text's buckets, BANDS numbers of 8 bytes. Texts stay where they are read; a few
+    documents that aren't in ``ids`` come along, which no pair joins.
     """
-    ids = staged(ids, "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    wanted = Members(ids)
+    spots = [f"p{i}" for i in range(Members.HASHES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            sets = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
-            fine = [fine_sketch(s).tobytes() if len(s) else bytes(FINE) for s in sets]
-            own = [bands(sketch(s)).tobytes() if len(s) else bytes(8 * BANDS) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in ([s.tobytes() for s in sets], fine, own))], ["doc_id", "size", "shingles", "fine", "own"])
+        for whole in batches:
+            some = whole.filter(pa.array(wanted.mask([whole.column(p).to_numpy() for p in spots])))
+            for batch in text_slices([some], "text"):
+                sets = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
+                fine = [fine_sketch(s).tobytes() if len(s) else bytes(FINE) for s in sets]
+                own = [bands(sketch(s)).tobytes() if len(s) else bytes(8 * BANDS) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in ([s.tobytes() for s in sets], fine, own))], ["doc_id", "size", "shingles", "fine", "own"])
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id bigint, size bigint, shingles binary, fine binary, own binary")
+    key = column(id_col).cast("bigint")
+    texts = docs.where(key.isNotNull()).select(key.alias("doc_id"), column(text_col).alias("text"), *(p.alias(c) for p, c in zip(wanted.places(key), spots)))
+    return texts.mapInArrow(run, "doc_id bigint, size bigint, shingles binary, fine binary, own binary")
 
 
 def confirmed_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,49 +270,70 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
     sketched = staged(sketches(docs, n, id_col, text_col), "sketches")
     some = sketched.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    reps = staged(some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("mins").alias("mins")), "classes")
+    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("mins").alias("mins"))
+    reps = staged(classes, "classes")
     # an id with several texts represents several sets; it is joined to itself by its id
     buckets = reps.select("doc_id", F.explode("keys").alias("key"))
     centres = staged(buckets.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "centres")
-    star = buckets.join(centres, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    pairs = staged(likely(star, reps, percent).distinct(), "pairs")
+    spread = staged(buckets.join(centres, "key"), "buckets")
+    discard(centres)
+    pairs = staged(likely(spread.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), reps, percent).distinct(), "pairs")
     paired = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    links = confirmed_sets(pairs, staged(full_sets(docs, paired, n, id_col, text_col), "sets"), percent)
+    sets = staged(full_sets(docs, paired, n, id_col, text_col), "sets")
+    links = confirmed_sets(pairs, sets, percent)
+    discard(pairs, sets)
     first = components(links)
-    label = first
-    spread = staged(buckets.join(centres.select("key"), "key"), "buckets")
-    members, sets, own = spread, None, first.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    label, own, members, sets = first, first.select(F.col("component").alias("a"), F.col("node").alias("b")), spread, None
     for step in range(STAR_ROUNDS + 1):
         known = label.select(F.col("node").alias("doc_id"), "component")
         named = members.select("key", "doc_id").join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         split = staged(several(named), "several")
-        members = staged(named.join(split.select("key"), "key", "left_semi"), "members")
+        before, members = members, staged(named.join(split.select("key"), "key", "left_semi"), "members")
+        discard(before)
         if sets is None:
             sets = staged(full_sets(docs, members.select("doc_id").distinct(), n, id_col, text_col), "sets")
         if step < STAR_ROUNDS:
             star = members.join(split, "key").where("component <> main").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
         else:
             star = leftovers(members, sets, percent)
-        more = confirmed_sets(staged(star, "pairs"), sets, percent)
-        own = own.unionByName(more)
+        star = staged(star, "pairs")
+        own = own.unionByName(confirmed_sets(star, sets, percent))
+        discard(split, star)
         if step < STAR_ROUNDS:
             label = components(own)
-    copies = some.select("doc_id", "set_key").join(reps.select("set_key", F.col("doc_id").alias("rep")), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    label = components(own.unionByName(copies))
-    component = F.coalesce(F.col("component"), F.col("doc_id"))
-    out = sketched.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", component)
+    discard(members, sets)
+    # ids with texts of several sets link the sets' representatives
+    any_set = F.coalesce("set_key", F.lit(b""))
+    mixed = sketched.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(any_set).alias("least"), F.max(any_set).alias("most")).where("least <> most").select("doc_id")
+    mixed = staged(some.select("doc_id", "set_key").join(mixed, "doc_id", "left_semi"), "mixed")
+    some_mixed = not mixed.isEmpty()
+    if some_mixed:
+        own = own.unionByName(mixed.join(reps.select("set_key", F.col("doc_id").alias("rep")), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    label = components(own).select("node", "component")
+    # a class has its component once; its copies get it by the set, not as links of their own
+    of_set = reps.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").where("component is not null or last <> doc_id").select("set_key", F.coalesce("component", "doc_id").alias("_of_set"))
+    out = sketched.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left").select("doc_id", "n_shingles", "_of_set")
+    component = F.coalesce("_of_set", "doc_id")
+    if some_mixed:
+        of_id = label.join(mixed.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("doc_id"), F.col("component").alias("_of_id"))
+        out, component = out.join(of_id, "doc_id", "left"), F.coalesce("_of_id", "_of_set", "doc_id")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), component))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document represents its group; of rows that repeat an id one stays. Null ids stay."""
-    found = near_duplicates(docs, n, percent, id_col, text_col)
-    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = staged(kept, "kept")
-    stay = docs.join(kept.where("_rows = 1").select(id_col), id_col, "left_semi").select(docs.columns)
-    if not docs.where(F.col(id_col).isNull()).isEmpty():
-        stay = stay.unionByName(docs.where(F.col(id_col).isNull()))
-    again = kept.where("_rows > 1").select(id_col)
+    """The rows of ``docs`` whose document represents its group. Null ids stay.
+
+    Of rows that repeat an id the one with the smallest text stays (null counts as empty; of equal texts, any).
+    """
+    found = near_duplicates(docs, n, percent, id_col, text_col).where(F.col("doc_id").isNotNull())
+    gone = staged(found.groupBy(F.col("doc_id").alias("_near_id")).agg(F.min("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows")).where("not _stays or _rows > 1"), "gone")
+    names, key = [column(c) for c in docs.columns], column(id_col)
+    listed = Members(gone, "_near_id").may_hold(docs.sparkSession, key)
+    hits = docs.where(listed)
+    stay = docs.where(~listed).unionByName(hits.join(gone, key == F.col("_near_id"), "left_anti"))
+    again = gone.where("_stays").select("_near_id")
     if not again.isEmpty():
-        stay = stay.unionByName(docs.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))
+        one = hits.join(again, key == F.col("_near_id"), "left_semi").groupBy(key.alias("_near_id")).agg(F.min_by(F.struct(*names), F.coalesce(column(text_col), F.lit(""))).alias("_row"))
+        stay = stay.unionByName(one.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
     return stay

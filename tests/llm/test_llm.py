@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
-from screenlake.llm import ann, bpe, components, language_id, lm_scoring, mixing, near_dedup, quality, token_store, topk, url_filter
+from screenlake.llm import ann, bpe, common, components, language_id, lm_scoring, mixing, near_dedup, quality, token_store, topk, url_filter
 from screenlake.llm import queries as q
 from screenlake.llm.pieces import PieceEncoder
 
@@ -243,13 +243,44 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(docs, 4, 80)
 
 
-def test_texts_are_picked_alike_with_and_without_broadcast(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j"), (3, None), (None, "a b c d e")], "doc_id long, text string")
-    ids = spark.createDataFrame([(1,), (3,), (9,)], "doc_id long")
-    pick = lambda: sorted((r["doc_id"], r["size"]) for r in near_dedup.full_sets(docs, ids, 4, "doc_id", "text").collect())
-    few = pick()
-    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
-    assert few == pick() == [(1, 2), (3, 0)]
+def test_members_are_found_and_false_hits_change_nothing(spark, monkeypatch):
+    ids = spark.range(0, 7000, 7).select(F.col("id").alias("doc_id"))
+    some = common.Members(ids)
+    rows = spark.range(7000).select("id", some.may_hold(spark, F.col("id")).alias("hit"), *some.places(F.col("id"))).toPandas()
+    assert (some.mask([rows.iloc[:, k].to_numpy() for k in (2, 3, 4)]) == rows["hit"]).all()
+    assert rows["hit"][::7].all() and rows["hit"].mean() < 0.16
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}" + " x" * (i % 5 == 0)) for i in range(40)] + [(50, None), (None, "a b c d e")], "doc_id long, text string")
+    results = []
+    for bits in (16, 0):  # 0: every bit counts as set
+        monkeypatch.setattr(common.Members, "BITS", bits)
+        if not bits:
+            monkeypatch.setattr(common.Members, "mask", lambda self, places: np.ones(len(places[0]), dtype=bool))
+            monkeypatch.setattr(common.Members, "may_hold", lambda self, spark, key: key.isNotNull())
+        results.append((sorted(map(str, near_dedup.near_duplicates(docs).collect())), sorted(map(str, near_dedup.without_near_duplicates(docs).collect()))))
+    assert results[0] == results[1] and len(results[0][1]) < 42
+
+
+def test_without_near_duplicates_against_brute_force(spark):
+    rng, texts = random.Random(8), []
+    for g in range(5):
+        base = [f"w{rng.randint(0, 300)}" for _ in range(60)]
+        texts += [" ".join(base[: 60 - k] + [f"y{k}"] * k) for k in (0, 1, 2, 3, 30)] + [" ".join(base)] * 20
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(500, None, "n"), (501, None, None), (502, "", "e"), (0, texts[0], "again"), (3, "another text of this id with seven words", "b"), (None, texts[0], "z"), (None, texts[0], "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").withColumn("kept", F.lit(1)).withColumn("component_id", F.lit("mine"))
+    label = brute_components([(i, t) for i, t, _ in rows if i is not None], 5, 80)
+    kept = near_dedup.without_near_duplicates(docs)
+    got = kept.collect()
+    assert kept.columns == docs.columns and sum(r["doc_id"] is None for r in got) == 2
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(i for i, c in label.items() if i == c)
+    assert all(r["kept"] == 1 and r["component_id"] == "mine" for r in got)
+
+
+def test_ids_with_several_texts_link_their_groups(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    other = " ".join(f"v{i}" for i in range(30))
+    rows = [(5, words), (9, words), (9, other), (7, other), (20, other), (11, None), (11, words)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, 5) for i in (5, 7, 9, 11, 20)}
 
 
 def test_near_duplicates_of_odd_rows(odd_docs):
