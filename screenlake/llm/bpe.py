@@ -1,12 +1,12 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-Texts are cut where a rolling hash of the last WINDOW bytes hits a mask, so the same passage gives the
-same chunks in every document that holds it. A worker encodes a chunk once for all documents that share
-it: the part between its first and its last safe cut, a blank between two other characters, where the
-library's pre-tokenizer always starts a new token. What lies around a join of two chunks, from the left
-one's last safe cut to the right one's first, is encoded again; where a chunk has no safe cut, the
-stretch grows over it into the next ones. Both ends are then places where the chunks' own ids and the
-new ones agree, so the ids are the library's for the whole text.
+Texts are cut into chunks where a rolling hash of the last WINDOW bytes hits a mask, so the same passage
+gives the same chunks in every document that holds it. Each chunk's core, from its first safe cut to its
+last (see ``pieces``), is encoded once by a worker for all documents that share it; the memo stays from
+task to task. What lies around a join of two chunks, from the left one's last safe cut to the right one's
+first, is encoded again together with characters of both neighbours: the ids at either end must be exactly
+those that the neighbours' characters have alone. Where they aren't, more of the neighbours is taken
+until they agree; where they never do, the text goes to the library whole. Joins are kept like cores, by their text.
 
 Texts with a special token's string inside go to the library whole. Cases: a null text counts as empty
 (no ids); an empty table gives an empty result; all other columns and repeated rows are kept as they
@@ -16,155 +16,112 @@ are; columns of the result with the name of an input column replace it.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
-from .pieces import _SPACE, FIRST, ODD, RUNS, PieceEncoder
+from .common import with_text_columns
+from .pieces import PieceEncoder, safe_cuts, shared
 
-WINDOW = 16
-#: Chunks have 2**CHUNK_BITS bytes on the average.
-CHUNK_BITS = 8
-CHUNKS_KEPT = 40_000
-FIRST_CUT = re.compile(f"(?<=[^ \n{_SPACE}])[ \n](?=[^ \n{_SPACE}])")
+WINDOW = 4
+#: Chunks have 2**CHUNK_BITS bytes on the average. Short ones are shared the most; longer ones make fewer joins.
+CHUNK_BITS = 2
+#: Characters of either neighbour that are encoded with a join at first.
+CONTEXT = 1
+SLICE = 8 << 20
 
 
-def cut_points(raw: bytes) -> np.ndarray:
-    """Positions in UTF-8 bytes where a chunk starts, by a hash of the WINDOW bytes before."""
-    if len(raw) <= WINDOW:
+def cut_points(data: np.ndarray, window: int = WINDOW, bits: int = CHUNK_BITS) -> np.ndarray:
+    """Positions where a chunk starts, by a hash of the ``window`` bytes before."""
+    if len(data) <= window:
         return np.zeros(0, dtype=np.int64)
-    data = np.frombuffer(raw, dtype=np.uint8)
     table = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
     h = table[data]
     reach = 1
-    while reach < WINDOW:
+    while reach < window:
         h[reach:] += h[:-reach] * np.uint32(31**reach % (1 << 32))
         reach *= 2
-    hit = (h[WINDOW - 1 : -1] >> np.uint32(32 - CHUNK_BITS)) == 0
-    at = np.flatnonzero(hit) + WINDOW
-    return at[(data[at] & 0xC0) != 0x80]  # never inside a character
-
-
-def chunks_of(text: str) -> list[str]:
-    raw = text.encode("utf-8", "surrogatepass")
-    at = [0, *cut_points(raw).tolist(), len(raw)]
-    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at, at[1:])] if raw else []
-
-
-def last_cut(chunk: str, start: int) -> int:
-    """The last safe cut of a chunk whose first is ``start``."""
-    end = len(chunk)
-    while (end := max(chunk.rfind(" ", 0, end), chunk.rfind("\n", 0, end))) > start:
-        if FIRST_CUT.match(chunk, end):
-            return end
-    return start
-
-
-class ChunkEncoder:
-    """Encodes texts; chunks and pieces are encoded once as long as the bounded memos hold them."""
-
-    def __init__(self, path: str, separator: str = " 0 "):
-        self.pieces = PieceEncoder(path, separator=separator)
-        tok = self.pieces.tok
-        self.tokens = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())] if tok.decoder is None else None
-        self.chunks: dict[str, tuple[str, str, str] | None] = {}
-        self.cores: dict[str, bytes] = {}
+    return np.flatnonzero((h[window - 1 : -1] >> np.uint32(32 - bits)) == 0) + window
+
+
+class ChunkEncoder(PieceEncoder):
+    """Encodes texts; the stretches of its memo are cores of chunks and joins."""
+
+    def __init__(self, path: str, limit: int = 1_500_000, separator: str | None = None):
+        super().__init__(path, limit, separator)
+        self.tokens = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())] if self.tok.decoder is None else None
+        self.edges: dict[str, np.ndarray] = {}
+        self.cuts = np.zeros(0, dtype=np.int64)
+
+    def bounds(self, data: np.ndarray, starts: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        safe = safe_cuts(data, starts, odd)
+        is_safe = np.zeros(len(data) + 1, dtype=bool)
+        is_safe[safe] = True
+        cuts = cut_points(data)
+        self.cuts = cuts[~is_safe[cuts]]  # a cut at a safe one joins nothing
+        before = np.cumsum(is_safe, dtype=np.int32)[self.cuts] - 1
+        start = np.zeros(len(data) + 1, dtype=bool)
+        for ends in (starts, safe[before], safe[before + 1]):
+            start[ends] = True
+        return np.flatnonzero(start)
+
+    def learn(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray, first: np.ndarray, texts: list[str]) -> list[np.ndarray | None]:
+        begin, end = bounds[first], bounds[first + 1]
+        joins = np.searchsorted(self.cuts, begin, side="right") < np.searchsorted(self.cuts, end)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        cores = np.flatnonzero(~joins).tolist()
+        for i, ids in zip(cores, self.encode_new([texts[i] for i in cores])):
+            out[i] = ids
+        text = np.searchsorted(starts, begin, side="right") - 1
+        low, high = starts[text], starts[np.minimum(text + 1, len(starts) - 1)]
+        raw, open_, width = data.tobytes(), np.flatnonzero(joins).tolist(), CONTEXT
+        while open_:
+            around = []
+            for i in open_:
+                a, b, l, h = int(begin[i]), int(end[i]), int(low[i]), int(high[i])
+                left = raw[max(l, a - 4 * width) : a].decode("utf-8", "ignore")[-width:]
+                right = raw[b : min(h, b + 4 * width + 4)].decode("utf-8", "ignore")[: width + 1]
+                around.append((left, right, width >= max(a - l, h - b)))
+            missing = list({x for left, right, _ in around for x in (left, right) if x and x not in self.edges})
+            self.edges.update(zip(missing, self.library_all(missing)))
+            again = []
+            for i, (left, right, all_), ids in zip(open_, around, self.encode_new([left + texts[i] + right for i, (left, right, _) in zip(open_, around)])):
+                p, q = (len(self.edges[x]) if x else 0 for x in (left, right))
+                inner = len(ids) - p - q
+                if inner >= 0 and (not p or (ids[:p] == self.edges[left]).all()) and (not q or (ids[-q:] == self.edges[right]).all()):
+                    out[i] = ids[p : p + inner]
+                elif not all_:
+                    again.append(i)
+            open_, width = again, width * 4
+        if len(self.edges) > 100_000:
+            self.edges.clear()
+        return out
 
-    def decode(self, ids: bytes) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False); without a decoder it joins tokens by a space."""
-        numbers = np.frombuffer(ids, dtype="<u4").tolist()
+        numbers = ids.tolist()
         if self.tokens is None:
-            return self.pieces.tok.decode(numbers, skip_special_tokens=False)
+            return self.tok.decode(numbers, skip_special_tokens=False)
         return " ".join(map(self.tokens.__getitem__, numbers))
 
-    def keys(self, text: str, first: bool) -> list[str] | None:
-        """Keys of the pieces of a stretch that starts at a safe cut, or at the text's start."""
-        if first:
-            return self.pieces.pieces(text)
-        if any(r in text for r in RUNS) or ODD.search(text):
-            return None
-        return text.replace("\n", " \n").split(" ")[1:]
-
-    def parts(self, chunk: str) -> tuple[str, str, str] | None:
-        """A chunk's head, core and tail; None if it has no safe cut."""
-        m = FIRST_CUT.search(chunk)
-        if not m:
-            return None
-        a = m.start()
-        b = last_cut(chunk, a)
-        return chunk[:a], chunk[a:b], chunk[b:]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CHUNKS_KEPT:
-            self.chunks, self.cores = {}, {}
-        plans: list[list[tuple[str, bool]] | None] = []  # stretches and whether they are cores
-        wanted: dict[tuple[str, bool], list[str] | None] = {}
-        for text in texts:
-            if any(s in text for s in self.pieces.special):
-                plans.append(None)
-                continue
-            plan, carry, first = [], "", True
-            for chunk in chunks_of(text):
-                if chunk not in self.chunks:
-                    self.chunks[chunk] = self.parts(chunk)
-                if (parts := self.chunks[chunk]) is None:
-                    carry += chunk
-                    continue
-                plan += [(carry + parts[0], first), (parts[1], None)]
-                carry, first = parts[2], False
-            plan.append((carry, first))
-            plans.append(plan)
-            for stretch, start in plan:
-                if start is None:
-                    if stretch and stretch not in self.cores:
-                        wanted[stretch, False] = ()
-                elif stretch:
-                    wanted[stretch, start] = ()
-        for (stretch, start) in wanted:
-            wanted[stretch, start] = self.keys(stretch, start)
-        self.pieces.learn(set().union(*[k for k in wanted.values() if k]))
-        get = self.pieces.young.__getitem__
-        done = {w: self.pieces.whole(w[0]) if k is None else b"".join(map(get, k)) for w, k in wanted.items()}
-        out = []
-        for text, plan in zip(texts, plans):
-            if plan is None:
-                out.append(self.pieces.whole(text))
-                continue
-            ids = []
-            for stretch, start in plan:
-                if not stretch:
-                    continue
-                if start is None:
-                    if (core := self.cores.get(stretch)) is None:
-                        core = self.cores[stretch] = done[stretch, False]
-                    ids.append(core)
-                else:
-                    ids.append(done[stretch, start])
-            out.append(b"".join(ids))
-        return out
-
 
 def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256, and on demand ids (binary) and decoded."""
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     added += [T.StructField("ids", T.BinaryType())] * keep_ids + [T.StructField("decoded", T.StringType())] * keep_text
-    kept = [f for f in docs.schema.fields if f.name.lower() not in {a.name for a in added} or f.name == text_col]
-    kept = [f for f in kept if f.name != text_col] + [f for f in kept if f.name == text_col]
-    schema = T.StructType([*kept, *added])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
-        for batch in text_slices(batches, text_col):
-            raw = encoder.encode_all([t or "" for t in batch.column(text_col).to_pylist()])
-            texts = [encoder.decode(x) for x in raw]
-            columns = [pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])]
-            columns += [pa.array(raw, pa.binary())] * keep_ids + [pa.array(texts, pa.string())] * keep_text
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns], schema.names)
-
-    return docs.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+
+    def start():
+        encoder = shared(ChunkEncoder, tokenizer)
+
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            ids, counts = encoder.encode(texts)
+            each = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
+            raw = [x.astype("<u4", copy=False).tobytes() for x in each]
+            decoded = [encoder.decode(x) for x in each]
+            columns = [pa.array(counts, pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (raw, [t.encode() for t in decoded]))]
+            return columns + [pa.array(raw, pa.binary())] * keep_ids + [pa.array(decoded, pa.string())] * keep_text
+
+        return compute
+
+    return with_text_columns(docs, text_col, added, start, SLICE)

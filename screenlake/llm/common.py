@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -130,11 +131,11 @@ class Members:
         return F.coalesce(out, F.lit(False))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``limit`` bytes of text, at least one row."""
     for batch in batches:
         total = start = 0
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_pylist()
         for i, n in enumerate(lengths):
             if total and total + n > limit:
                 yield batch.slice(start, i - start)
@@ -142,3 +143,22 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 <
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def with_text_columns(docs: DataFrame, text_col: str, added: list[T.StructField], start: Callable[[], Callable[[pa.Array], list]], limit: int = 2 << 20) -> DataFrame:
+    """``docs`` with the columns ``added``, computed from the texts; columns of these names are replaced.
+
+    ``start`` makes, in each task, the function from a slice's texts (about ``limit`` bytes) to the added columns.
+    Between, columns have numbers for names, as Spark's own functions for Python don't take every name.
+    """
+    kept = others(docs, *(f.name for f in added))
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*kept, *added])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in text_slices(batches, "text", limit):
+            values = compute(batch.column(len(kept)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *values], inner.names)
+
+    numbered = docs.select(*(column(f.name).alias(f"c{i}") for i, f in enumerate(kept)), column(text_col).alias("text"))
+    return numbered.mapInArrow(run, inner).toDF(*(f.name for f in [*kept, *added]))

@@ -2,8 +2,9 @@
 
 The network reads a text's UTF-8 bytes in consecutive windows, in both directions, and labels every
 byte position with a language; a document's probabilities are the mean over all of its positions.
-Training is back-propagation through time in numpy on the driver, on a sample of bounded size: about
-``docs_per_language`` documents of each language, of which WINDOWS_A_DOC windows each are read.
+Training is back-propagation through time in numpy on the driver, on a sample of bounded size: at most
+``docs_per_language`` documents of each of the MOST_LANGUAGES most frequent languages, of which
+WINDOWS_A_DOC windows each are read. Rows that repeat an id and a text are one document there.
 Prediction reads whole texts, in tasks, and needs no shuffle.
 
 Cases: a text that is null or has no letter gets UNKNOWN with score 0 and is not trained on, so a language
@@ -13,16 +14,15 @@ with no other text is not known to the network; an empty training set makes all
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sample_by_hash, text_slices
+from .common import column, sample_by_hash, with_text_columns
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -30,6 +30,7 @@ HIDDEN = 8
 LENGTH = 64
 WINDOWS_A_DOC = 6
 LANES = 1024
+MOST_LANGUAGES = 1000
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -182,12 +183,14 @@ class LanguageModel:
         return names, scores
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 150) -> LanguageModel:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 150, id_col: str = "doc_id") -> LanguageModel:
     """Train on rows with text and language, a bounded sample of them (see above)."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    key = column(id_col).cast("string") if id_col in labelled.columns else F.lit(None).cast("string")
+    lettered = labelled.where(column(lang_col).isNotNull() & column(text_col).rlike(r"\p{L}"))
+    rows = lettered.select(column(text_col).alias("text"), column(lang_col).alias("lang"), F.concat_ws("|", key, F.xxhash64(column(text_col))).alias("key"))
     size = F.length("text")
     pieces = [F.substring(F.col("text"), (F.pmod(F.xxhash64(F.col("text"), F.lit(i)), F.greatest(size - LENGTH, F.lit(1))) + 1).cast("int"), F.lit(LENGTH)) for i in range(WINDOWS_A_DOC)]
-    sample = sample_by_hash(rows, F.col("text"), "lang", docs_per_language, "language").select("lang", F.array(*pieces).alias("parts")).collect()
+    sample = sample_by_hash(rows, F.col("key"), "lang", docs_per_language, "language", MOST_LANGUAGES).select("lang", F.array(*pieces).alias("parts")).collect()
     sample = sorted((r["lang"], list(r["parts"])) for r in sample)
     pairs = [(windows(p.encode("utf-8", "replace")[:LENGTH]), lang) for lang, parts in sample for p in parts if LETTER.search(p)]
     languages = sorted({lang for _, lang in pairs})
@@ -199,14 +202,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", doc
     return LanguageModel(network)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; columns of these names are replaced."""
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its share of the text, as ``names``; columns of these names, in any case, are replaced."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text_col):
-            names, scores = model.predict(batch.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
+    def start():
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            found, scores = model.predict(texts.to_pylist())
+            return [pa.array(found, pa.string()), pa.array(scores, pa.float64())]
 
-    return docs.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+        return compute
+
+    return with_text_columns(docs, text_col, [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())], start)

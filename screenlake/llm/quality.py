@@ -4,7 +4,8 @@ One dictionary is built from text labelled good, one from text labelled bad. A t
 each, in independent windows of WINDOW bytes so that long texts don't drown the dictionaries; the
 difference of the two sizes over their sum becomes a score by a logistic curve fitted to labelled texts
 that built neither dictionary. The fit reads a sample of bounded size: about ``docs_per_label`` labelled
-documents of each label. Scoring reads whole texts, in tasks, and needs no shuffle.
+documents of each label. Of several labels of a document the larger counts; of several texts of an id one trains.
+Scoring reads whole texts, in tasks, and needs no shuffle.
 
 Cases: null and empty texts have difference 0 and so the curve's score at 0; with no labels, or labels
 of one kind, the score is the share of label 1 (0.5 without labels); labels other than 0 and 1 and null
@@ -14,7 +15,6 @@ texts don't train; other columns and repeated rows are kept.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sample_by_hash, text_slices
+from .common import column, sample_by_hash, with_text_columns
 
 WINDOW = 2048
 DICTIONARY_BYTES = 65_536
@@ -111,25 +111,26 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Qu
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs_per_label: int = 1200) -> QualityModel:
     """Train on the rows of ``docs`` that ``labels`` marks 0 or 1, a bounded sample of them."""
-    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    marks = labels.where(column(label_col).isin(0, 1)).groupBy(column(id_col).alias("_id")).agg(F.max(column(label_col)).cast("int").alias("_label"))
     chosen = sample_by_hash(marks, F.col("_id"), "_label", docs_per_label, "quality")
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = docs.where(column(text_col).isNotNull()).select(column(id_col).alias("_id"), column(text_col).alias("_text"))
     # a text's bytes beyond a bound would not train in any case (see TRAIN_BYTES)
     spread = F.when(F.length("_text") <= TRAIN_BYTES, F.col("_text")).otherwise(F.concat(*[F.substring("_text", F.floor(F.length("_text") * i / 8).cast("int") + F.lit(1), F.lit(TRAIN_BYTES // 8)) for i in range(8)]))
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", spread.alias("_text"))
+    # of texts that share an id the one with the least hash: a row an id reaches the driver
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min_by(spread, F.xxhash64("_text")).alias("_text"))
     sample = sorted((r["_id"], r["_text"], r["_label"]) for r in rows.collect())
     share = marks.agg(F.avg("_label")).first()[0]
     return train([t for _, t, _ in sample], [y for _, _, y in sample], share)
 
 
-def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with score and predicted; columns of these names are replaced."""
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def score(docs: DataFrame, model: QualityModel, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with the score and the label it predicts, as ``names``; columns of these names, in any case, are replaced."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text_col):
-            scores = model.scores(batch.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema.names)
+    def start():
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            scores = model.scores(texts.to_pylist())
+            return [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
 
-    return docs.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+        return compute
+
+    return with_text_columns(docs, text_col, [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())], start)

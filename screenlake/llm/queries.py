@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, language_id, lm_scoring, mixing, near_dedup, quality, token_store, topk, url_filter
@@ -15,11 +15,14 @@ from .common import fold, shared_dir, staged, table
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def held_out() -> Column:
+    return F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(fold(F.col("doc_id")) != 1))
-    held_out = (fold(F.col("doc_id")) == 1).alias("held_out")
-    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(), "lang_pred", "score")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learn = fold(F.col("doc_id")) != 1
     model = quality.fit(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
-    return quality.score(docs, model).select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+    return quality.score(docs, model).select("doc_id", held_out(), "score", "predicted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_token_store, op4_lm_scoring, op5_ann, op6_url_filter, op7_bpe, op8_near_dedup, op9_topk, op10_quality)}

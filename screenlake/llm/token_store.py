@@ -8,7 +8,7 @@ are decoded side by side by table look-up.
 
 Cases: a null text counts as empty, so it has only the end id; an empty table gives an empty store;
 null document ids come first; rows with the same document id stay separate rows, ordered by their ids'
-bytes; other columns of the input are ignored.
+bytes, unless they are so many that they fill several buckets; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, text_slices
-from .pieces import PieceEncoder
+from .common import column, staged, text_slices
+from .pieces import PieceEncoder, shared
 
 MAX_BITS = 20
 STRIDE = 256
@@ -116,22 +117,36 @@ class Coder:
 # --- jobs -------------------------------------------------------------------------------------
 
 
+ENCODED = "doc_id bigint, n_tokens bigint, ids binary, width string, seen binary"
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): zstd-compressed little-endian ids, 16 bits wide where the vocabulary allows."""
+    """(doc_id, n_tokens, ids, width, seen): zstd-compressed little-endian ids, 16 bits wide where the vocabulary allows.
+
+    ``seen``, on the first row of each slice: the slice's different ids and their counts, 32 and 64 bits each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder = PieceEncoder(tokenizer)
-        wide = "<u2" if encoder.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in text_slices(batches, "text"):
-            raw = [x + end for x in encoder.encode_all([t or "" for t in batch.column("text").to_pylist()])]
-            packed = [pack.compress(np.frombuffer(x, dtype="<u4").astype(wide).tobytes()) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(packed, pa.binary()), pa.array([wide] * len(raw))], ["doc_id", "n_tokens", "ids", "width"])
-
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, width string")
+        encoder = shared(PieceEncoder, tokenizer)
+        wide = "<u2" if max(encoder.tok.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else "<u4"
+        end = np.array([] if end_id is None else [end_id], dtype=wide)
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in text_slices(batches, "text", 8 << 20):
+            ids, counts = encoder.encode(batch.column(1))
+            ids = ids.astype(wide)
+            cuts = np.cumsum(counts)
+            packed = [pack.compress(np.concatenate([ids[b - n : b], end]).tobytes()) for b, n in zip(cuts.tolist(), counts.tolist())]
+            total = np.bincount(ids)
+            if len(end):
+                total = np.pad(total, (0, max(0, end_id + 1 - len(total))))
+                total[end_id] += len(counts)
+            at = np.flatnonzero(total)
+            seen = at.astype("<u4").tobytes() + total[at].astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + len(end), pa.int64()), pa.array(packed, pa.binary()), pa.array([wide] * len(counts)), pa.array([seen, *[None] * (len(counts) - 1)], pa.binary())], ["doc_id", "n_tokens", "ids", "width", "seen"])
+
+    return docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, ENCODED)
 
 
 def in_id_order(encoded: DataFrame, ids: DataFrame) -> DataFrame:
@@ -142,9 +157,10 @@ def in_id_order(encoded: DataFrame, ids: DataFrame) -> DataFrame:
     spark = encoded.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / (4 * parts) for i in range(1, 4 * parts)]
-    bounds = ids.agg(F.percentile_approx("doc_id", shares, 20_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    bucketed = encoded.withColumn("bucket", _bucket(F.col("doc_id"), bounds))
+    row = ids.agg(F.percentile_approx("doc_id", shares, 20_000).alias("b"), F.count("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    of_null = max(1, -(-row["none"] * 4 * parts // max(1, row["n"] + row["none"])))
+    # the same rows have the same number in every attempt of a task
+    bucketed = encoded.withColumn("bucket", _bucket(F.col("doc_id"), F.monotonically_increasing_id(), sorted(row["b"] or []), of_null))
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, total = None, 0
@@ -157,42 +173,44 @@ def in_id_order(encoded: DataFrame, ids: DataFrame) -> DataFrame:
                 total += n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "first"])
 
-    schema = "doc_id bigint, n_tokens bigint, ids binary, width string, bucket int, first bigint"
+    schema = f"{ENCODED}, bucket int, first bigint"
     return bucketed.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "ids").mapInArrow(starts, schema)
 
 
-def _bucket(value, bounds: list[int]):
-    """Number of bounds below or at ``value``, 0 for null; bounds are a sorted literal array."""
-    if not bounds:
-        return F.lit(0)
+def _bucket(value: Column, tie: Column, bounds: list[int], of_null: int) -> Column:
+    """Number of bounds below or at ``value``, negative for null.
 
-    @F.pandas_udf("int")
-    def number(ids):
-        import pandas as pd
+    An id that several bounds share has as many buckets, dealt by ``tie``; null has ``of_null`` of them.
+    """
 
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), dtype=np.int32)
-        out[known] = np.searchsorted(np.array(bounds), ids[known].astype("int64").to_numpy(), side="right")
+    @F.pandas_udf("int")
+    def number(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        known, tie = ids.notna().to_numpy(), ties.to_numpy()
+        out = (-1 - tie % of_null).astype(np.int32)
+        x, edges = ids[known].astype("int64").to_numpy(), np.array(bounds, dtype=np.int64)
+        low, high = (np.searchsorted(edges, x, side=s) for s in ("left", "right"))
+        out[known] = np.where(high > low + 1, low + 1 + tie[known] % np.maximum(1, high - low), high)
         return pd.Series(out)
 
-    return number(value)
+    return number(value, tie)
 
 
 def token_counts(packed: DataFrame) -> DataFrame:
-    """(id, count) over all documents: dense counts in each task, then one sum."""
+    """(id, count) over all documents: the slices' counts are added in each task, then once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for ids in _unpacked(batch):
-                seen = np.bincount(ids)
-                if len(seen) > len(total):
-                    total = np.pad(total, (0, len(seen) - len(total)))
-                total[: len(seen)] += seen
+            for seen in batch.column(0).to_pylist():
+                n = len(seen) // 12
+                at, counts = np.frombuffer(seen, dtype="<u4", count=n), np.frombuffer(seen, dtype="<i8", offset=4 * n)
+                if n and at[-1] >= len(total):
+                    total = np.pad(total, (0, int(at[-1]) + 1 - len(total)))
+                total[at] += counts
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "count"])
 
-    return packed.select("ids", "width").mapInArrow(run, "id bigint, count bigint").groupBy("id").agg(F.sum("count").alias("count"))
+    return packed.select("seen").where("seen is not null").mapInArrow(run, "id bigint, count bigint").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:

@@ -41,13 +41,54 @@ def test_query_equals_sql(spark, small, duck, name):
 def test_pieces_are_exact(name, separator):
     encoder = PieceEncoder(public_tokenizers.path(name), separator=separator)
     texts = odd_texts(1500)
-    assert encoder.encode_all(texts) == [encoder.whole(t) for t in texts]
-
-
-def test_chunks_are_exact():
+    assert encoder.encode_all(texts) == [encoder.library(t).tobytes() for t in texts]
+    assert PieceEncoder(public_tokenizers.path(name)).encode_all(texts) == encoder.encode_all(texts)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("bits", [2, 6])
+def test_chunks_are_exact(monkeypatch, name, bits):
+    monkeypatch.setattr(bpe, "cut_points", lambda data, cut=bpe.cut_points: cut(data, 4, bits))
+    encoder = bpe.ChunkEncoder(public_tokenizers.path(name), limit=3000)  # the memo is trimmed on the way
+    texts = odd_texts(1500, 1) + ["".join(odd_texts(30, k)) for k in range(10)] + ["some shared passage of words, " * 50 + t for t in odd_texts(20, 3)]
+    want = [encoder.library(t).tobytes() for t in texts]
+    for at in range(0, len(texts), 400):
+        assert encoder.encode_all(texts[at : at + 400]) == want[at : at + 400]
+    assert encoder.encode_all(texts) == want
+
+
+def test_shared_passages_are_encoded_once():
+    encoder, sent = bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    library = encoder.library_all
+    encoder.library_all = lambda texts: sent.append(sum(map(len, texts))) or library(texts)
+    rng = random.Random(3)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(4000))
+    encoder.encode_all([f"one {passage} end"])
+    first = sum(sent)
+    encoder.encode_all([f"{k} {passage} more {k}" for k in range(50)])
+    assert first > len(passage) * 0.9 and sum(sent) - first < 0.05 * first
+
+
+def test_joins_widen_until_ids_agree(monkeypatch):
+    """With cuts that aren't safe, ids beside a join disagree: more is taken, and at last the library does the text."""
+    monkeypatch.setattr(bpe, "safe_cuts", lambda data, starts, odd: np.unique(np.concatenate([starts, np.arange(0, len(data), 5)])))
+    encoder = bpe.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(bpe, "cut_points", lambda data: np.arange(2, len(data), 5))
+    text = "unbelievable characterisations of internationalisation"
+    assert encoder.encode_all([text]) == [encoder.library(text).tobytes()]
+    assert not encoder.memo.firm.all()
+
+
+def test_bpe_of_odd_rows(spark, odd_docs):
+    got = bpe.encode_decode(odd_docs.withColumn("N_Tokens", F.lit("mine")).withColumn("a.b", F.lit(1)), public_tokenizers.path("word_bpe_49k.json"), keep_ids=True, keep_text=True)
+    rows = got.collect()
+    assert [c for c in got.columns if c.lower() == "n_tokens"] == ["n_tokens"] and {"score", "copy", "a.b"} <= set(got.columns)
+    assert len(rows) == 7 and sorted(r["doc_id"] or 0 for r in rows) == [0, 1, 1, 2, 3, 4, 5]
     encoder = bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    texts = odd_texts(400, 1) + ["".join(odd_texts(30, k)) for k in range(10)] + ["some shared passage of words, " * 50 + t for t in odd_texts(20, 3)]
-    assert encoder.encode_all(texts) == [encoder.pieces.whole(t) for t in texts]
+    for r in rows:
+        ids = encoder.library(r["text"] or "")
+        assert r["n_tokens"] == len(ids) and r["ids"] == ids.tobytes() and r["decoded"] == encoder.decode(ids)
+    assert bpe.encode_decode(odd_docs.where("false"), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
 def test_bpe_query(spark, small):
@@ -77,6 +118,11 @@ def test_token_store_of_odd_rows(spark, odd_docs, tmp_path):
     token_store.write_tokens(odd_docs, f"{tmp_path}/s", public_tokenizers.path("byte_bpe_50k.json"))
     got = token_store.read_tokens(spark, f"{tmp_path}/s").orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, 1, 1, 2, 3, 4, 5] and [r["n_tokens"] for r in got][3:5] == [1, 1]
+    hot = spark.range(300).select(F.when(F.col("id") < 100, 7).when(F.col("id") >= 200, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text"))
+    token_store.write_tokens(hot, f"{tmp_path}/h", public_tokenizers.path("word_bpe_49k.json"))
+    got = token_store.read_tokens(spark, f"{tmp_path}/h").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 100 + [7] * 100 + list(range(200, 300)) and got[-1]["start"] == sum(r["n_tokens"] for r in got[:-1])
+    assert spark.read.parquet(f"{tmp_path}/h/blocks").select("bucket").distinct().count() > 8
     token_store.write_tokens(odd_docs.where("false"), f"{tmp_path}/e", public_tokenizers.path("byte_bpe_50k.json"))
     assert token_store.read_tokens(spark, f"{tmp_path}/e").count() == 0
 
