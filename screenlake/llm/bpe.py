@@ -26,7 +26,7 @@ from .pieces import PieceEncoder, safe_cuts, shared
 
 WINDOW = 4
 #: Chunks have 2**CHUNK_BITS bytes on the average. Short ones are shared the most; longer ones make fewer joins.
-CHUNK_BITS = 2
+CHUNK_BITS = 3
 #: Characters of either neighbour that are encoded with a join at first.
 CONTEXT = 1
 SLICE = 8 << 20
@@ -51,7 +51,7 @@ class ChunkEncoder(PieceEncoder):
     def __init__(self, path: str, limit: int = 1_500_000, separator: str | None = None):
         super().__init__(path, limit, separator)
         self.tokens = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())] if self.tok.decoder is None else None
-        self.edges: dict[str, np.ndarray] = {}
+        self.edges: dict[str, bytes] = {}
         self.cuts = np.zeros(0, dtype=np.int64)
 
     def bounds(self, data: np.ndarray, starts: np.ndarray, odd: np.ndarray) -> np.ndarray:
@@ -66,10 +66,10 @@ class ChunkEncoder(PieceEncoder):
             start[ends] = True
         return np.flatnonzero(start)
 
-    def learn(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray, first: np.ndarray, texts: list[str]) -> list[np.ndarray | None]:
+    def learn(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray, first: np.ndarray, texts: list[str]) -> list[bytes | None]:
         begin, end = bounds[first], bounds[first + 1]
         joins = np.searchsorted(self.cuts, begin, side="right") < np.searchsorted(self.cuts, end)
-        out: list[np.ndarray | None] = [None] * len(texts)
+        out: list[bytes | None] = [None] * len(texts)
         cores = np.flatnonzero(~joins).tolist()
         for i, ids in zip(cores, self.encode_new([texts[i] for i in cores])):
             out[i] = ids
@@ -89,7 +89,7 @@ class ChunkEncoder(PieceEncoder):
             for i, (left, right, all_), ids in zip(open_, around, self.encode_new([left + texts[i] + right for i, (left, right, _) in zip(open_, around)])):
                 p, q = (len(self.edges[x]) if x else 0 for x in (left, right))
                 inner = len(ids) - p - q
-                if inner >= 0 and (not p or (ids[:p] == self.edges[left]).all()) and (not q or (ids[-q:] == self.edges[right]).all()):
+                if inner >= 0 and ids[:p] == self.edges.get(left, b"") and ids[p + inner :] == self.edges.get(right, b""):
                     out[i] = ids[p : p + inner]
                 elif not all_:
                     again.append(i)

@@ -13,6 +13,8 @@ offsets into it, their distinct strings are found by Arrow and the ids are gathe
 from __future__ import annotations
 
 import os
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,15 +89,14 @@ class Memo:
         self.used[at[at >= 0]] = self.turn
         return at
 
-    def add(self, stretches: pa.Array, found: list[np.ndarray | None]) -> np.ndarray:
+    def add(self, stretches: pa.Array, found: list[bytes | None]) -> np.ndarray:
         """The places of new stretches; None stands for ids that depend on what is around."""
-        ids = [np.zeros(0, dtype=np.uint32) if x is None else x for x in found]
         self.firm = np.concatenate([self.firm, np.array([x is not None for x in found], dtype=bool)])
-        first, lengths = len(self.known), np.array([len(x) for x in ids], dtype=np.int64)
+        first, lengths = len(self.known), np.array([len(x or b"") // 4 for x in found], dtype=np.int64)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.used = np.concatenate([self.used, np.full(len(ids), self.turn)])
-        self.flat = np.concatenate([self.flat, *ids]) if ids else self.flat
+        self.used = np.concatenate([self.used, np.full(len(found), self.turn)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(x for x in found if x), dtype="<u4")])
         self.known = pa.concat_arrays([self.known, stretches])
         return np.arange(first, len(self.known))
 
@@ -118,7 +119,7 @@ class PieceEncoder:
     either; new stretches are then encoded many at a time. By default the first of a newline and " 0 " that has one id.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000, separator: str | None = None):
+    def __init__(self, path: str, limit: int = 700_000, separator: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -134,12 +135,15 @@ class PieceEncoder:
     def library(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def library_all(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def library_all(self, texts: list[str], at_once: int = 16) -> Iterator[bytes]:
+        """Ids of each text as bytes; few texts at once, as the library's own results are large."""
+        for k in range(0, len(texts), at_once):
+            for e in self.tok.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
 
-    def encode_new(self, texts: list[str], together: int = 200) -> list[np.ndarray]:
-        """Ids of each of ``texts``; those that a separator can't disturb go ``together``."""
-        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+    def encode_new(self, texts: list[str], together: int = 200) -> list[bytes]:
+        """Ids of each of ``texts`` as bytes; those that a separator can't disturb go ``together``."""
+        out: list[bytes] = [b""] * len(texts)
         bare, alone, groups = self.separator.strip() or self.separator, [], [[]]
         for i, t in enumerate(texts):
             if self.mark is None or not t or bare in t or t[-1].isspace() or (t[0].isspace() and (t[0] != " " or t[1:2].isspace())):
@@ -148,21 +152,21 @@ class PieceEncoder:
                 if len(groups[-1]) == together:
                     groups.append([])
                 groups[-1].append(i)
-        for group, ids in zip(groups, self.library_all([self.separator.join(texts[i] for i in g) for g in groups])):
-            cuts = np.flatnonzero(ids == self.mark)
+        for group, raw in zip(groups, self.library_all([self.separator.join(texts[i] for i in g) for g in groups])):
+            cuts = np.flatnonzero(np.frombuffer(raw, dtype="<u4") == self.mark) * 4
             if len(cuts) != len(group) - 1:
                 alone += group
                 continue
-            for i, a, b in zip(group, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                out[i] = ids[a:b]
-        for i, ids in zip(alone, self.library_all([texts[i] for i in alone])):
-            out[i] = ids
+            for i, a, b in zip(group, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]):
+                out[i] = raw[a:b]
+        for i, raw in zip(alone, self.library_all([texts[i] for i in alone], 256)):
+            out[i] = raw
         return out
 
     def bounds(self, data: np.ndarray, starts: np.ndarray, odd: np.ndarray) -> np.ndarray:
         return safe_cuts(data, starts, odd)
 
-    def learn(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray, first: np.ndarray, texts: list[str]) -> list[np.ndarray | None]:
+    def learn(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray, first: np.ndarray, texts: list[str]) -> list[bytes | None]:
         """Ids of new stretches; ``first``: the number of each one's first occurrence among ``bounds``."""
         return self.encode_new(texts)
 
@@ -172,7 +176,10 @@ class PieceEncoder:
         whole = np.zeros(len(texts), dtype=bool)
         for s in self.special:
             whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        return self.mixed(texts, whole)
+        try:
+            return self.mixed(texts, whole)
+        finally:
+            pa.default_memory_pool().release_unused()  # else it keeps the most that any slice took
 
     def mixed(self, texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``; texts marked in ``whole`` go to the library."""
@@ -184,7 +191,7 @@ class PieceEncoder:
             return self.mixed(texts, again)
         if not whole.any():
             return ids, counts
-        by, parts = iter(self.library_all(texts.filter(pa.array(whole)).to_pylist())), iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
+        by, parts = (np.frombuffer(x, dtype="<u4") for x in self.library_all(texts.filter(pa.array(whole)).to_pylist())), iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
         each = [next(by) if w else next(parts) for w in whole]
         return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
 

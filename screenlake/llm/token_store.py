@@ -133,7 +133,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id
         wide = "<u2" if max(encoder.tok.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else "<u4"
         end = np.array([] if end_id is None else [end_id], dtype=wide)
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in text_slices(batches, "text", 8 << 20):
+        for batch in text_slices(batches, "text", 4 << 20):
             ids, counts = encoder.encode(batch.column(1))
             ids = ids.astype(wide)
             cuts = np.cumsum(counts)
