@@ -3,9 +3,11 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
@@ -215,17 +217,36 @@ def test_lm_scores_sum_to_one_and_learn(spark, odd_docs):
     text = " ".join(["red blue green"] * 40)
     docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
     known, weights = lm_scoring.fit(docs)
-    net, start = lm_scoring.Network(weights), lm_scoring.Network()
-    tape, at = lm_scoring.laid_out([lm_scoring.Numbers(known)(text)])
+    counts = np.zeros(lm_scoring.TOKENS)
+    counts[:3] = 1600
+    net, start = lm_scoring.Network(weights), lm_scoring.Network(counts=counts)
+    tape, at = lm_scoring.laid_out(*lm_scoring.Numbers(known)(pa.array([text])))
     assert net.log_probs(tape, at).sum() > start.log_probs(tape, at).sum() + 10
     total = 0.0
-    for token in range(lm_scoring.TOKENS):  # the masked token's own value must not matter
+    for token in range(0, lm_scoring.TOKENS):  # the masked token's own value must not matter
         other = tape.copy()
         other[at[5]] = token
         total += np.exp(net.log_probs(other, at[5:6])[0])
-    assert abs(total - 1) < 1e-4
+    assert abs(total - 1) < 1e-3
     got = lm_scoring.score(odd_docs, known, weights)
     assert got.count() == 7 and got.where("doc_id = 2").first()["log_prob"] == 0
+    assert lm_scoring.score(odd_docs.where("false"), known, weights, counts=lm_scoring.word_counts(docs)).count() == 0
+
+
+def test_lm_gradient_matches_differences():
+    net = lm_scoring.Network(seed=2)
+    rng = np.random.default_rng(1)
+    tape, at = lm_scoring.laid_out(rng.integers(0, lm_scoring.TOKENS, 60), np.array([30, 30]))
+    for key, where in (("w", (3, 2)), ("b", (1,)), ("cw", (4, 7)), ("tw", (int(tape[at[0]]) // lm_scoring.SIZE, 3, 5)), ("embed", (int(tape[at[9]]), 2))):
+        loss = []
+        for move in (1e-2, -1e-2):
+            net.p[key][where] += move
+            loss.append(-net.log_probs(tape, at).mean())
+            net.p[key][where] -= move
+        squares, same = {k: np.zeros_like(v) for k, v in net.p.items()}, lm_scoring.Network(net.flat())
+        same.learn(tape, at, squares)
+        slope = (loss[0] - loss[1]) / 2e-2
+        assert abs(abs(slope) - np.sqrt(squares[key][where])) < 2e-3 and (same.p[key][where] - net.p[key][where]) * slope <= 0
 
 
 def test_lm_trains_on_every_position(spark):
@@ -236,22 +257,57 @@ def test_lm_trains_on_every_position(spark):
         assert (bias[: len(text.split())] > 0).all()  # the bias of every token that was trained on rises
 
 
-def test_lm_tells_words_of_one_number_apart(spark, odd_docs):
-    common, by = " ".join(f"c{i:03}" for i in range(lm_scoring.KNOWN)), {}
-    for i in range(9000):
-        by.setdefault(lm_scoring.Numbers([])(f"r{i}")[0], []).append(f"r{i}")
-    often, once, never, *_ = max(by.values(), key=len)
-    rows = [(i, common) for i in range(9)] + [(10, often), (11, often), (12, often), (13, f"{once} c001")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+def test_lm_scores_against_brute_force(spark, odd_docs):
+    rng = random.Random(4)
+    common_words = [f"c{i:04}" for i in range(lm_scoring.KNOWN - 10)]
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) + rng.choice(["", "x", "y"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += texts[:5] + texts[:2] + ["only", "only", None, "  "] + [" ".join(common_words)] * 30 + [" ".join(rng.choice(common_words[:6]) for _ in range(200)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("Log_Prob", F.lit("mine")).withColumn("a.b", F.col("doc_id"))
     counts = lm_scoring.word_counts(docs)
     known, weights = lm_scoring.fit(docs, counts=counts)
-    judged = spark.createDataFrame([(1, often), (2, once), (3, never), (4, often), (5, f"{often} {often} c001"), (6, None), (6, None), (7, "c001")], docs.schema)
-    plain, got = ({r["doc_id"]: r["log_prob"] for r in lm_scoring.score(judged, known, weights, counts=c).collect()} for c in (None, counts))
-    assert often not in known and once not in known and plain[1] == pytest.approx(plain[2]) == pytest.approx(plain[3])
-    for i, count in ((1, [3]), (2, [1]), (3, [0.5]), (4, [3]), (5, [3, 3]), (6, []), (7, [])):
-        assert got[i] == pytest.approx(plain[i] + sum(np.log(n / 4.5) for n in count))
+    count = Counter(w for t in texts for w in (t or "").split())
+    assert {r["word"]: r["count"] for r in counts.collect()} == count and known == sorted(count, key=lambda w: (-count[w], w))[: lm_scoring.KNOWN]
+    assert len(count) > lm_scoring.KNOWN
+    net, numbers = lm_scoring.Network(weights), lm_scoring.Numbers(known)
+    share, places, each = Counter(), Counter(), []
+    for w, n in count.items():
+        share[int(numbers.of(pa.array([w]))[0])] += n
+    for t in texts:
+        tape, at = lm_scoring.laid_out(*numbers(pa.array([t])))
+        asked = set(lm_scoring.anchors(tape, at)[0].tolist())
+        each.append((tape, at, asked))
+        places.update((int(tape[i - 1]), int(tape[i + 1]), int(tape[i])) for k, i in enumerate(at) if k in asked)
+    sides = Counter()
+    for (left, right, _), n in places.items():
+        sides[left, right] += n
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, known, weights, counts=counts).collect()}
+    assert len(got) == len(texts)
+    for d, t in enumerate(texts):
+        tape, at, asked = each[d]
+        want, words = 0.0, (t or "").split()
+        for k, (i, logp) in enumerate(zip(at, net.log_probs(tape, at))):
+            key = (int(tape[i - 1]), int(tape[i + 1]))
+            if k in asked:
+                c, c_all = places[(*key, int(tape[i]))], sides[key]
+                logp = np.log((c - 1 + np.exp(logp)) / c_all)
+            want += logp
+            if words[k] not in known:
+                want += np.log(count[words[k]] / (share[int(tape[i])] + lm_scoring.UNSEEN))
+        assert got[d]["n_tokens"] == len(words) and got[d]["log_prob"] == pytest.approx(want, abs=1e-3) and got[d]["a.b"] == d
+        assert got[d]["log_prob_per_token"] == pytest.approx(want / max(1, len(words)), abs=1e-3)
     odd = lm_scoring.score(odd_docs, known, weights, counts=counts)
-    assert odd.count() == 7 and odd.columns[: len(odd_docs.columns)] == odd_docs.columns and odd.where("doc_id = 2").first()["log_prob"] == 0
+    assert odd.count() == 7 and odd.columns[: len(odd_docs.columns)] == odd_docs.columns
+
+
+def test_lm_tells_documents_that_occur_twice(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:20])), "doc_id long, text string")
+    counts = lm_scoring.word_counts(docs)
+    got = {r["doc_id"]: r["log_prob_per_token"] for r in lm_scoring.score(docs, *lm_scoring.fit(docs, counts=counts), counts=counts).collect()}
+    once = sorted(got[i] for i in range(20, 120))
+    assert sum(got[i] > once[90] for i in range(20)) >= 18
 
 
 def brute_components(docs, n, percent):
