@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -131,6 +134,14 @@ class Members:
         return F.coalesce(out, F.lit(False))
 
 
+def tidy() -> None:
+    """Hand freed memory back, so that a worker that later tasks use again doesn't keep this one's most."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``limit`` bytes of text, at least one row."""
     for batch in batches:
@@ -143,6 +154,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 2 <<
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    tidy()
 
 
 def with_text_columns(docs: DataFrame, text_col: str, added: list[T.StructField], start: Callable[[], Callable[[pa.Array], list]], limit: int = 2 << 20) -> DataFrame:

@@ -257,7 +257,8 @@ def test_lm_trains_on_every_position(spark):
         assert (bias[: len(text.split())] > 0).all()  # the bias of every token that was trained on rises
 
 
-def test_lm_scores_against_brute_force(spark, odd_docs):
+@pytest.mark.parametrize("listed", [lm_scoring.KNOWN + 20, lm_scoring.LISTED])
+def test_lm_scores_against_brute_force(spark, odd_docs, listed):
     rng = random.Random(4)
     common_words = [f"c{i:04}" for i in range(lm_scoring.KNOWN - 10)]
     texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) + rng.choice(["", "x", "y"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
@@ -271,7 +272,7 @@ def test_lm_scores_against_brute_force(spark, odd_docs):
     net, numbers = lm_scoring.Network(weights), lm_scoring.Numbers(known)
     share, places, each = Counter(), Counter(), []
     for w, n in count.items():
-        share[int(numbers.of(pa.array([w]))[0])] += n
+        share[int(numbers.of(pa.array([w]))[0][0])] += n
     for t in texts:
         tape, at = lm_scoring.laid_out(*numbers(pa.array([t])))
         asked = set(lm_scoring.anchors(tape, at)[0].tolist())
@@ -280,7 +281,7 @@ def test_lm_scores_against_brute_force(spark, odd_docs):
     sides = Counter()
     for (left, right, _), n in places.items():
         sides[left, right] += n
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs, known, weights, counts=counts).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, known, weights, counts=counts, listed=listed).collect()}
     assert len(got) == len(texts)
     for d, t in enumerate(texts):
         tape, at, asked = each[d]
