@@ -7,18 +7,19 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The keys under which a score may stand, and the wordings it is salvaged from, in order.
+# The keys under which a score may stand, and the wordings it is salvaged from, in order (stage, pattern).
 SCORE_KEYS = ("score", "severity_score", "confidence_score")
 SCORE_PATTERNS = (
-    r'(?i)"(?:score|severity_score|confidence_score)"\s*:\s*"?(\d{1,3})',
-    r"(?i)score\s*[:=]\s*(\d{1,3})",
-    r"(?i)score\s+(?:is|of)\s+(\d{1,3})",
-    r"(?i)rating\s*[:=]?\s*(\d{1,3})",
-    r"(?i)(\d{1,3})\s*/\s*100",
-    r"(?i)(\d{1,3})\s+out\s+of\s+100",
-    r"(?i)(\d{1,3})\s*%",
+    ("pattern:1", r'(?i)"score"\s*:\s*(\d+)'),
+    ("pattern:2", r"(?i)score\s*:\s*(\d+)"),
+    ("pattern:3", r'(?i)"score"\s*=\s*(\d+)'),
+    ("pattern:4", r"(?i)score\s+is\s+(\d+)"),
+    ("pattern:4", r"(?i)score\s+of\s+(\d+)"),
+    ("pattern:5", r"(?i)(\d+)\s*/\s*100"),
+    ("pattern:6", r"(?i)(\d+)\s+out\s+of\s+100"),
 )
-CONTEXT = r"(?is)(?:score|rating|assessment|severity)\D{0,20}(\d{1,3})|(\d{1,3})\D{0,20}(?:score|rating|assessment|severity)"
+CONTEXT_WORDS = "score|rating|assessment|severity"
+CONTEXT_REACH = 20
 FLAG_KEYS = ("signal", "indicator", "overall_indicator")
 WHOLE_OBJECT = r"(?s)^\s*\{.*\}\s*$"
 
@@ -70,20 +71,38 @@ def embedded_object(response: Column) -> Column:
     return matched(response, r"(?s)(\{.*\})")
 
 
-def score_stages(response: Column) -> list[tuple[str, Column]]:
-    """(stage, score) in the order in which the cascade tries them."""
-    inner = embedded_object(response)
-    stages = [(f"json:{k}", F.floor(clamped(number(json_field(inner, k)))).cast("double")) for k in SCORE_KEYS]
-    stages += [(f"pattern:{i}", clamped(number(matched(response, p)))) for i, p in enumerate(SCORE_PATTERNS, 1)]
-    return [*stages, ("context", clamped(number(F.coalesce(matched(response, CONTEXT, 1), matched(response, CONTEXT, 2)))))]
+def json_score(parsed: Column, key: str) -> Column:
+    """A key's number, or its text of digits alone, within bounds and without its fraction; true counts as 1."""
+    text, kind = F.try_variant_get(parsed, f"$.{key}", "string"), F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
+    value = F.when(kind == "BOOLEAN", (text == "true").cast("double")).when(kind != "STRING", number(text)).when(text.rlike(r"^\d+$"), number(text))
+    return F.floor(clamped(value)).cast("double")
 
 
-def cascade_score(response: Column) -> Column:
-    return F.coalesce(*[c for _, c in score_stages(response)])
+def context_score(response: Column) -> Column:
+    """The first number of at most 100 near whose first mention a scoring word stands."""
+
+    def near(x: Column) -> Column:
+        at = F.position(x, response) - 1
+        start = F.greatest(at - CONTEXT_REACH, F.lit(0))
+        return (number(x) <= 100) & F.lower(F.substr(response, start + 1, at + CONTEXT_REACH - start)).rlike(CONTEXT_WORDS)
+
+    return number(F.get(F.filter(F.regexp_extract_all(response, F.lit(r"\b(\d{1,3})\b"), F.lit(1)), near), F.lit(0)))
+
 
+def cascade(response: Column) -> Column:
+    """A struct of the score and the stage that found it; NULL if none does. JSON is parsed once.
 
-def cascade_stage(response: Column) -> Column:
-    return reduce(lambda rest, s: F.when(s[1].isNotNull(), F.lit(s[0])).otherwise(rest), reversed(score_stages(response)), F.lit("none"))
+    The order: the object's keys, the wordings, a score salvaged after its quoted key, a number in a scoring context.
+    """
+    parsed = F.try_parse_json(embedded_object(response))
+    stages = [(f"json:{k}", json_score(parsed, k)) for k in SCORE_KEYS]
+    stages += [(stage, clamped(number(matched(response, p)))) for stage, p in SCORE_PATTERNS]
+    stages += [("salvage", clamped(number(matched(F.replace(response, F.lit("\\"), F.lit("")), r'(?s)"score".*?(\d+)')))), ("context", context_score(response))]
+    return F.coalesce(*[F.when(score.isNotNull(), F.struct(score.alias("score"), F.lit(stage).alias("stage"))) for stage, score in stages])
+
+
+def cascade_score(response: Column) -> Column:
+    return cascade(response)["score"]
 
 
 def salvaged_field(response: Column, key: str, following: list[str]) -> Column:
@@ -134,14 +153,18 @@ def validated(response: Column, format_name: Column) -> Column:
 
 
 def flag(response: Column) -> Column:
-    """The first present of the flag keys as 0/1."""
-    return F.coalesce(*[flag_number(json_field(response, k)) for k in FLAG_KEYS])
+    """The first of the flag keys that the object has, as 0/1; NULL if its value is not flag-like."""
+    parsed = F.try_parse_json(F.when(response.rlike(WHOLE_OBJECT), response))
+    rest = F.lit(None).cast("double")
+    for k in reversed(FLAG_KEYS):
+        rest = F.when(F.try_variant_get(parsed, f"$.{k}", "variant").isNotNull(), flag_number(F.try_variant_get(parsed, f"$.{k}", "string"))).otherwise(rest)
+    return rest
 
 
 def flag_number(value: Column) -> Column:
     """Flag-like text to 1, 0 or NULL."""
     text = F.lower(F.trim(value.cast("string")))
-    return F.when(text.isin("1", "1.0", "true", "t", "yes", "y"), F.lit(1.0)).when(text.isin("0", "0.0", "false", "f", "no", "n"), F.lit(0.0))
+    return F.when(text.isin("1", "1.0", "true", "yes", "y"), F.lit(1.0)).when(text.isin("0", "0.0", "false", "no", "n"), F.lit(0.0))
 
 
 def period(headline: Column) -> tuple[Column, Column]:

@@ -59,8 +59,8 @@ def confusion_metrics(spark, d):
 @query(f"WITH {s.RUNS}, {s.RATINGS}, {FIRST} SELECT p.prompt, r.doc_id, f.score, r.rater_a, r.rater_b FROM (SELECT DISTINCT prompt FROM runs) p CROSS JOIN ratings r LEFT JOIN first f ON f.prompt = p.prompt AND f.doc_id = r.doc_id")
 def prompt_label_grid(spark, d):
     runs = s.runs(spark, d)
-    prompts = runs.select("prompt").distinct()
-    wanted = s.ratings(spark, d).withColumn("prompt", F.explode(F.array(*[F.lit(r["prompt"]) for r in prompts.collect()])))  # the prompts, a short list
+    prompts = runs.agg(F.collect_set("prompt").alias("prompts"))  # one row, merged in tasks
+    wanted = s.ratings(spark, d).crossJoin(F.broadcast(prompts)).withColumn("prompt", F.explode("prompts"))
     return wanted.join(ops.first_run(runs).select("prompt", "doc_id", "score"), ["prompt", "doc_id"], "left").select("prompt", "doc_id", "score", "rater_a", "rater_b")
 
 

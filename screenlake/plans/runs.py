@@ -167,8 +167,8 @@ def malformed(spark, d):
 
 @query(R + "SELECT run_id, CASE WHEN run_id % 8 < 7 THEN score END AS score, CASE run_id % 8 WHEN 2 THEN 'pattern:2' WHEN 3 THEN 'pattern:5' WHEN 4 THEN 'pattern:6' WHEN 5 THEN 'json:severity_score' WHEN 6 THEN 'pattern:1' WHEN 7 THEN 'none' ELSE 'json:score' END AS stage FROM runs")
 def parse_scores(spark, d):
-    r = F.col("response")
-    return malformed(spark, d).select("run_id", parsing.cascade_score(r).alias("score"), parsing.cascade_stage(r).alias("stage"))
+    found = malformed(spark, d).select("run_id", parsing.cascade(F.col("response")).alias("found"))
+    return found.select("run_id", F.col("found.score").alias("score"), F.coalesce("found.stage", F.lit("none")).alias("stage"))
 
 
 @query(R + "SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 'why ' || score::INT ELSE 'cut ' || score::INT END AS reasoning, score::INT::VARCHAR AS score_text FROM runs")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ def headered_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", en
 def yearly_csv(spark: SparkSession, path: str, schema: str, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
     """Delimited files of several years; file_year is the first year in a file's path below ``path``."""
     df = spark.read.schema(schema).option("recursiveFileLookup", True).csv(path, header=True, sep=sep, encoding=encoding)
-    below = F.element_at(F.split(F.col("_metadata.file_path"), path.rstrip("/").rsplit("/", 1)[-1]), -1)
+    below = F.substring_index(F.col("_metadata.file_path"), f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1)
     return df.select("*", F.regexp_extract(below, r"((?:19|20)\d{2})", 1).try_cast("bigint").alias("file_year"))
 
 
@@ -29,11 +30,21 @@ def append_stamped(df: DataFrame, path: str) -> None:
     df.withColumn("date", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def export_csv(df: DataFrame, path: str, prompts: list[str] | None = None, column: str = "prompt") -> None:
+def export_csv(df: DataFrame, path: str, prompts: list[str] | None = None, column: str = "prompt", latest: tuple[list[str], list[str]] | None = None) -> None:
+    """Write ``df`` with a header; ``prompts``: only their rows; ``latest``: (keys, order), only the last row of each key."""
     chosen = df if prompts is None else df.where(F.col(column).isin(prompts))
+    if latest:
+        keys, order = latest
+        chosen = chosen.groupBy(*keys).agg(F.max_by(F.struct(*chosen.columns), F.struct(*order)).alias("row")).select("row.*")
     chosen.write.option("header", True).csv(path)
 
 
+def clean_names(names: list[str]) -> list[str]:
+    """Trimmed, lower-case names without accents and brackets, with _ for spaces."""
+    plain = (unicodedata.normalize("NFKD", n.strip().lower()).encode("ascii", "ignore").decode() for n in names)
+    return [n.replace(" ", "_").replace("(", "").replace(")", "") for n in plain]
+
+
 def profile(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows, n_columns, n_chars) of each table, n_chars the length of all values as text."""
     def one(name: str, df: DataFrame) -> DataFrame:

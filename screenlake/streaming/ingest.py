@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.documents import ingested, tokens_of
 
 
+def written(spark: SparkSession, table: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def ingest_available(spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int = 1000) -> None:
     """Parse the result files that have landed and append results that the table does not hold yet.
 
@@ -18,11 +22,11 @@ def ingest_available(spark: SparkSession, source: str, table: str, checkpoint: s
     """
 
     def save(batch: DataFrame, _: int) -> None:
-        new = ingested(batch).dropDuplicates(["custom_id"])
-        try:
-            held = spark.read.parquet(table).select("custom_id")
-        except AnalysisException:  # the first batch makes the table
-            held = None
+        rows = ingested(batch)
+        names = [c for c in rows.columns if c != "custom_id"]
+        # of several results of a request the one whose text sorts first, in whatever order they landed
+        new = rows.groupBy("custom_id").agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("row")).select(*[F.col("row")[c].alias(c) if c != "custom_id" else F.col(c) for c in rows.columns])
+        held = spark.read.schema(rows.schema).parquet(table).select("custom_id") if written(spark, table) else None  # the first batch makes the table
         (new if held is None else new.join(held, "custom_id", "left_anti")).write.mode("append").parquet(table)
 
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(source)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from screenlake.functions import expr, parsing
 
 CASES = [('{"score": 80}', 80), ('{"score": "80"}', 80), ('{"score": 75.9}', 75), ('{"score": 180}', 100), ('x {"severity_score": 7} y', 7), ("Score: 55", 55), ("it is 40/100", 40), ("40 out of 100", 40), ('{"score": 61, "rea', 61), ("nothing", None), ("", None), (None, None), ("assessment maybe 33", 33)]
+CASES += [("Margins rose 12% on the year.", None), ("severity 180", None), ("the rating: I think 40", 40), ("the rating was, I think, 40", None), ("Score is 7 or a score of 8", 7), ("a score of 8, 9/100", 8), ("score: 250", 100), ('{"score": null, "severity_score": 9}', 9), ('{"score": "12x"} 30 out of 100', 30), ('{"score": \\"44', 44), ('{"score": true}', 1), ("5 cats, score unknown", 5), ("12 and much later, after many other words, a score", None), ("75 bps at a ratio of 75, rating 75", None), ("rated 50 overall", None)]
 
 
 def test_cascade(spark):
@@ -23,6 +24,12 @@ def test_never_raises(spark, texts):
     assert len(df.select(parsing.cascade_score(r), parsing.excerpts(r), parsing.flag(r), parsing.salvaged_field(r, "score", ["excerpts"])).collect()) == len(texts)
 
 
+def test_first_flag_key_decides(spark):
+    cases = [('{"signal": true, "indicator": false}', 1), ('{"indicator": "no"}', 0), ('{"signal": null, "indicator": true}', None), ('{"signal": "maybe", "indicator": true}', None), ('{"overall_indicator": 1}', 1), ('{"signal": "t"}', None), ("{}", None), (None, None), ("x", None)]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "r string")
+    assert [x[0] for x in df.select(parsing.flag(F.col("r"))).collect()] == [v for _, v in cases]
+
+
 def test_declared_formats(spark):
     cases = [
         ("SignalReasoning", '{"signal": "s", "reasoning": "r"}', True), ("FlagReasoning", '{"signal": true, "reasoning": "r", "more": 1}', True), ("FlagReasoning", '{"signal": "maybe", "reasoning": "r"}', False),
