@@ -26,7 +26,7 @@ from .pieces import PieceEncoder, safe_cuts, shared
 
 WINDOW = 4
 #: Chunks have 2**CHUNK_BITS bytes on the average. Short ones are shared the most; longer ones make fewer joins.
-CHUNK_BITS = 3
+CHUNK_BITS = 2
 #: Characters of either neighbour that are encoded with a join at first.
 CONTEXT = 1
 SLICE = 1 << 20
@@ -48,7 +48,7 @@ def cut_points(data: np.ndarray, window: int = WINDOW, bits: int = CHUNK_BITS) -
 class ChunkEncoder(PieceEncoder):
     """Encodes texts; the stretches of its memo are cores of chunks and joins."""
 
-    def __init__(self, path: str, limit: int = 250_000, separator: str | None = None):
+    def __init__(self, path: str, limit: int = 600_000, separator: str | None = None):
         super().__init__(path, limit, separator)
         self.tokens = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())] if self.tok.decoder is None else None
         self.edges: dict[str, bytes] = {}
