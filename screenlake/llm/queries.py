@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language_id, lm_scoring, mixing, near_dedup, quality, token_store, topk, url_filter
+from . import ann, bpe, language_id, lm_scoring, mixing, near_dedup, piece_model, prefix_trie, quality, token_store, topk, url_filter, whitening
 from .common import fold, shared_dir, staged, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -70,7 +70,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out(), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_token_store, op4_lm_scoring, op5_ann, op6_url_filter, op7_bpe, op8_near_dedup, op9_topk, op10_quality)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_piece_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return piece_model.encode_decode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_token_store, op4_lm_scoring, op5_ann, op6_url_filter, op7_bpe, op8_near_dedup, op9_topk, op10_quality, op11_whitening, op12_piece_model, op13_prefix_trie)}
 
 ORACLES = {
     "op2_mixing": """
@@ -100,4 +114,17 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(ra
     FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op13_prefix_trie": """
+WITH own AS (SELECT conv_id AS c, list({'r': role, 'x': text} ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS t
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY 1),
+crc AS (SELECT c, t, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::VARCHAR, ''), lambda b: [ascii(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 6 AS h FROM own),
+whole AS (SELECT o.c, coalesce(b.t, [])[1:o.h] || o.t[o.h + 1:] AS t FROM crc o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+members AS (SELECT c, d, t[1:d] AS k, len(t) = d AS ends FROM whole, LATERAL (SELECT unnest(range(len(t) + 1)) AS d)),
+nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '')) AS e FROM members GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(kids, 0) AS kids, CASE WHEN n.d > 0 THEN (n.n - 1) * length(n.k[n.d].x) ELSE 0 END AS saved FROM nodes n LEFT JOIN kids USING (d, k)),
+sums AS (SELECT a AS d, k[1:a] AS k, sum((kids = 0)::INT) AS leaves, sum(saved) AS saved FROM full_nodes, LATERAL (SELECT unnest(range(d + 1)) AS a) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, f.e AS ends_sha256
+FROM full_nodes f JOIN sums s USING (d, k) LEFT JOIN nodes p ON p.d = f.d - 1 AND p.k = f.k[1:f.d - 1]""",
 }
