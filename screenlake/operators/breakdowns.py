@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import as_count, bin_label, percent, rounded, wilson
+from .ranks import quantiles, range_number
 
 
 def rates(df: DataFrame, by: list[str], flag: str = "flag", mean_of: str | None = None) -> DataFrame:
@@ -20,15 +21,11 @@ def with_interval(df: DataFrame) -> DataFrame:
     return df.withColumns({"pct": rounded(percent(F.col("hits"), F.col("n"))), "ci_low": rounded(low), "ci_high": rounded(high)})
 
 
-def quantile_bins(df: DataFrame, value: str, bins: int = 10, accuracy: int | None = None) -> DataFrame:
-    """``df`` with bin 1 .. ``bins``: right-closed between interpolated quantiles; equal edges count once.
-
-    ``accuracy``: use approximate quantiles of that accuracy, for very many different values.
-    """
-    shares = [i / bins for i in range(1, bins)]
-    edges = F.percentile(value, F.array(*map(F.lit, shares))) if accuracy is None else F.percentile_approx(value, shares, accuracy)
-    one = df.agg(F.array_distinct(edges).alias("_edges"))
-    return df.crossJoin(F.broadcast(one)).withColumn("bin", F.when(F.col(value).isNotNull(), 1 + F.size(F.filter("_edges", lambda e: e < F.col(value)))).cast("bigint")).drop("_edges")  # one row on the right
+def quantile_bins(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
+    """``df`` with bin 1 .. ``bins``: right-closed between interpolated exact quantiles; equal edges count once; NULL has none."""
+    edges = sorted({e for e in quantiles(df, {value: [i / bins for i in range(1, bins)]})[value] if e is not None})
+    v = F.col(value).cast("double")
+    return df.withColumn("bin", F.when(v.isNotNull() & ~F.isnan(v), 1 + range_number(v, edges)).cast("bigint"))
 
 
 def hierarchy_rates(df: DataFrame, codes: dict[str, list[int]], names: DataFrame, flag: str = "flag") -> DataFrame:
@@ -107,3 +104,11 @@ def leaderboard(df: DataFrame, group: str, entity: str, flag: str, best: int) ->
     per = df.groupBy(group, entity).agg(as_count(F.count(F.lit(1))).alias("n"), as_count(F.sum(F.col(flag).cast("int"))).alias("hits"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), F.desc("hits"), F.asc(entity))).cast("bigint")
     return per.withColumn("rank", rank).where(F.col("rank") <= best).select(group, entity, "rank", "n", "hits", rounded(percent(F.col("hits"), F.col("n"))).alias("pct"))
+
+
+def continuous_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, mean, median, low, high, n) of each numeric column; exact medians by counting."""
+    medians = quantiles(df, {c: [0.5] for c in columns})
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v"), F.lit(medians[c][0]).cast("double").alias("median")) for c in columns]))
+    v = F.col("z.v")
+    return df.select(each.alias("z")).groupBy("z.column_name").agg(rounded(F.avg(v)).alias("mean"), rounded(F.first("z.median")).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"), as_count(F.count(v)).alias("n"))

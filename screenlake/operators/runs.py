@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import as_count, rounded
+from .ranks import numbered_across, running_sums
 
 
 def numbered(df: DataFrame, keys: list[str], *order: Column, name: str = "rn") -> DataFrame:
@@ -83,14 +84,26 @@ def run_deficits(runs: DataFrame, docs: DataFrame, target: int) -> DataFrame:
 
 def packed(requests: DataFrame, cap: int) -> DataFrame:
     """Which requests of each prompt fit under the token cap: the longest prefix, at least one."""
-    w = Window.partitionBy("prompt").orderBy("run_id")
-    r = requests.withColumn("running", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(w))
+    r = running_sums(requests.select("prompt", "run_id", "tokens"), ["prompt"], "run_id", {"running": F.col("tokens"), "rn": F.lit(1).cast("bigint")})
     return r.select("prompt", "run_id", "tokens", "running", ((F.col("running") <= cap) | (F.col("rn") == 1)).alias("kept"))
 
 
 def submittable(batches: DataFrame, cap: int, live: tuple[str, ...]) -> DataFrame:
     """Pending batches, in order of creation within a queue, that fit into what live ones leave of the cap."""
     used = batches.groupBy("queue").agg(F.coalesce(F.sum(F.when(F.col("status").isin(*live), F.col("tokens"))), F.lit(0)).alias("used"))
-    w = Window.partitionBy("queue").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    r = batches.where("status = 'pending'").withColumn("running", F.sum("tokens").over(w)).join(used, "queue")
+    pending = batches.where("status = 'pending'").select("queue", "batch_id", "tokens")
+    r = running_sums(pending, ["queue"], "batch_id", {"running": F.col("tokens")}).join(used, "queue")
     return r.where(F.col("running") <= F.greatest(F.lit(0), F.lit(cap) - F.col("used"))).select("queue", "batch_id", "tokens", "running")
+
+
+def entity_batches(requests: DataFrame, docs: DataFrame, entity: str, prompt_tokens: int, context: int) -> DataFrame:
+    """A batch for each entity of a queue (prompt) with a sized document: its number by entity, totals and diagnostics.
+
+    ``requests``: (prompt, entity, tokens), tokens NULL for a document without a size, which isn't sent; ``docs``: (entity, n_chars).
+    n_intended requests, n_sent of them with a size, n_missing without, n_tokens with the prompt's own, the largest
+    document, requests over the context, and the characters sent. Entities without anything to send have no batch.
+    """
+    sized, whole = F.col("tokens").isNotNull(), F.col("tokens") + prompt_tokens
+    n = F.count(F.lit(1))
+    per = requests.join(docs, entity, "left").groupBy("prompt", entity).agg(as_count(n).alias("n_intended"), as_count(F.count("tokens")).alias("n_sent"), as_count(n - F.count("tokens")).alias("n_missing"), as_count(F.sum(whole)).alias("n_tokens"), as_count(F.max("tokens")).alias("largest"), as_count(F.count_if(whole > context)).alias("n_over"), as_count(F.coalesce(F.sum(F.when(sized, F.col("n_chars"))), F.lit(0))).alias("n_chars"))
+    return numbered_across(per.where("n_sent > 0"), ["prompt"], entity, name="batch_no")

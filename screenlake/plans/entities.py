@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expr
 from ..functions.expr import as_count, percent, rounded
 from ..operators import breakdowns as b, entities as ops
+from ..operators.ranks import quantiles
 from . import standins as s
 from .registry import query
 
@@ -297,9 +298,7 @@ def score_by_sample(spark, d):
 
 @query(f"{E}, x AS (SELECT unnest([{{'c': 'covariate', 'v': covariate}}, {{'c': 'sector', 'v': sector::DOUBLE}}]) AS z FROM entities) SELECT z.c AS column_name, round(avg(z.v), 6) AS mean, round(median(z.v), 6) AS median, min(z.v) AS low, max(z.v) AS high, count(z.v) AS n FROM x GROUP BY 1")
 def continuous_summary(spark, d):
-    z = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in ("covariate", "sector")]))
-    v = F.col("z.v")
-    return s.entities(spark, d).select(z.alias("z")).groupBy("z.column_name").agg(rounded(F.avg(v)).alias("mean"), rounded(F.percentile(v, F.lit(0.5))).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"), as_count(F.count(v)).alias("n"))
+    return b.continuous_summary(s.entities(spark, d), ["covariate", "sector"])
 
 
 @query(f"{V} SELECT count(*) AS n_docs, count(DISTINCT event) AS n_entities, min(created) AS first_at, max(created) AS last_at, round(date_diff('day', min(created), max(created)) / 365.25, 6) AS span_years, count(DISTINCT year(created)) AS n_years, round(count(*) / count(DISTINCT year(created)), 6) AS per_year, round(sum(amount) / 3600, 4) AS total_hours FROM versions")
@@ -310,4 +309,6 @@ def dataset_overview(spark, d):
 
 @query(f"{E} SELECT count(DISTINCT CASE WHEN covariate >= 0 THEN entity END) AS n_with_value, count(DISTINCT sector) AS n_sectors, count(DISTINCT country) AS n_countries, round(median(covariate), 6) AS median_value FROM entities")
 def coverage_stats(spark, d):
-    return s.entities(spark, d).agg(as_count(F.count_distinct(F.when(F.col("covariate") >= 0, F.col("entity")))).alias("n_with_value"), as_count(F.count_distinct("sector")).alias("n_sectors"), as_count(F.count_distinct("country")).alias("n_countries"), rounded(F.percentile("covariate", F.lit(0.5))).alias("median_value"))
+    e = s.entities(spark, d)
+    median = quantiles(e, {"covariate": [0.5]})["covariate"][0]
+    return e.agg(as_count(F.count_distinct(F.when(F.col("covariate") >= 0, F.col("entity")))).alias("n_with_value"), as_count(F.count_distinct("sector")).alias("n_sectors"), as_count(F.count_distinct("country")).alias("n_countries"), rounded(F.lit(median).cast("double")).alias("median_value"))

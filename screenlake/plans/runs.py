@@ -139,10 +139,11 @@ def submittable_batches(spark, d):
     return ops.submittable(doc_batches(spark, d), 600_000, ("submitted",))
 
 
-@query(REQ + ", e AS (SELECT prompt, doc_id, count(*) AS n_requests, sum(tokens)::BIGINT AS n_tokens, max(tokens)::BIGINT AS largest FROM req GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY doc_id) AS batch_no FROM e")
+@query(REQ + ", w AS (SELECT prompt, doc_id, CASE WHEN run_id % 7 <> 0 THEN tokens END AS tokens, n_chars FROM req JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)), e AS (SELECT prompt, doc_id, count(*) AS n_intended, count(tokens) AS n_sent, count(*) - count(tokens) AS n_missing, sum(tokens + 500)::BIGINT AS n_tokens, max(tokens)::BIGINT AS largest, count(*) FILTER (WHERE tokens + 500 > 1000) AS n_over, coalesce(sum(n_chars) FILTER (WHERE tokens IS NOT NULL), 0)::BIGINT AS n_chars FROM w GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY doc_id) AS batch_no FROM e WHERE n_sent > 0")
 def entity_batches(spark, d):
-    per = requests_of_runs(spark, d).groupBy("prompt", "doc_id").agg(as_count(F.count(F.lit(1))).alias("n_requests"), as_count(F.sum("tokens")).alias("n_tokens"), as_count(F.max("tokens")).alias("largest"))
-    return ops.numbered(per, ["prompt"], F.asc("doc_id"), name="batch_no")
+    """Every seventh request's document has no known size."""
+    sized = requests_of_runs(spark, d).select("prompt", "doc_id", F.when(F.col("run_id") % 7 != 0, F.col("tokens")).alias("tokens"))
+    return ops.entity_batches(sized, s.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", 500, 1000)
 
 
 @query(f"WITH {s.FOLLOWUPS} SELECT f.followup_id, f.parent_id, r.doc_id, r.prompt AS parent_prompt, r.score AS parent_score, f.score AS followup_score FROM followups f JOIN runs r ON f.parent_id = r.run_id WHERE r.prompt <> 'error'")
