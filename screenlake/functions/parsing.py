@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,8 +23,9 @@ CONTEXT_WORDS = "score|rating|assessment|severity"
 CONTEXT_REACH = 20
 FLAG_KEYS = ("signal", "indicator", "overall_indicator")
 WHOLE_OBJECT = r"(?s)^\s*\{.*\}\s*$"
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 
-# The declared response formats: their required fields and types.
+# The declared response formats, their required fields and types.
 SCORE, REASONING, EXCERPTS = {"score": "int"}, {"reasoning": "string"}, {"excerpts": "array"}
 FORMATS: dict[str, dict[str, str]] = {
     "Score": SCORE,
@@ -66,50 +68,139 @@ def simple_score(response: Column, key: str = "score") -> Column:
     return F.coalesce(number(json_field(response, key)), number(matched(response, rf'"{key}"\s*:\s*"?(-?\d+(?:\.\d+)?)')))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def embedded_object(response: Column) -> Column:
-    """The part from the first { to the last }."""
-    return matched(response, r"(?s)(\{.*\})")
+    """The part from the first { to the last }; empty without one."""
+    return F.regexp_extract(response, r"(?s)(\{.*\})", 1)
+
+
+def last_fields(text: Column, keys: tuple[str, ...]) -> Column:
+    """The keys' values, as text, of an object that may repeat keys: the last one counts. NULL for broken JSON."""
+    ddl = ", ".join(f"`{k}` STRING" for k in keys)
+    read = F.from_json(text, f"{ddl}, _broken STRING", {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_broken"})
+    return let(read, lambda r: F.when(r["_broken"].isNull(), r))
 
 
 def json_score(parsed: Column, key: str) -> Column:
     """A key's number, or its text of digits alone, within bounds and without its fraction; true counts as 1."""
-    text, kind = F.try_variant_get(parsed, f"$.{key}", "string"), F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
-    value = F.when(kind == "BOOLEAN", (text == "true").cast("double")).when(kind != "STRING", number(text)).when(text.rlike(r"^\d+$"), number(text))
-    return F.floor(clamped(value)).cast("double")
+
+    def of(x: Column) -> Column:
+        text = x["text"]
+        value = F.when(x["kind"] == "BOOLEAN", (text == "true").cast("double")).when((x["kind"] != "STRING") | text.rlike(r"^\d+$"), number(text))
+        return F.floor(let(value, lambda v: clamped(v))).cast("double")
+
+    return let(F.struct(F.try_variant_get(parsed, f"$.{key}", "string").alias("text"), F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant")).alias("kind")), of)
 
 
 def context_score(response: Column) -> Column:
     """The first number of at most 100 near whose first mention a scoring word stands."""
 
     def near(x: Column) -> Column:
-        at = F.position(x, response) - 1
-        start = F.greatest(at - CONTEXT_REACH, F.lit(0))
-        return (number(x) <= 100) & F.lower(F.substr(response, start + 1, at + CONTEXT_REACH - start)).rlike(CONTEXT_WORDS)
+        start = lambda at: F.greatest(at - CONTEXT_REACH, F.lit(0))
+        words = let(F.position(x, response) - 1, lambda at: F.lower(F.substr(response, start(at) + 1, at + CONTEXT_REACH - start(at))))
+        return (number(x) <= 100) & words.rlike(CONTEXT_WORDS)
 
     return number(F.get(F.filter(F.regexp_extract_all(response, F.lit(r"\b(\d{1,3})\b"), F.lit(1)), near), F.lit(0)))
 
 
 def cascade(response: Column) -> Column:
-    """A struct of the score and the stage that found it; NULL if none does. JSON is parsed once.
+    """A struct of the score and the stage that found it; NULL if none does.
 
-    The order: the object's keys, the wordings, a score salvaged after its quoted key, a number in a scoring context.
+    The order: the object's keys, the wordings, a score salvaged after its quoted key, a number in a scoring
+    context. JSON is parsed once (again only if it is broken or repeats keys), and each pattern is searched at most
+    once, and only where everything before it found nothing.
     """
-    parsed = F.try_parse_json(embedded_object(response))
-    stages = [(f"json:{k}", json_score(parsed, k)) for k in SCORE_KEYS]
-    stages += [(stage, clamped(number(matched(response, p)))) for stage, p in SCORE_PATTERNS]
-    stages += [("salvage", clamped(number(matched(F.replace(response, F.lit("\\"), F.lit("")), r'(?s)"score".*?(\d+)')))), ("context", context_score(response))]
-    return F.coalesce(*[F.when(score.isNotNull(), F.struct(score.alias("score"), F.lit(stage).alias("stage"))) for stage, score in stages])
+    staged = lambda name, score: let(score, lambda v: F.when(v.isNotNull(), F.struct(v.alias("score"), F.lit(name).alias("stage"))))
+    by_key = lambda parsed: F.coalesce(*(staged(f"json:{k}", json_score(parsed, k)) for k in SCORE_KEYS))
+    digits = lambda text, k: F.when(text[k].rlike(r"^-?\d+(\.\d+)?$"), F.floor(let(number(text[k]), lambda v: clamped(v))).cast("double"))
+    repeated = lambda text: F.coalesce(*(staged(f"json:{k}", digits(text, k)) for k in SCORE_KEYS))
+    from_object = let(embedded_object(response), lambda text: let(F.try_parse_json(text), lambda parsed: F.when(parsed.isNotNull(), by_key(parsed)).when(text != "", let(last_fields(text, SCORE_KEYS), repeated))))
+    wordings = [staged(stage, let(number(F.regexp_extract(response, p, 1)), lambda v: clamped(v))) for stage, p in SCORE_PATTERNS]
+    salvage = let(number(F.regexp_extract(F.replace(response, F.lit("\\"), F.lit("")), r'(?s)"score".*?(\d+)', 1)), lambda v: clamped(v))
+    return F.coalesce(from_object, *wordings, staged("salvage", salvage), staged("context", context_score(response)))
 
 
 def cascade_score(response: Column) -> Column:
     return cascade(response)["score"]
 
 
-def salvaged_field(response: Column, key: str, following: list[str]) -> Column:
-    """What stands between a quoted key and the next of the ``following`` keys, in a malformed object."""
-    flat = F.regexp_replace(F.replace(response, F.lit("\\"), F.lit("")), r"\s+", " ")
-    end = "|".join([*(rf',\s*"{k}"\s*:' for k in following), r"\}\s*$", "$"])
-    return F.nullif(F.trim(F.regexp_replace(matched(flat, rf'"{key}"\s*:\s*(.*?)\s*(?:{end})'), r'^"|"$', "")), F.lit(""))
+def salvaged(response: Column, keys: list[str]) -> Column:
+    """Fields of a malformed object, as a struct (score, reasoning, excerpts); NULL where the field isn't found.
+
+    White space is one space and backslashes are gone. The quoted ``keys`` are searched in the given order, each behind the one
+    found before it, so a key that stands too early is missed; a field reaches to the next key found, or to the end. Of it
+    score takes the first whole number; reasoning what is behind the first colon from the first letter to the last; excerpts
+    what is behind the colon, between the first brackets if one opens, and to the end if none closes.
+    """
+    flat = F.replace(F.regexp_replace(response, SPACES, " "), F.lit("\\"), F.lit(""))
+    found = "array<struct<key:string,at:int>>"
+
+    def places(text: Column) -> Column:
+        def step(acc: Column, key: Column) -> Column:
+            quoted = F.concat(F.lit('"'), key, F.lit('"'))
+            return let(F.call_function("locate", quoted, text, acc["from"]), lambda at: F.when(at > 0, F.struct((at + F.length(quoted)).alias("from"), F.concat(acc["parts"], F.array(F.struct(key.alias("key"), at.alias("at")))).cast(found).alias("parts"))).otherwise(acc))
+
+        return F.aggregate(F.array(*map(F.lit, keys)), F.struct(F.lit(1).alias("from"), F.array().cast(found).alias("parts")), step, lambda acc: acc["parts"])
+
+    def slices(text: Column) -> Column:
+        def one(parts: Column) -> Column:
+            def cut(part: Column) -> Column:
+                start = part["at"] + F.length(part["key"]) + 2
+                later = F.array_min(F.transform(F.filter(parts, lambda p: p["at"] > part["at"]), lambda p: p["at"]))
+                return F.struct(part["key"].alias("key"), F.substr(text, start, F.coalesce(later, F.length(text) + 1) - start).alias("text"))
+
+            return F.transform(parts, cut)
+
+        return let(places(text), one)
+
+    after_colon = lambda t, rule: let(F.position(F.lit(":"), t), lambda at: F.when(at > 0, let(F.substr(t, at + 1), rule)).when(t.isNotNull(), F.lit("")))
+
+    def bracketed(t: Column) -> Column:
+        between = let(F.struct(F.position(F.lit("["), t).alias("a"), F.position(F.lit("]"), t).alias("b")), lambda x: F.when(x["a"] == 0, t).when(x["b"] == 0, F.substr(t, x["a"] + 1)).otherwise(F.substr(t, x["a"] + 1, F.greatest(x["b"] - x["a"] - 1, F.lit(0)))))
+        return F.trim(between)
+
+    def fields(parts: Column) -> Column:
+        of = lambda key: F.get(F.filter(parts, lambda p: p["key"] == key), F.lit(0))["text"]
+        score = F.regexp_extract(of("score"), r"\d+", 0).try_cast("decimal(38,0)")
+        reasoning = after_colon(of("reasoning"), lambda t: F.regexp_extract(t, r"(?s)\p{L}(?:.*\p{L})?", 0))
+        return F.struct(score.alias("score"), reasoning.alias("reasoning"), after_colon(of("excerpts"), bracketed).alias("excerpts"))
+
+    return let(let(flat, slices), fields)
+
+
+def canonical(response: Column) -> Column:
+    """The response as JSON with score (rounded, half to even), reasoning and a list of excerpts; NULL without a score from 0 to 100.
+
+    The fields come from a response that is one JSON object, else from what can be salvaged of it; a missing score from the
+    cascade. A single excerpt is a list of one; other values that should be text are written as JSON.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), response, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), response, F.lit("}"))).isNotNull()
+    kind_of = lambda v, k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+
+    def of_object(v: Column) -> Column:
+        def score(x: Column) -> Column:
+            there = x["kind"].isNotNull() & (x["kind"] != "VOID")
+            return F.struct(there.alias("there"), F.when(x["kind"] == "BOOLEAN", (x["text"] == "true").cast("double")).otherwise(number(x["text"])).alias("value"))
+
+        listed = lambda kind: F.when(kind.startswith("ARRAY"), F.transform(F.try_variant_get(v, "$.excerpts", "array<string>"), lambda e: F.coalesce(e, F.lit("None")))).when(kind.isNull() | (kind == "VOID"), F.array().cast("array<string>")).otherwise(F.array(F.try_variant_get(v, "$.excerpts", "string")))
+        read = F.struct(F.try_variant_get(v, "$.score", "string").alias("text"), kind_of(v, "score").alias("kind"))
+        return F.struct(let(read, score).alias("score"), F.coalesce(F.try_variant_get(v, "$.reasoning", "string"), F.lit("")).alias("reasoning"), let(kind_of(v, "excerpts"), listed).alias("excerpts"))
+
+    def of_parts(s: Column) -> Column:
+        value = F.struct(s["score"].isNotNull().alias("there"), s["score"].cast("double").alias("value"))
+        return F.struct(value.alias("score"), F.coalesce(s["reasoning"], F.lit("")).alias("reasoning"), F.when(s["excerpts"].isNotNull(), F.array(s["excerpts"])).otherwise(F.array().cast("array<string>")).alias("excerpts"))
+
+    def written(r: Column) -> Column:
+        score = F.when(r["score"]["there"], r["score"]["value"]).otherwise(cascade_score(response))
+        return let(score, lambda v: F.when(v.between(0, 100), F.to_json(F.struct(F.bround(v).cast("int").alias("score"), r["reasoning"].alias("reasoning"), r["excerpts"].alias("excerpts")))))
+
+    whole = F.when(response.rlike(WHOLE_OBJECT) & wrapped, F.try_parse_json(response))
+    read = let(whole, lambda v: F.when(v.isNotNull() & (F.schema_of_variant(v) != "OBJECT<>"), of_object(v)).otherwise(let(salvaged(response, ["score", "reasoning", "excerpts"]), of_parts)))
+    return F.when(response != "", let(read, written))
 
 
 def excerpts(response: Column, mode: str = "joined") -> Column:

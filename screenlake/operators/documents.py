@@ -13,11 +13,20 @@ from ..functions.expr import as_count, rounded, token_estimate
 RESULT = "custom_id STRING, response STRUCT<body: STRUCT<choices: ARRAY<STRUCT<message: STRUCT<content: STRING>>>, usage: STRUCT<prompt_tokens: BIGINT, completion_tokens: BIGINT>>>"
 
 
+#: What stands for an absent type and speaker, and what else than these characters is removed.
+DEFAULT_KIND, DEFAULT_SPEAKER = "Comment", "Call Participant"
+KEPT = r"\x20-\x7E\n\t -￿"
+ENDS = r"(?U)^[\s\x1c-\x1f]++|[\s\x1c-\x1f]++$"
+
+
 def assembled(turns: DataFrame, doc: str, order: str, kind: str, speaker: str, text: str) -> DataFrame:
-    """(doc, n_turns, text): one line 'kind from speaker: text' a turn, in order, without control characters."""
-    clean = F.regexp_replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\\\\"), F.lit("\\")), r"[\x00-\x08\x0B-\x1F\x7F]", "")
-    line = F.concat(F.coalesce(F.col(kind), F.lit("Unknown")), F.lit(" from "), F.coalesce(F.col(speaker), F.lit("Unknown")), F.lit(": "), clean)
-    lines = turns.groupBy(doc).agg(as_count(F.count(F.lit(1))).alias("n_turns"), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("lines"))
+    """(doc, n_turns, text): 'kind from speaker: text' of each turn in order, a blank line between and a newline at the end.
+
+    Texts are stripped, a doubled backslash is one, and characters outside KEPT (control characters, those beyond U+FFFF) go.
+    """
+    line = F.concat(F.coalesce(F.col(kind), F.lit(DEFAULT_KIND)), F.lit(" from "), F.coalesce(F.col(speaker), F.lit(DEFAULT_SPEAKER)), F.lit(": "), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ENDS, ""), F.lit("\n"))
+    plain = F.regexp_replace(F.replace(line, F.lit("\\\\"), F.lit("\\")), f"[^{KEPT}]", "")
+    lines = turns.groupBy(doc).agg(as_count(F.count(F.lit(1))).alias("n_turns"), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), plain.alias("line")))).alias("lines"))
     return lines.select(doc, "n_turns", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
 
 

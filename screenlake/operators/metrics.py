@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import as_count, ratio_or_zero, rounded
+from ..functions.expr import as_count, percent, ratio_or_zero, rounded
 
 
 def confusion(truth: Column, guess: Column) -> list[Column]:
@@ -35,3 +35,21 @@ def label_sources(df: DataFrame, rater_threshold: float = 50) -> DataFrame:
     b = F.col("rater_b").cast("int")
     listed = F.array(*[F.struct(F.lit(n).alias("label_source"), c.alias("truth")) for n, c in (("rater_a", a), ("rater_b", b), ("pooled", F.coalesce(b, a)))])
     return df.withColumn("_l", F.explode(listed)).select(*[c for c in df.columns], "_l.label_source", "_l.truth")
+
+
+def agreement(df: DataFrame, label: str, flags: list[str]) -> DataFrame:
+    """For each class of a 0/1 label its rows and how many have each flag, with the odds ratio of the flag in class 1 against class 0.
+
+    The ratio is NULL where class 0 has the flag never or always, or class 1 always. Unlabelled rows don't count.
+    """
+    n = F.count(F.lit(1))
+    per = df.where(F.col(label).isNotNull()).groupBy(label).agg(as_count(n).alias("n"), *(as_count(F.count_if(f)).alias(f"n_{f}") for f in flags))
+    share = lambda f, k: F.max(F.when(F.col(label) == k, F.col(f"n_{f}") / F.col("n"))).alias(f"_{f}{k}")
+    shares = per.agg(*(share(f, k) for f in flags for k in (0, 1)))
+    odds = lambda p: p / (1 - p)
+
+    def columns(f: str) -> list[Column]:
+        low, high = F.col(f"_{f}0"), F.col(f"_{f}1")
+        return [F.col(f"n_{f}"), rounded(percent(F.col(f"n_{f}"), F.col("n"))).alias(f"{f}_pct"), rounded(F.when((low > 0) & (low < 1) & (high < 1), odds(high) / odds(low))).alias(f"{f}_odds_ratio")]
+
+    return per.crossJoin(F.broadcast(shares)).select(label, "n", *(c for f in flags for c in columns(f)))  # one row on the right

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import as_count, rounded
+from ..functions.parsing import flag_number
 from .ranks import numbered_across, running_sums
 
 
@@ -56,11 +57,13 @@ def followup_aggregate(runs: DataFrame, followups: DataFrame) -> DataFrame:
 
 
 def avg_first_n(runs: DataFrame, repeats: int = 11, strict: bool = True) -> DataFrame:
-    """Mean score of the first ``repeats`` rows of each prompt, document and model; strict: NULL with fewer rows."""
-    r = numbered(runs, ["prompt", "doc_id", "model"], F.asc("run_at"), F.asc("run_id")).where(F.col("rn") <= repeats)
-    mean = F.avg("score")
-    mean = F.when(F.count(F.lit(1)) >= repeats, mean) if strict else mean
-    return r.groupBy("prompt", "doc_id", "model").agg(rounded(mean).alias("mean_score"), F.min("run_at").alias("first_at"), as_count(F.count(F.lit(1))).alias("n"))
+    """Mean score and mean flag, by model, of the first ``repeats`` rows of each prompt and document over all models.
+
+    Strict: NULL for a model with fewer of those rows. Flag-like text counts as 0 or 1, anything else not at all.
+    """
+    r = numbered(runs.withColumn("_flag", flag_number(F.col("flag"))), ["prompt", "doc_id"], F.asc("run_at"), F.asc("run_id")).where(F.col("rn") <= repeats)
+    mean = lambda c: rounded(F.when((F.count(F.lit(1)) >= repeats) | F.lit(not strict), F.avg(c)))
+    return r.groupBy("prompt", "doc_id", "model").agg(mean("score").alias("mean_score"), mean("_flag").alias("mean_flag"), F.min("run_at").alias("first_at"), as_count(F.count(F.lit(1))).alias("n"))
 
 
 def screening_stages(runs: DataFrame, followups: DataFrame, threshold: float = 75, followup_threshold: float = 75, repeats: int = 11) -> DataFrame:

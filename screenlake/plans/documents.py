@@ -26,7 +26,8 @@ def work_dir(spark) -> str:
 TURNS = "conversations"
 
 
-@query("SELECT conv_id, count(*) AS n_turns, string_agg(CASE role WHEN 'user' THEN 'Question' WHEN 'assistant' THEN 'Answer' ELSE 'Unknown' END || ' from ' || role || ': ' || regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g'), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+@query(r"""SELECT conv_id, count(*) AS n_turns, string_agg(CASE role WHEN 'user' THEN 'Question' WHEN 'assistant' THEN 'Answer' ELSE 'Comment' END || ' from ' || coalesce(role, 'Call Participant') || ': '
+    || regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '[^\x20-\x7E\n\t\x{A0}-\x{FFFF}]', '', 'g') || chr(10), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1""")
 def assemble_documents(spark, d):
     return ops.assembled(enriched_turns(spark, d), "conv_id", "turn", "kind", "role", "text")
 
@@ -120,12 +121,6 @@ def score_corpus(spark, d):
     return ops.scored(docs, ops.lexicon_score(F.col("text"), WORDS)).select("doc_id", "score", "error")
 
 
-@query("SELECT o_orderkey, 'Resume ' || (o_orderkey % 7) AS folded, 'Ecole' AS full_folded FROM orders WHERE o_orderkey < 2000")
-def fold_accents(spark, d):
-    o = s.table(spark, d, "orders").where("o_orderkey < 2000")  # the column is made up from the key; the rows are not
-    return o.select("o_orderkey", expr.fold_accents(F.concat(F.lit("Résumé "), (F.col("o_orderkey") % 7).cast("string"))).alias("folded"), expr.fold_accents_full(F.concat(F.lit("École"), F.substring("o_orderpriority", 99, 1))).alias("full_folded"))
-
-
 @query(r"SELECT doc_id, strip_accents(text) AS folded, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS full_folded FROM documents")
 def fold_document_accents(spark, d):
     """Whole texts; the SQL does for letters whose compatible form is their canonical one, as those of the table."""

@@ -94,11 +94,17 @@ def approach_grid(spark, d):
     return metrics.confusion_metrics(metrics.label_sources(x), ["model", "approach", "label_source"])
 
 
-@query(f"WITH {s.RUNS}, {s.RATINGS}, f AS (SELECT doc_id, max(score) >= 75 AS flagged, avg(score) >= 50 AS validated FROM runs GROUP BY 1), x AS (SELECT rater_b, flagged, validated FROM ratings JOIN f USING (doc_id) WHERE rater_b IS NOT NULL) SELECT rater_b, count(*) AS n, round(100.0 * count(*) FILTER (WHERE flagged) / count(*), 6) AS flagged_pct, round(100.0 * count(*) FILTER (WHERE validated) / count(*), 6) AS validated_pct, round(count(*) FILTER (WHERE validated) / nullif(count(*) FILTER (WHERE NOT validated), 0), 6) AS validated_odds FROM x GROUP BY 1")
+ODDS = f"""WITH {s.RUNS}, {s.RATINGS}, f AS (SELECT doc_id, max(score) >= 75 AS flagged, avg(score) >= 50 AS validated FROM runs GROUP BY 1),
+x AS (SELECT rater_b, count(*) AS n, count(*) FILTER (WHERE flagged) AS n_flagged, count(*) FILTER (WHERE validated) AS n_validated FROM ratings JOIN f USING (doc_id) WHERE rater_b IS NOT NULL GROUP BY 1),
+p AS (SELECT max(n_flagged / n) FILTER (WHERE rater_b = 1) AS f1, max(n_flagged / n) FILTER (WHERE rater_b = 0) AS f0, max(n_validated / n) FILTER (WHERE rater_b = 1) AS v1, max(n_validated / n) FILTER (WHERE rater_b = 0) AS v0 FROM x)
+SELECT rater_b, n, n_flagged, round(100.0 * n_flagged / n, 6) AS flagged_pct, CASE WHEN f0 > 0 AND f0 < 1 AND f1 < 1 THEN round(f1 / (1 - f1) / (f0 / (1 - f0)), 6) END AS flagged_odds_ratio,
+  n_validated, round(100.0 * n_validated / n, 6) AS validated_pct, CASE WHEN v0 > 0 AND v0 < 1 AND v1 < 1 THEN round(v1 / (1 - v1) / (v0 / (1 - v0)), 6) END AS validated_odds_ratio FROM x, p"""
+
+
+@query(ODDS)
 def agreement_odds(spark, d):
     f = s.runs(spark, d).groupBy("doc_id").agg((F.max("score") >= 75).alias("flagged"), (F.avg("score") >= 50).alias("validated"))
-    n, hit = F.count(F.lit(1)), F.count_if("validated")
-    return s.ratings(spark, d).where("rater_b IS NOT NULL").join(f, "doc_id").groupBy("rater_b").agg(as_count(n).alias("n"), rounded(percent(F.count_if("flagged"), n)).alias("flagged_pct"), rounded(percent(hit, n)).alias("validated_pct"), rounded(F.try_divide(hit, F.count_if(~F.col("validated")))).alias("validated_odds"))
+    return metrics.agreement(s.ratings(spark, d).join(f, "doc_id"), "rater_b", ["flagged", "validated"])
 
 
 AUDITED = f"{s.AUDIT}, {s.RUNS}, m AS (SELECT doc_id, round(avg(score), 6) AS mean_score FROM runs GROUP BY 1), aud AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'F' END AS label, mean_score FROM audit JOIN m USING (doc_id) WHERE doc_id % 4 < 2)"

@@ -72,9 +72,11 @@ def followup_aggregate(spark, d):
     return ops.followup_aggregate(s.runs(spark, d).where("prompt <> 'error'"), s.followups(spark, d))
 
 
-@query(R + f", n AS (SELECT *, {RN.format('prompt, doc_id, model', 'run_at, run_id')} AS rn FROM runs) SELECT prompt, doc_id, model, CASE WHEN count(*) >= 4 THEN round(avg(score), 6) END AS mean_score, min(run_at) AS first_at, count(*) AS n FROM n WHERE rn <= 4 GROUP BY 1, 2, 3")
+@query(R + f", n AS (SELECT *, {RN.format('prompt, doc_id', 'run_at, run_id')} AS rn FROM runs) SELECT prompt, doc_id, model, CASE WHEN count(*) >= 2 THEN round(avg(score), 6) END AS mean_score, CASE WHEN count(*) >= 2 THEN round(avg(CASE run_id % 5 WHEN 0 THEN NULL ELSE run_id % 2 END), 6) END AS mean_flag, min(run_at) AS first_at, count(*) AS n FROM n WHERE rn <= 2 GROUP BY 1, 2, 3")
 def avg_first_n(spark, d):
-    return ops.avg_first_n(s.runs(spark, d), repeats=4)
+    said = F.element_at(F.array(*map(F.lit, ("no", "Yes"))), (F.col("run_id") % 2 + 1).cast("int"))
+    flags = F.when(F.col("run_id") % 5 == 0, F.lit("maybe")).otherwise(said)
+    return ops.avg_first_n(s.runs(spark, d).withColumn("flag", flags), repeats=2)
 
 
 STAGES_SQL = f"WITH {s.FOLLOWUPS}, n AS (SELECT *, {RN.format('model, doc_id', 'run_id')} AS rn FROM runs WHERE score IS NOT NULL AND prompt = 'click'), a AS (SELECT model, doc_id, max(CASE WHEN rn = 1 THEN score END) AS flagged, avg(CASE WHEN rn <= 11 THEN score END) AS m, count(*) AS n, min(run_id) AS run_id FROM n GROUP BY 1, 2), v AS (SELECT *, CASE WHEN flagged >= 75 AND n > 1 THEN m ELSE flagged END AS validated FROM a), f AS (SELECT parent_id AS run_id, avg(score) AS follow FROM followups GROUP BY 1), stages AS (SELECT model, doc_id, flagged, round(validated, 6) AS validated, round(CASE WHEN validated >= 75 AND follow < 75 THEN 0 ELSE validated END, 6) AS with_followup FROM v LEFT JOIN f USING (run_id)) "
@@ -172,11 +174,17 @@ def parse_scores(spark, d):
     return found.select("run_id", F.col("found.score").alias("score"), F.coalesce("found.stage", F.lit("none")).alias("stage"))
 
 
-@query(R + "SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 'why ' || score::INT ELSE 'cut ' || score::INT END AS reasoning, score::INT::VARCHAR AS score_text FROM runs")
+SALVAGED = """SELECT run_id, CASE run_id % 6 WHEN 3 THEN 'about' WHEN 0 THEN 'why' WHEN 1 THEN 'cut  off' WHEN 4 THEN '' END AS reasoning,
+    CASE WHEN run_id % 6 <> 5 THEN score::INT::VARCHAR END AS score_text, CASE run_id % 6 WHEN 0 THEN '"x' || run_id || '"' WHEN 3 THEN '"p", "q"' WHEN 4 THEN 'none }' END AS excerpts FROM runs"""
+
+
+@query(R + SALVAGED)
 def salvage_fields(spark, d):
-    k = F.col("score").cast("int").cast("string")
-    text = F.when(F.col("run_id") % 2 == 0, F.concat(F.lit('{"score": '), k, F.lit(', "reasoning": "why '), k, F.lit('", "excerpts": ["x"'))).otherwise(F.concat(F.lit('{"score": '), k, F.lit(',\n "reasoning": "cut '), k))
-    return s.runs(spark, d).select("run_id", parsing.salvaged_field(text, "reasoning", ["excerpts"]).alias("reasoning"), parsing.salvaged_field(text, "score", ["reasoning", "excerpts"]).alias("score_text"))
+    """Broken objects: a bracket not closed, cut off, a key before its turn, digits around the letters, no bracket, no key."""
+    k, i = F.col("score").cast("int").cast("string"), F.col("run_id").cast("string")
+    kinds = [F.concat(F.lit('{"score": '), k, F.lit(', "reasoning": "75% why '), k, F.lit('", "excerpts": ["x'), i, F.lit('"')), F.concat(F.lit('{"score":\n '), k, F.lit(',\n "reasoning": "cut \\\t off ')), F.concat(F.lit('{"reasoning": "early", "score": '), k, F.lit("}")), F.concat(F.lit('{"score": "about '), k, F.lit('", "reasoning": "9 about ...", "excerpts": [ "p", "q" ], }')), F.concat(F.lit('{"score": '), k, F.lit(', "reasoning": 12, "excerpts": none }')), F.lit("score: none")]
+    found = parsing.salvaged(F.element_at(F.array(*kinds), (F.col("run_id") % 6 + 1).cast("int")), ["score", "reasoning", "excerpts"])
+    return s.runs(spark, d).select("run_id", found.alias("f")).select("run_id", "f.reasoning", F.col("f.score").cast("string").alias("score_text"), "f.excerpts")
 
 
 @query(R + "SELECT run_id, 'a ' || run_id || '; b' AS excerpts FROM runs")
@@ -195,10 +203,12 @@ def parse_response_fields(spark, d):
     return r.select("run_id", parsing.cascade_score(c).alias("score"), parsing.flag(c).alias("flag"), parsing.json_field(c, "reasoning").alias("reasoning"), parsing.excerpts(c).alias("excerpts"))
 
 
-@query(R + "SELECT run_id, CASE WHEN run_id % 8 < 7 THEN '{\"score\":' || score::INT || '}' END AS normal FROM runs")
+NORMAL = """SELECT run_id, CASE WHEN run_id % 8 < 7 THEN '{"score":' || score::INT || ',"reasoning":"' || CASE run_id % 8 WHEN 1 THEN 'x\\"} Done' WHEN 5 THEN 'why' WHEN 6 THEN 'cut off' ELSE '' END || '","excerpts":[]}' END AS normal FROM runs"""
+
+
+@query(R + NORMAL)
 def normalize_responses(spark, d):
-    score = F.bround(parsing.cascade_score(F.col("response"))).cast("int")
-    return malformed(spark, d).select("run_id", F.when(score.between(0, 100), F.to_json(F.struct(score.alias("score")))).alias("normal"))
+    return malformed(spark, d).select("run_id", parsing.canonical(F.col("response")).alias("normal"))
 
 
 @query(R + "SELECT run_id, run_id % 8 = 0 AS valid FROM runs")
