@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Z95 = 1.959963984540054
 ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
@@ -37,16 +39,39 @@ def ratio_or_zero(a: Column, b: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    """Latin letters without their accents; ``fold_accents_full`` covers all of Unicode."""
+    """Latin letters without their accents, other characters kept; ``fold_accents_full`` covers all of Unicode."""
     return F.translate(text, ACCENTED, PLAIN)
 
 
-@F.pandas_udf(T.StringType())
-def fold_accents_full(text):
-    """NFKD, then only what is ASCII; no built-in function decomposes."""
-    import unicodedata
+@cache
+def ascii_parts() -> dict[str, str]:
+    """The ASCII part of the compatibility decomposition of each other character that has one."""
+    parts = ((chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000)
+    return {c: p for c, p in parts if p}
+
+
+def character_set(characters: list[str]) -> str:
+    """A pattern's set of these characters, as ranges."""
+    codes = sorted(map(ord, characters))
+    starts = [i for i, c in enumerate(codes) if not i or c > codes[i - 1] + 1]
+    runs = [codes[a:b] for a, b in zip(starts, [*starts[1:], len(codes)])]
+    return "[" + "".join(f"\\x{{{r[0]:x}}}-\\x{{{r[-1]:x}}}" for r in runs) + "]"
+
+
+def fold_accents_full(text: Column) -> Column:
+    """NFKD, then only what is ASCII, with native functions and the table of ``ascii_parts``.
 
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
+    Characters with one ASCII character are translated. The few that have several (ligatures, fractions, units) are
+    replaced one after another, those that a text has; the rest goes. A text of ASCII only stays as it is.
+    """
+    parts = ascii_parts()
+    one = {c: p for c, p in parts.items() if len(p) == 1}
+    several = {c: p for c, p in parts.items() if len(p) > 1}
+    table = F.create_map(*[F.lit(x) for cp in several.items() for x in cp])
+    there = F.array_distinct(F.regexp_extract_all(text, F.lit(character_set(list(several))), F.lit(0)))
+    spelt = F.aggregate(there, text, lambda t, c: F.replace(t, c, F.element_at(table, c)))
+    folded = F.regexp_replace(F.translate(spelt, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
 def zero_padded(code: Column, width: int) -> Column:

@@ -56,17 +56,32 @@ def batch_cost(requests_: DataFrame, by: str, prompt_tokens: int, input_price: f
     return requests_.groupBy(by).agg(as_count(F.count(F.lit(1))).alias("n_requests"), as_count(total).alias("n_tokens"), rounded(total * input_price / 1e6).alias("input_cost"), rounded(F.count(F.lit(1)) * output_tokens * output_price / 1e6).alias("output_cost"))
 
 
+def halved(texts: pd.Series, scorer: Callable[[pd.Series], pd.Series]) -> pd.DataFrame:
+    """score and error of each text: where the scorer fails, on each half again, until the texts it fails on stand alone."""
+    try:
+        scores = pd.Series(scorer(texts))
+        if len(scores) != len(texts):
+            raise ValueError(f"{len(scores)} scores for {len(texts)} texts")
+        return pd.DataFrame({"score": scores.astype(float).to_numpy(), "error": None}, index=texts.index)
+    except Exception as e:  # a user's scorer
+        if len(texts) == 1:
+            return pd.DataFrame({"score": float("nan"), "error": f"{type(e).__name__}: {e}"}, index=texts.index)
+    middle = len(texts) // 2
+    return pd.concat([halved(texts.iloc[:middle], scorer), halved(texts.iloc[middle:], scorer)])
+
+
 def scored(docs: DataFrame, scorer: Column | Callable[[pd.Series], pd.Series], text_col: str = "text") -> DataFrame:
-    """``docs`` with score and error: by a column expression, or by a function of a batch of texts, whose failures become errors."""
+    """``docs`` with score and error: by a column expression, or by a function of a batch of texts.
+
+    A text that the function fails on has its error and no score; the others of its batch keep theirs.
+    """
     if isinstance(scorer, Column):
         return docs.withColumns({"score": scorer.cast("double"), "error": F.lit(None).cast("string")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield batch.assign(score=scorer(batch[text_col]).astype(float), error=None)
-            except Exception as e:  # a user's scorer; the batch is kept with its error
-                yield batch.assign(score=float("nan"), error=f"{type(e).__name__}: {e}")
+            if len(batch):
+                yield batch.assign(**halved(batch[text_col], scorer))
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInPandas(run, f"{ddl}, score double, error string").withColumn("score", F.nanvl("score", F.lit(None)))

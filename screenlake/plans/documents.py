@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,8 +19,12 @@ from .registry import query
 
 
 def work_dir(spark) -> str:
-    """A new folder under the shared one (``spark.checkpoint.dir``); a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder under the one that all executors share (``spark.checkpoint.dir``); a local one only where the session is one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -187,7 +192,34 @@ def stream_ingest_results(spark, d):
     path = work_dir(spark)
     result_lines(spark, d).write.text(f"{path}/in")
     ingest.ingest_available(spark, f"{path}/in", f"{path}/table", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/table")
+    return ingest.results(spark, f"{path}/table")
+
+
+@query("WITH " + s.RUNS + " SELECT count(*) AS n_lines, count(*) FILTER (WHERE run_id % 50 = 0) AS n_rejected, count(*) FILTER (WHERE run_id % 50 = 0) AS kept_lines FROM runs")
+def stream_ingest_record(spark, d):
+    """What the batches' record says of lines and rejected ones, and the rejected lines that were kept."""
+    path = work_dir(spark)
+    result_lines(spark, d).write.text(f"{path}/in")
+    ingest.ingest_available(spark, f"{path}/in", f"{path}/table", f"{path}/checkpoint")
+    kept = spark.read.parquet(f"{path}/table/rejected").where("value = '{broken'").agg(as_count(F.count(F.lit(1))).alias("kept_lines"))
+    return spark.read.parquet(f"{path}/table/batches").agg(as_count(F.sum("n_lines")).alias("n_lines"), as_count(F.sum("n_rejected")).alias("n_rejected")).crossJoin(F.broadcast(kept))  # one row each
+
+
+@query("SELECT doc_id, CASE WHEN length(text) % 5 > 0 THEN length(text) END::DOUBLE AS score, CASE WHEN coalesce(length(text) % 5, 0) = 0 THEN 'ValueError: no score' END AS error FROM documents")
+def stream_scores(spark, d):
+    """A scorer over batches of texts that fails on some of them, on documents that land as files."""
+
+    def scorer(texts):
+        sizes = texts.str.len()
+        if (sizes.fillna(0) % 5 == 0).any():
+            raise ValueError("no score")
+        return sizes
+
+    path = work_dir(spark)
+    docs = s.table(spark, d, "documents").select("doc_id", "text")
+    docs.write.parquet(f"{path}/in")
+    ingest.score_available(spark, f"{path}/in", docs.schema, f"{path}/out", f"{path}/checkpoint", scorer)
+    return spark.read.parquet(f"{path}/out").drop("batch")
 
 
 @query("SELECT doc_id, length(text) AS n_chars, ceil(length(text) / 4.0)::BIGINT AS n_tokens FROM documents")

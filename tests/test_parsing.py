@@ -133,6 +133,17 @@ def test_accents_of_whole_texts(spark, small):
     assert {r["i"]: r["f"] for r in rows} == {i: None if t is None else plain(t) for i, t in enumerate(odd)}
 
 
+def test_folding_all_of_unicode(spark):
+    """Every character alone and all of them in long texts, against the standard library; no Python in the plan."""
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every[k : k + 977]) for k in range(0, len(every), 977)] + [f"a{c}b" for c in expr.ascii_parts()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(8)
+    folded = df.select("i", expr.fold_accents_full(F.col("t")).alias("f"))
+    assert not any(w in folded._jdf.queryExecution().executedPlan().toString() for w in ("Python", "Arrow"))
+    got = {r["i"]: r["f"] for r in folded.collect()}
+    assert [t for i, t in enumerate(texts) if got[i] != unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()] == []
+
+
 def test_expressions(spark):
     row = spark.createDataFrame([("0161", " t ", "Énorme", 0, 0)], "c string, l string, a string, h int, n int")
     low, high = expr.wilson(F.col("h").cast("double"), F.col("n").cast("double"))
