@@ -28,22 +28,6 @@ def quantile_bins(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     return df.withColumn("bin", F.when(v.isNotNull() & ~F.isnan(v), 1 + range_number(v, edges)).cast("bigint"))
 
 
-def hierarchy_rates(df: DataFrame, codes: dict[str, list[int]], names: DataFrame, flag: str = "flag") -> DataFrame:
-    """Rates of every code prefix of the given lengths in every code system; names by (system, code), else 'SYSTEM code'.
-
-    Rows are first counted by whole code, then rolled up, so the explosion is over different codes only.
-    """
-    systems = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.col(s).alias("full")) for s in codes]))
-    whole = df.select(systems.alias("c"), F.col(flag).cast("int").alias("f")).where("c.full IS NOT NULL").groupBy("c.system", "c.full").agg(F.count("f").alias("n"), F.coalesce(F.sum("f"), F.lit(0)).alias("hits"))
-    levels = F.lit(None)
-    for s, lengths in codes.items():
-        levels = F.when(F.col("system") == s, F.array(*map(F.lit, lengths))).otherwise(levels)
-    rolled = whole.withColumn("level", F.explode(levels)).where(F.length("full") >= F.col("level")).withColumn("code", F.col("full").substr(F.lit(1), F.col("level")))
-    summed = rolled.groupBy("system", F.col("level").cast("bigint").alias("level"), "code").agg(as_count(F.sum("n")).alias("n"), as_count(F.sum("hits")).alias("hits"))
-    named = summed.join(F.broadcast(names.select("system", "code", "name")), ["system", "code"], "left")
-    return named.select("system", "level", "code", F.coalesce("name", F.concat_ws(" ", "system", "code")).alias("name"), "n", "hits", F.round(percent(F.col("hits"), F.col("n")), 2).alias("pct"))
-
-
 def prefix_rates(codes: DataFrame, segments: DataFrame) -> DataFrame:
     """Counts of codes summed into segments by their prefixes; a code counts once in a segment.
 
@@ -58,7 +42,7 @@ def prefix_rates(codes: DataFrame, segments: DataFrame) -> DataFrame:
 def nearest_ancestor(codes: DataFrame, names: DataFrame, least: int = 2) -> DataFrame:
     """Each code's own name, or its longest named prefix's."""
     heads = codes.select("code").distinct().withColumn("length", F.explode(F.expr(f"sequence(length(code), {least}, -1)"))).withColumn("ancestor", F.expr("substring(code, 1, length)"))
-    found = heads.join(F.broadcast(names.select(F.col("code").alias("ancestor"), "name")), "ancestor")
+    found = heads.join(names.select(F.col("code").alias("ancestor"), "name"), "ancestor")
     return found.groupBy("code").agg(F.max_by(F.struct("ancestor", "name"), "length").alias("x")).select("code", "x.ancestor", "x.name")
 
 
@@ -77,8 +61,12 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None,
 
 
 def histogram_one_point(df: DataFrame, value: str) -> DataFrame:
-    """Counts in bins of width 1 from floor(min) to ceil(max) + 1 (non-empty ones)."""
-    return df.where(F.col(value).isNotNull()).groupBy(F.floor(value).cast("bigint").alias("bin")).agg(as_count(F.count(F.lit(1))).alias("n"))
+    """Counts in bins of width 1 from floor(min) to ceil(max) + 1, empty bins too; the last bin is closed."""
+    known = df.where(F.col(value).isNotNull())
+    ends = known.agg(F.floor(F.min(value)).cast("bigint").alias("lo"), F.ceil(F.max(value)).cast("bigint").alias("hi")).where("lo IS NOT NULL")
+    counted = known.groupBy(F.floor(value).cast("bigint").alias("bin")).agg(as_count(F.count(F.lit(1))).alias("n"))
+    every = ends.select(F.explode(F.sequence("lo", "hi")).alias("bin"))  # edges lo .. hi + 1, so the last bin starts at hi
+    return every.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def nested_group(audited: Column, validated: Column, flagged: Column) -> Column:

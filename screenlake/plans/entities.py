@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..functions.expr import as_count, percent, rounded
-from ..operators import breakdowns as b, entities as ops
+from ..operators import breakdowns as b, codes, entities as ops
 from ..operators.ranks import quantiles
 from . import standins as s
 from .registry import query
@@ -145,14 +145,28 @@ def quantile_bin_rates(spark, d):
     return b.rates(b.quantile_bins(s.entities(spark, d), "covariate"), ["bin"], mean_of="covariate")
 
 
-HIER = f"{E}, {s.CODE_NAMES}, x AS (SELECT unnest([{{'s': 'naics', 'c': naics}}, {{'s': 'sic', 'c': sic}}]) AS z, flag FROM entities), y AS (SELECT z.s AS system, l.level, z.c[1:l.level] AS code, flag FROM x, (SELECT unnest([2, 4, 6]) AS level) l WHERE length(z.c) >= l.level AND (z.s = 'naics' OR l.level <= 4)), g AS (SELECT system, level::BIGINT AS level, code, count(flag) AS n, sum(flag::INT)::BIGINT AS hits FROM y GROUP BY 1, 2, 3)"
+def coded(spark, d):
+    """Entities with a code of eight digits too; every tenth has only four digits of its six, with zeros behind."""
+    e = s.entities(spark, d)
+    naics = F.when(F.col("entity") % 10 == 0, F.concat("sic", F.lit("00"))).otherwise(F.col("naics"))
+    return e.select("entity", "flag", "covariate", "sic", naics.alias("naics"), F.concat("naics", F.lit("0"), (F.col("entity") % 2 + 1).cast("string")).alias("gics"))
+
 
+CODED = f"{E}, coded AS (SELECT entity, flag, covariate, sic, CASE WHEN entity % 10 = 0 THEN sic || '00' ELSE naics END AS naics, naics || '0' || (entity % 2 + 1) AS gics FROM entities)"
+HIER = f"""{CODED}, {s.CODE_NAMES}, lv(system, level, last) AS (VALUES ('gics', 2, 8), ('gics', 4, 8), ('gics', 6, 8), ('gics', 8, 8), ('naics', 2, 6), ('naics', 3, 6), ('naics', 4, 6), ('naics', 5, 6), ('naics', 6, 6), ('sic', 2, 4), ('sic', 3, 4), ('sic', 4, 4)),
+x AS (SELECT unnest([{{'s': 'gics', 'c': gics}}, {{'s': 'naics', 'c': naics}}, {{'s': 'sic', 'c': sic}}]) AS z, flag FROM coded),
+w AS (SELECT z.s AS system, z.c AS whole, count(flag) AS n, sum(flag::INT) AS hits FROM x GROUP BY 1, 2),
+o AS (SELECT w.*, coalesce((SELECT max_by(c.code, length(c.code)) FROM code_names c WHERE starts_with(w.whole, c.code) AND replace(substr(w.whole, length(c.code) + 1), '0', '') = ''), w.whole) AS own FROM w),
+g AS (SELECT system, level::BIGINT AS level, last, own[1:level] AS code, sum(n)::BIGINT AS n, sum(hits)::BIGINT AS hits FROM o JOIN lv USING (system) WHERE length(own) >= level GROUP BY 1, 2, 3, 4)
+SELECT system, level, g.code, coalesce(name, CASE WHEN level = last THEN (SELECT max_by(c.name, length(c.code)) FROM code_names c WHERE starts_with(g.code, c.code) AND c.code <> g.code) || ' (code: ' || g.code || ')' END, upper(system) || ' ' || g.code) AS name, n, hits, round(100.0 * hits / n, 2) AS pct FROM g LEFT JOIN code_names ON g.code = code_names.code"""
 
-@query(f"{HIER} SELECT system, level, g.code, coalesce(name, system || ' ' || g.code) AS name, n, hits, round(100.0 * hits / n, 2) AS pct FROM g LEFT JOIN code_names ON g.code = code_names.code")
+
+@query(HIER)
 def hierarchy_rates(spark, d):
-    names = s.code_names(spark, d)
-    both = names.withColumn("system", F.explode(F.array(F.lit("naics"), F.lit("sic"))))
-    return b.hierarchy_rates(s.entities(spark, d), {"naics": [2, 4, 6], "sic": [2, 4]}, both)
+    """Every name is also listed at a less specific level, under another name, which doesn't count."""
+    names = s.code_names(spark, d).withColumns({"level": F.length("code"), "system": F.explode(F.array(*map(F.lit, codes.LEVELS)))})
+    vague = names.withColumns({"level": F.col("level") - 1, "name": F.concat(F.lit("part of "), "name")})
+    return codes.hierarchy_rates(coded(spark, d), {c: c for c in codes.LEVELS}, names.unionByName(vague))
 
 
 def code_counts(spark, d):
@@ -181,24 +195,26 @@ def ancestor_lookup(spark, d):
     return b.nearest_ancestor(s.entities(spark, d).select(F.col("naics").alias("code")), s.code_names(spark, d))
 
 
-FLAGS = "sample_flags AS (SELECT *, CASE WHEN (SELECT count(sic) FROM entities) > 0 THEN starts_with(sic, '10') ELSE starts_with(naics, '10') END AS chemicals, starts_with(naics, '1206') AS cement FROM entities)"
+SAMPLES = {"chemicals": {"sic": ["10"], "naics": ["10"], "gics": ["99"]}, "cement": {"naics": ["1206"], "gics": ["99"]}, "airlines": {"gics": ["13", "1103"]}}
+FLAGS = "sample_flags AS (SELECT *, starts_with(sic, '10') AS chemicals, starts_with(naics, '1206') AS cement, starts_with(gics, '13') OR starts_with(gics, '1103') AS airlines FROM coded)"
 
 
 def sample_flags(spark, d):
-    e = s.entities(spark, d)
-    have = e.agg((F.count("sic") > 0).alias("_sic"))
-    return e.crossJoin(F.broadcast(have)).select(*e.columns, F.when(F.col("_sic"), F.startswith("sic", F.lit("10"))).otherwise(F.startswith("naics", F.lit("10"))).alias("chemicals"), F.startswith("naics", F.lit("1206")).alias("cement"))  # one row on the right
+    """Each sample by the first system it is declared in: by SIC, by NAICS, by GICS."""
+    return codes.memberships(coded(spark, d), SAMPLES)
 
 
-@query(f"{E}, {FLAGS} SELECT entity, chemicals, cement FROM sample_flags")
+@query(f"{CODED}, {FLAGS} SELECT entity, chemicals, cement, airlines FROM sample_flags")
 def industry_sample_flags(spark, d):
-    return sample_flags(spark, d).select("entity", "chemicals", "cement")
+    return sample_flags(spark, d).select("entity", *SAMPLES)
 
 
-@query(f"{E}, {FLAGS}, x AS (SELECT unnest([{{'i': 'chemicals', 'm': chemicals}}, {{'i': 'cement', 'm': cement}}]) AS z, flag FROM sample_flags), g AS (SELECT z.i AS industry, count(flag) AS n, sum(flag::INT)::BIGINT AS hits FROM x WHERE z.m GROUP BY 1) SELECT industry, n, hits, {W} FROM g")
+@query(f"{CODED}, {FLAGS}, m AS (SELECT unnest([{{'i': 'chemicals', 'm': chemicals}}, {{'i': 'cement', 'm': cement}}, {{'i': 'airlines', 'm': airlines}}]) AS z, flag, covariate > 5000 AS rich FROM sample_flags), x AS (SELECT z.i AS industry, unnest([{{'f': 'flag', 'v': flag}}, {{'f': 'rich', 'v': rich}}]) AS y FROM m WHERE z.m), g AS (SELECT industry, y.f AS flag_name, count(y.v) AS n, sum(y.v::INT)::BIGINT AS hits FROM x GROUP BY 1, 2) SELECT industry, flag_name, n, hits, {W} FROM g")
 def industry_sample_rates(spark, d):
-    members = F.explode(F.array(*[F.when(F.col(c), F.lit(c)) for c in ("chemicals", "cement")]))
-    return b.rates(sample_flags(spark, d).select("flag", members.alias("industry")).where("industry IS NOT NULL"), ["industry"])
+    rows = sample_flags(spark, d).withColumn("rich", F.col("covariate") > 5000)
+    members = F.explode(F.filter(F.array(*[F.when(F.col(c), F.lit(c)) for c in SAMPLES]), lambda x: x.isNotNull()))
+    flags = F.explode(F.array(*[F.struct(F.lit(f).alias("flag_name"), F.col(f).alias("value")) for f in ("flag", "rich")]))
+    return b.rates(rows.withColumn("industry", members).select("industry", flags.alias("f")).select("industry", "f.flag_name", F.col("f.value").alias("flag")), ["industry", "flag_name"])
 
 
 @query(f"{E}, t AS (SELECT 'sector' AS kind, sector::VARCHAR AS name, flag FROM entities UNION ALL SELECT 'segment', segment, flag FROM entities), g AS (SELECT kind, name, count(flag) AS n, sum(flag::INT)::BIGINT AS hits FROM t GROUP BY 1, 2) SELECT kind, name, n, hits, {W}, round(100.0 * (sum(hits) OVER (PARTITION BY kind)) / (sum(n) OVER (PARTITION BY kind)), 6) AS overall_pct FROM g")
@@ -223,7 +239,7 @@ def histogram_bins(spark, d):
     return b.histogram(s.entities(spark, d), "covariate", 20)
 
 
-@query(f"{E} SELECT floor(covariate / 100)::BIGINT AS bin, count(*) AS n FROM entities GROUP BY 1")
+@query(f"{E}, h AS (SELECT unnest(range(min(floor(covariate / 100))::BIGINT, max(ceil(covariate / 100))::BIGINT + 1)) AS bin FROM entities) SELECT bin, count(covariate) AS n FROM h LEFT JOIN entities ON floor(covariate / 100)::BIGINT = bin GROUP BY 1")
 def histogram_1pt(spark, d):
     return b.histogram_one_point(s.entities(spark, d).select((F.col("covariate") / 100).alias("v")), "v")
 
@@ -270,10 +286,10 @@ def normalized_filter(spark, d):
     return keep.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("string").try_cast("double").alias("quantity")).dropna()
 
 
-@query("SELECT n_nationkey, lpad(n_nationkey::VARCHAR, 4, '0') AS padded, length(n_nationkey::VARCHAR) AS level FROM nation WHERE n_nationkey > 0")
+@query("SELECT n_nationkey, lpad(n_nationkey::VARCHAR, 4, '0') AS padded, CASE WHEN n_nationkey = 0 THEN 0 ELSE length(n_nationkey::VARCHAR) END AS level FROM nation")
 def code_levels(spark, d):
     code = expr.zero_padded(F.col("n_nationkey").cast("string"), 4)
-    n = s.table(spark, d, "nation").where("n_nationkey > 0").select("n_nationkey", code.alias("padded"))
+    n = s.table(spark, d, "nation").select("n_nationkey", code.alias("padded"))
     return n.withColumn("level", F.length(F.ltrim("padded", F.lit("0"))).cast("bigint"))
 
 
@@ -283,7 +299,7 @@ def linear_fit(spark, d):
     return s.entities(spark, d).agg((F.avg(y).isNotNull()).alias("ok"), rounded(F.regr_slope(y, x)).alias("slope"), rounded(F.regr_intercept(y, x)).alias("intercept"), rounded(F.regr_r2(y, x)).alias("r2"))
 
 
-@query(f"{E}, {FLAGS}, x AS (SELECT unnest([{{'f': 'flag', 'v': flag}}, {{'f': 'chemicals', 'v': chemicals}}, {{'f': 'cement', 'v': cement}}]) AS z FROM sample_flags) SELECT z.f AS flag_name, count(z.v) AS n, count(*) FILTER (WHERE z.v) AS hits, round(100.0 * count(*) FILTER (WHERE z.v) / count(z.v), 6) AS pct FROM x GROUP BY 1")
+@query(f"{CODED}, {FLAGS}, x AS (SELECT unnest([{{'f': 'flag', 'v': flag}}, {{'f': 'chemicals', 'v': chemicals}}, {{'f': 'cement', 'v': cement}}]) AS z FROM sample_flags) SELECT z.f AS flag_name, count(z.v) AS n, count(*) FILTER (WHERE z.v) AS hits, round(100.0 * count(*) FILTER (WHERE z.v) / count(z.v), 6) AS pct FROM x GROUP BY 1")
 def flag_summary(spark, d):
     z = F.explode(F.array(*[F.struct(F.lit(c).alias("flag_name"), F.col(c).alias("v")) for c in ("flag", "chemicals", "cement")]))
     return sample_flags(spark, d).select(z.alias("z")).groupBy("z.flag_name").agg(as_count(F.count("z.v")).alias("n"), as_count(F.count_if("z.v")).alias("hits"), rounded(percent(F.count_if("z.v"), F.count("z.v"))).alias("pct"))
