@@ -1,4 +1,4 @@
-"""Ids quoted in texts, labels for them, and entity mentions."""
+"""Ids quoted in texts and labels for them."""
 
 from __future__ import annotations
 
@@ -21,9 +21,3 @@ def labels(df: DataFrame, id_col: str, name: str, event: str, date: str) -> Data
     """(id, label): 'name | event | dd Mon yyyy'; rows without one of them are an error."""
     text = F.concat(F.col(name), F.lit(" | "), F.col(event), F.lit(" | "), F.date_format(date, "dd MMM yyyy"))
     return df.select(id_col, F.coalesce(text, F.raise_error(F.concat(F.lit("no metadata for "), F.col(id_col).cast("string")))).alias("label"))
-
-
-def hits(df: DataFrame, column: str, targets: list[str]) -> DataFrame:
-    """(target, hits): rows equal to each of a few targets, or if there are none, rows that hold it. One pass."""
-    each = [F.struct(F.lit(t).alias("target"), F.when(F.count_if(F.col(column) == t) > 0, F.count_if(F.col(column) == t)).otherwise(F.count_if(F.contains(F.col(column), F.lit(t)))).cast("bigint").alias("hits")) for t in targets]
-    return df.agg(F.array(*each).alias("x")).select(F.inline("x"))

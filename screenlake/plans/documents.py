@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..functions.expr import as_count, rounded
-from ..operators import citations, documents as ops, entities as ent, runs as runs_ops
-from ..sources import files
+from ..operators import citations, documents as ops, entities as ent, mentions, runs as runs_ops
+from ..sources import files, profiles
 from ..streaming import ingest
 from . import standins as s
 from .registry import query
@@ -278,9 +278,34 @@ def screening_funnel(spark, d):
     return wide(spark, d).agg(as_count(F.count(F.lit(1))).alias("corpus"), as_count(F.count_if("flagged")).alias("flagged"), as_count(F.count_if("validated")).alias("validated"), as_count(F.count_if(F.col("validated") & F.col("audited_true"))).alias("audited"))
 
 
-HITS = "WITH t(target) AS (VALUES ('Customer#000000001'), ('Customer#0000000'), ('nobody')) SELECT target, CASE WHEN count(*) FILTER (WHERE c_name = target) > 0 THEN count(*) FILTER (WHERE c_name = target) ELSE count(*) FILTER (WHERE contains(c_name, target)) END AS hits FROM t, customer GROUP BY 1"
+HITS = """WITH t AS (SELECT DISTINCT upper(c_name) AS target FROM customer WHERE c_custkey % 5 = 0 UNION SELECT DISTINCT substr(c_name, 1, 15) FROM customer UNION SELECT DISTINCT 'x' || n_name FROM nation UNION SELECT '#')
+SELECT target, CASE WHEN count(*) FILTER (WHERE lower(c_name) = lower(target)) > 0 THEN count(*) FILTER (WHERE lower(c_name) = lower(target)) ELSE count(*) FILTER (WHERE contains(lower(c_name), lower(target))) END AS hits FROM t, customer GROUP BY 1"""
 
 
 @query(HITS)
 def entity_hits(spark, d):
-    return citations.hits(s.table(spark, d, "customer"), "c_name", ["Customer#000000001", "Customer#0000000", "nobody"])
+    """Targets from tables: whole names in capitals, heads of names, names that no customer has, one character."""
+    c, n = s.table(spark, d, "customer"), s.table(spark, d, "nation")
+    targets = c.where("c_custkey % 5 = 0").select(F.upper("c_name").alias("target")).union(c.select(F.substring("c_name", 1, 15))).union(n.select(F.concat(F.lit("x"), "n_name"))).union(n.limit(1).select(F.lit("#")))
+    return mentions.hits(c, "c_name", targets)
+
+
+@query("""WITH y AS (SELECT o_custkey, o_totalprice, o_orderpriority FROM orders), t AS (SELECT o_orderpriority AS top, count(*) AS n_top FROM y GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+SELECT 'o_custkey' AS column_name, count(o_custkey) AS n, 0::BIGINT AS n_null, round(avg(o_custkey), 4) AS mean, round(stddev_samp(o_custkey), 4) AS sd, min(o_custkey)::DOUBLE AS low, max(o_custkey)::DOUBLE AS high, true AS quartiles_near, true AS distinct_near, NULL AS top, NULL::BIGINT AS n_top FROM y
+UNION ALL SELECT 'o_totalprice', count(o_totalprice), 0, round(avg(o_totalprice), 4), round(stddev_samp(o_totalprice), 4), min(o_totalprice), max(o_totalprice), true, true, NULL, NULL FROM y
+UNION ALL SELECT 'o_orderpriority', count(o_orderpriority), 0, NULL, NULL, NULL, NULL, NULL, true, any_value(top), any_value(n_top) FROM y, t""")
+def sketch_profile(spark, d):
+    """A profile that grew by years of orders; quartiles are near if their rank is off by at most 2 % of the rows, numbers of values by 8 %."""
+    o = s.table(spark, d, "orders").select("o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate")
+    columns, path = ["o_custkey", "o_totalprice", "o_orderpriority"], work_dir(spark)
+    for early in (True, False):
+        part = o.where((F.col("o_orderdate") < "1995-01-01") == F.lit(early))
+        profiles.update(part.select(*columns, F.year("o_orderdate").alias("year")), F.col("year"), path)
+    p = profiles.merged(profiles.held(spark, path)).where("column_name <> 'year'")
+    longs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns]))
+    v, n = F.col("v").try_cast("double"), F.count(F.lit(1))
+    rank = lambda q: F.count_if(v <= F.col(q)) / n
+    checked = o.select(longs.alias("x")).select("x.*").join(p.select("column_name", "q25", "median", "q75", F.col("n_distinct").alias("_d")), "column_name").groupBy("column_name").agg(*(rank(q).alias(f"_{q}") for q in profiles.QUARTILES), F.count_distinct("v").alias("_exact"), F.first("_d").alias("_d"))  # skewed by nothing: three keys, partial sums
+    off = F.greatest(*(F.abs(F.col(f"_{q}") - share) for q, share in profiles.QUARTILES.items()))
+    number = F.col("mean").isNotNull()
+    return p.join(checked, "column_name").select("column_name", as_count(F.col("n")).alias("n"), as_count(F.col("n_null")).alias("n_null"), F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), F.when(number, F.col("low").try_cast("double")).alias("low"), F.when(number, F.col("high").try_cast("double")).alias("high"), F.when(number, off <= 0.02).alias("quartiles_near"), (F.abs(F.col("_d") - F.col("_exact")) <= 0.08 * F.col("_exact")).alias("distinct_near"), "top", as_count(F.col("n_top")).alias("n_top"))

@@ -20,11 +20,6 @@ def yearly_csv(spark: SparkSession, path: str, schema: str, sep: str = ";", enco
     return df.select("*", F.regexp_extract(below, r"((?:19|20)\d{2})", 1).try_cast("bigint").alias("file_year"))
 
 
-def jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int) -> DataFrame:
-    """A database table, read in ``parts`` ranges of a numeric column; filters and columns are pushed down."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts).load()
-
-
 def append_stamped(df: DataFrame, path: str) -> None:
     """Append rows with the time of the write."""
     df.withColumn("date", F.current_timestamp()).write.mode("append").parquet(path)
