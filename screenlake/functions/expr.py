@@ -105,3 +105,8 @@ def token_estimate(text: Column) -> Column:
 def bin_label(low: Column, high: Column, last: Column) -> Column:
     show = lambda c: F.format_string("%.2f", c)
     return F.concat(F.lit("["), show(low), F.lit(", "), show(high), F.when(last, F.lit("]")).otherwise(F.lit(")")))
+
+
+def moment(date: Column, time: Column) -> Column:
+    """The timestamp of a date and a time given as text; NULL where they aren't one."""
+    return F.try_to_timestamp(F.concat_ws(" ", date.cast("string"), time.cast("string")), F.lit("yyyy-MM-dd HH:mm:ss"))

@@ -172,11 +172,11 @@ def salvaged(response: Column, keys: list[str]) -> Column:
     return let(let(flat, slices), fields)
 
 
-def canonical(response: Column) -> Column:
-    """The response as JSON with score (rounded, half to even), reasoning and a list of excerpts; NULL without a score from 0 to 100.
+def response_fields(response: Column) -> Column:
+    """A struct of the score (there, value), the reasoning and the list of excerpts; NULL for an empty response.
 
-    The fields come from a response that is one JSON object, else from what can be salvaged of it; a missing score from the
-    cascade. A single excerpt is a list of one; other values that should be text are written as JSON.
+    They come from a response that is one JSON object, else from what can be salvaged of it. A single excerpt is a list of
+    one; other values that should be text are written as JSON.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), response, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), response, F.lit("}"))).isNotNull()
     kind_of = lambda v, k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
@@ -194,13 +194,22 @@ def canonical(response: Column) -> Column:
         value = F.struct(s["score"].isNotNull().alias("there"), s["score"].cast("double").alias("value"))
         return F.struct(value.alias("score"), F.coalesce(s["reasoning"], F.lit("")).alias("reasoning"), F.when(s["excerpts"].isNotNull(), F.array(s["excerpts"])).otherwise(F.array().cast("array<string>")).alias("excerpts"))
 
+    whole = F.when(response.rlike(WHOLE_OBJECT) & wrapped, F.try_parse_json(response))
+    read = let(whole, lambda v: F.when(v.isNotNull() & (F.schema_of_variant(v) != "OBJECT<>"), of_object(v)).otherwise(let(salvaged(response, ["score", "reasoning", "excerpts"]), of_parts)))
+    return F.when(response != "", read)
+
+
+def canonical(response: Column) -> Column:
+    """The response as JSON with score (rounded, half to even), reasoning and a list of excerpts; NULL without a score from 0 to 100.
+
+    The fields are those of ``response_fields``; a missing score is the cascade's.
+    """
+
     def written(r: Column) -> Column:
         score = F.when(r["score"]["there"], r["score"]["value"]).otherwise(cascade_score(response))
         return let(score, lambda v: F.when(v.between(0, 100), F.to_json(F.struct(F.bround(v).cast("int").alias("score"), r["reasoning"].alias("reasoning"), r["excerpts"].alias("excerpts")))))
 
-    whole = F.when(response.rlike(WHOLE_OBJECT) & wrapped, F.try_parse_json(response))
-    read = let(whole, lambda v: F.when(v.isNotNull() & (F.schema_of_variant(v) != "OBJECT<>"), of_object(v)).otherwise(let(salvaged(response, ["score", "reasoning", "excerpts"]), of_parts)))
-    return F.when(response != "", let(read, written))
+    return let(response_fields(response), written)
 
 
 def excerpts(response: Column, mode: str = "joined") -> Column:

@@ -100,3 +100,24 @@ def continuous_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v"), F.lit(medians[c][0]).cast("double").alias("median")) for c in columns]))
     v = F.col("z.v")
     return df.select(each.alias("z")).groupBy("z.column_name").agg(rounded(F.avg(v)).alias("mean"), rounded(F.first("z.median")).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"), as_count(F.count(v)).alias("n"))
+
+
+def entity_rankings(df: DataFrame, group: str, entity: str, flag: str, best: int, least: int = 1, salts: int = 64) -> DataFrame:
+    """The first ``best`` entities of each group by rows (volume), by flag rate among those with ``least`` rows (rate), and the last by rate (tail).
+
+    Also how many entities the group has and the share of them with a flag. Ranks are taken in parts of a group first, so that a
+    group with most entities is ranked by several tasks.
+    """
+    per = df.groupBy(group, entity).agg(as_count(F.count(F.lit(1))).alias("n"), as_count(F.coalesce(F.sum(F.col(flag).cast("int")), F.lit(0))).alias("hits"))
+    whole = per.groupBy(group).agg(as_count(F.count(F.lit(1))).alias("n_entities"), rounded(percent(F.count_if(F.col("hits") > 0), F.count(F.lit(1)))).alias("flagged_share"))
+    rate = F.col("hits") / F.col("n")
+    enough = F.col("n") >= least
+    kinds = [("volume", F.lit(True), F.struct(-F.col("n"), -F.col("hits"))), ("rate", enough, F.struct(-rate, -F.col("n"))), ("tail", enough, F.struct(rate, -F.col("n")))]
+    out = None
+    for name, kept, order in kinds:
+        listed = per.where(kept).withColumns({"_o": order, "_salt": F.pmod(F.xxhash64(entity), F.lit(salts)), "ranking": F.lit(name)})
+        part = listed.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_salt").orderBy("_o", entity))).where(F.col("_r") <= best)
+        top = part.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("_o", entity)).cast("bigint")).where(F.col("rank") <= best)
+        top = top.select(group, "ranking", "rank", entity, "n", "hits", rounded(percent(F.col("hits"), F.col("n"))).alias("pct"))
+        out = top if out is None else out.unionByName(top)
+    return out.join(whole, group)

@@ -32,6 +32,23 @@ def key_uniqueness(df: DataFrame, key: str, partner: str) -> DataFrame:
     return df.groupBy(key).agg(as_count(F.count(F.lit(1))).alias("n_rows"), as_count(F.count_distinct(partner)).alias("n_partners")).where("n_rows > 1")
 
 
+def pairing_report(df: DataFrame, left: str, right: str) -> DataFrame:
+    """A row for each side of the pairing: keys, keys with several rows and their rows, keys with several partners, and the most partners."""
+    pairs = df.groupBy(left, right).agg(F.count(F.lit(1)).alias("n"))  # so that a frequent key is counted by its partners
+
+    def side(key: str) -> DataFrame:
+        per = pairs.groupBy(key).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("partners"))
+        many = F.col("rows") > 1
+        return per.agg(as_count(F.count(F.lit(1))).alias("n_keys"), as_count(F.count_if(many)).alias("n_repeated"), as_count(F.coalesce(F.sum(F.when(many, F.col("rows"))), F.lit(0))).alias("n_rows"), as_count(F.count_if(F.col("partners") > 1)).alias("n_ambiguous"), as_count(F.max("partners")).alias("most_partners")).select(F.lit(key).alias("side"), "*")
+
+    return side(left).unionByName(side(right))
+
+
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """Rows before and after whole repeated rows are dropped, in one pass."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).agg(as_count(F.coalesce(F.sum("_n"), F.lit(0))).alias("n_before"), as_count(F.count(F.lit(1))).alias("n_after"))
+
+
 def stacked(first: DataFrame, second: DataFrame, names: tuple[str, str]) -> DataFrame:
     """Both tables under each other, columns that one lacks as NULL, with their source's name."""
     a, b = (df.withColumn("source", F.lit(n)) for df, n in zip((first, second), names))

@@ -53,3 +53,17 @@ def agreement(df: DataFrame, label: str, flags: list[str]) -> DataFrame:
         return [F.col(f"n_{f}"), rounded(percent(F.col(f"n_{f}"), F.col("n"))).alias(f"{f}_pct"), rounded(F.when((low > 0) & (low < 1) & (high < 1), odds(high) / odds(low))).alias(f"{f}_odds_ratio")]
 
     return per.crossJoin(F.broadcast(shares)).select(label, "n", *(c for f in flags for c in columns(f)))  # one row on the right
+
+
+def grid_summary(grid: DataFrame, primary: str, shown: str, source: str = "pooled") -> DataFrame:
+    """One row over a grid of metrics (model, approach, label_source, ...): the best configuration, the worst model and what approaches gain.
+
+    Best is the greatest F1 above 0 by the labels ``source``; worst is the model with the least F1 in the approach ``shown``;
+    the improvement is from the worst to the best approach of the ``primary`` model, in percent, 0 where the worst is 0.
+    """
+    g = grid.where(F.col("label_source") == source)
+    high, low = F.max(F.when(F.col("model") == primary, F.col("f1"))), F.min(F.when(F.col("model") == primary, F.col("f1")))
+    order = F.struct(-F.col("f1"), F.col("model"), F.col("approach"))
+    best = F.min_by(F.when(F.col("f1") > 0, F.struct("model", "approach", "f1", "precision", "recall", "specificity")), order)
+    worst = F.min_by("model", F.when(F.col("approach") == shown, F.struct("f1", "model")))
+    return g.agg(as_count(F.count_distinct("model")).alias("n_models"), best.alias("b"), worst.alias("worst_model"), rounded(F.when(low > 0, (high - low) / low * 100).otherwise(0.0)).alias("improvement_pct")).select("n_models", F.col("b.model").alias("best_model"), F.col("b.approach").alias("best_approach"), "b.f1", "b.precision", "b.recall", "b.specificity", "worst_model", "improvement_pct")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import as_count, rounded
-from ..functions.parsing import flag_number
+from ..functions.parsing import flag_number, response_fields
 from .ranks import numbered_across, running_sums
 
 
@@ -42,12 +42,18 @@ def original_scores(runs: DataFrame, prompt: str, model: str) -> DataFrame:
     return mine.join(first, ["doc_id", "run_id"], "left_semi").where(F.col("model") == model).select("doc_id", "run_id", F.coalesce("score", F.lit(0.0)).alias("original_score"))
 
 
-def repeat_aggregate(runs: DataFrame, repeats: int = 11) -> DataFrame:
-    """First score, mean of the first ``repeats`` rows (NULL with fewer rows), mean of all, first scores, rows."""
-    r = numbered(runs, ["doc_id"], F.asc("run_id")).select("doc_id", "rn", "score")
+def repeat_aggregate(runs: DataFrame, repeats: int = 11, response: str | None = None) -> DataFrame:
+    """First score, mean of the first ``repeats`` rows (NULL with fewer rows), mean of all, first scores, rows.
+
+    ``response``: the column of responses; then also the reasoning and the excerpts of the first one, which alone is parsed.
+    """
+    r = numbered(runs, ["doc_id"], F.asc("run_id"))
     head = F.when(F.col("rn") <= repeats, F.struct("rn", "score"))
-    agg = r.groupBy("doc_id").agg(F.min_by("score", "rn").alias("first_score"), F.avg(F.when(F.col("rn") <= repeats, F.col("score"))).alias("m"), F.avg("score").alias("all_mean"), F.sort_array(F.collect_list(head)).alias("head"), as_count(F.count(F.lit(1))).alias("n_runs"))
-    return agg.select("doc_id", "first_score", rounded(F.when(F.col("n_runs") >= repeats, F.col("m"))).alias("repeat_mean"), rounded("all_mean").alias("all_mean"), F.transform("head", lambda x: x["score"]).alias("first_scores"), "n_runs")
+    first = [F.min_by(response, "rn").alias("_response")] if response else []
+    agg = r.groupBy("doc_id").agg(F.min_by("score", "rn").alias("first_score"), F.avg(F.when(F.col("rn") <= repeats, F.col("score"))).alias("m"), F.avg("score").alias("all_mean"), F.sort_array(F.collect_list(head)).alias("head"), as_count(F.count(F.lit(1))).alias("n_runs"), *first)
+    read = response_fields(F.col("_response")) if response else None
+    fields = [read["reasoning"].alias("first_reasoning"), F.array_join(read["excerpts"], "; ").alias("first_excerpts")] if response else []
+    return agg.select("doc_id", "first_score", rounded(F.when(F.col("n_runs") >= repeats, F.col("m"))).alias("repeat_mean"), rounded("all_mean").alias("all_mean"), F.transform("head", lambda x: x["score"]).alias("first_scores"), "n_runs", *fields)
 
 
 def followup_aggregate(runs: DataFrame, followups: DataFrame) -> DataFrame:

@@ -234,6 +234,35 @@ HIST = "SELECT {by} b.bin, '[' || printf('%.2f', lo + (b.bin - 1) * (hi - lo) /
 BIN = "least(floor((covariate - lo) / ((hi - lo) / {k})) + 1, {k})::BIGINT"
 
 
+RANKED = f"""{V}, p AS (SELECT priority, event, count(*) AS n, count(*) FILTER (WHERE amount > 300000) AS hits FROM versions GROUP BY 1, 2), w AS (SELECT priority, count(*) AS n_entities, round(100.0 * count(*) FILTER (WHERE hits > 0) / count(*), 6) AS flagged_share FROM p GROUP BY 1),
+r AS (SELECT *, 'volume' AS ranking, row_number() OVER (PARTITION BY priority ORDER BY n DESC, hits DESC, event) AS rank FROM p UNION ALL SELECT *, 'rate', row_number() OVER (PARTITION BY priority ORDER BY hits / n DESC, n DESC, event) FROM p WHERE n >= 2 UNION ALL SELECT *, 'tail', row_number() OVER (PARTITION BY priority ORDER BY hits / n, n DESC, event) FROM p WHERE n >= 2)
+SELECT priority, ranking, rank, event, n, hits, round(100.0 * hits / n, 6) AS pct, n_entities, flagged_share FROM r JOIN w USING (priority) WHERE rank <= 5"""
+
+
+@query(RANKED)
+def entity_rankings(spark, d):
+    return b.entity_rankings(s.versions(spark, d).withColumn("big", F.col("amount") > 300000), "priority", "event", "big", best=5, least=2)
+
+
+@query(f"{V}, t AS (SELECT event, version, strptime(strftime(created, '%Y-%m-%d') || ' ' || CASE WHEN version % 11 = 0 THEN 'n/a' ELSE lpad((version % 24)::VARCHAR, 2, '0') || ':30:00' END, '%Y-%m-%d %H:%M:%S') AS created FROM (SELECT * FROM versions WHERE version % 11 <> 0) UNION ALL SELECT event, version, NULL FROM versions WHERE version % 11 = 0) SELECT event, version, created FROM t QUALIFY row_number() OVER (PARTITION BY event ORDER BY created DESC NULLS LAST, version DESC) = 1")
+def latest_by_text_time(spark, d):
+    """Versions with a date and a time of day as text; some times are no time."""
+    v = F.col("version")
+    time = F.when(v % 11 == 0, F.lit("n/a")).otherwise(F.concat(F.lpad((v % 24).cast("string"), 2, "0"), F.lit(":30:00")))
+    at = expr.moment(F.date_format("created", "yyyy-MM-dd"), time)
+    return ops.latest_version(s.versions(spark, d).select("event", "version", at.alias("created")))
+
+
+@query(f"WITH {s.CROSSWALK}, x AS (SELECT 'entity' AS side, entity AS k, code AS p, obs FROM crosswalk UNION ALL SELECT 'code', code, entity, obs FROM crosswalk), g AS (SELECT side, k, sum(obs) AS n, count(*) AS partners FROM x GROUP BY 1, 2) SELECT side, count(*) AS n_keys, count(*) FILTER (WHERE n > 1) AS n_repeated, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS n_rows, count(*) FILTER (WHERE partners > 1) AS n_ambiguous, max(partners) AS most_partners FROM g GROUP BY 1")
+def pairing_report(spark, d):
+    return ops.pairing_report(s.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("code")), "entity", "code")
+
+
+@query("SELECT count(*) AS n_before, (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)) AS n_after FROM orders")
+def distinct_counts(spark, d):
+    return ops.distinct_counts(s.table(spark, d, "orders").select("o_custkey", "o_orderstatus"))
+
+
 @query(f"{E}, m AS (SELECT min(covariate) AS lo, max(covariate) AS hi FROM entities), c AS (SELECT {BIN.format(k=20)} AS bin, count(*) AS n FROM entities, m GROUP BY 1), b AS (SELECT unnest(range(1, 21))::BIGINT AS bin) " + HIST.format(by="", k=20) + "b CROSS JOIN m LEFT JOIN c ON c.bin = b.bin")
 def histogram_bins(spark, d):
     return b.histogram(s.entities(spark, d), "covariate", 20)
@@ -305,11 +334,13 @@ def flag_summary(spark, d):
     return sample_flags(spark, d).select(z.alias("z")).groupBy("z.flag_name").agg(as_count(F.count("z.v")).alias("n"), as_count(F.count_if("z.v")).alias("hits"), rounded(percent(F.count_if("z.v"), F.count("z.v"))).alias("pct"))
 
 
-@query(f"{E}, {GROUP}, x AS (SELECT unnest(CASE grp WHEN 'audited' THEN ['audited', 'validated', 'flagged', 'corpus'] WHEN 'validated' THEN ['validated', 'flagged', 'corpus'] WHEN 'flagged' THEN ['flagged', 'corpus'] ELSE ['corpus'] END) AS sample, covariate FROM grouped) SELECT sample, round(avg(covariate), 6) AS mean, round(stddev_samp(covariate), 6) AS sd, count(covariate) AS n FROM x GROUP BY 1")
+@query(f"{E}, {GROUP}, x AS (SELECT unnest(CASE grp WHEN 'audited' THEN ['audited', 'validated', 'flagged', 'corpus'] WHEN 'validated' THEN ['validated', 'flagged', 'corpus'] WHEN 'flagged' THEN ['flagged', 'corpus'] ELSE ['corpus'] END) AS sample, covariate, sector::DOUBLE AS sector FROM grouped), y AS (SELECT sample, unnest([{{'k': 'covariate', 'v': covariate}}, {{'k': 'sector', 'v': sector}}]) AS z FROM x) SELECT sample, z.k AS score_name, round(avg(z.v), 6) AS mean, round(stddev_samp(z.v), 6) AS sd, count(z.v) AS n FROM y GROUP BY 1, 2")
 def score_by_sample(spark, d):
     c = F.col("covariate")
     sets = F.filter(F.array(F.when(c < -500, F.lit("audited")), F.when(c < 0, F.lit("validated")), F.when(c < 3000, F.lit("flagged")), F.lit("corpus")), lambda x: x.isNotNull())
-    return s.entities(spark, d).select("covariate", F.explode(sets).alias("sample")).groupBy("sample").agg(rounded(F.avg(c)).alias("mean"), rounded(F.stddev_samp(c)).alias("sd"), as_count(F.count(c)).alias("n"))
+    scores = F.array(*[F.struct(F.lit(k).alias("score_name"), F.col(k).cast("double").alias("v")) for k in ("covariate", "sector")])
+    rows = s.entities(spark, d).select(F.explode(sets).alias("sample"), scores.alias("scores")).select("sample", F.inline("scores"))
+    return rows.groupBy("sample", "score_name").agg(rounded(F.avg("v")).alias("mean"), rounded(F.stddev_samp("v")).alias("sd"), as_count(F.count("v")).alias("n"))
 
 
 @query(f"{E}, x AS (SELECT unnest([{{'c': 'covariate', 'v': covariate}}, {{'c': 'sector', 'v': sector::DOUBLE}}]) AS z FROM entities) SELECT z.c AS column_name, round(avg(z.v), 6) AS mean, round(median(z.v), 6) AS median, min(z.v) AS low, max(z.v) AS high, count(z.v) AS n FROM x GROUP BY 1")

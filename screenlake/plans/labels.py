@@ -86,7 +86,10 @@ def metrics_by_model(spark, d):
     return metrics.with_rates(c).withColumn("coverage", rounded(F.try_divide("n_used", "n_total")))
 
 
-@query(STAGES_SQL.rstrip() + f", {s.RATINGS}, {LABELS3}, ap AS (SELECT model, doc_id, unnest([{{'a': 'flagged', 's': flagged}}, {{'a': 'validated', 's': validated}}, {{'a': 'with_followup', 's': with_followup}}]) AS y FROM stages), x AS (SELECT model, y.a AS approach, label_source, truth, (y.s >= 75)::INT AS guess FROM ap JOIN long USING (doc_id)), c AS (SELECT model, approach, label_source, {COUNTS} FROM x GROUP BY 1, 2, 3) SELECT *, {RATES} FROM c")
+GRID = STAGES_SQL.rstrip() + f", {s.RATINGS}, {LABELS3}, ap AS (SELECT model, doc_id, unnest([{{'a': 'flagged', 's': flagged}}, {{'a': 'validated', 's': validated}}, {{'a': 'with_followup', 's': with_followup}}]) AS y FROM stages), x AS (SELECT model, y.a AS approach, label_source, truth, (y.s >= 75)::INT AS guess FROM ap JOIN long USING (doc_id)), c AS (SELECT model, approach, label_source, {COUNTS} FROM x GROUP BY 1, 2, 3) SELECT *, {RATES} FROM c"
+
+
+@query(GRID)
 def approach_grid(spark, d):
     names = ("flagged", "validated", "with_followup")
     long = stages(spark, d).select("model", "doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("a"), F.col(n).alias("s")) for n in names])).alias("y"))
@@ -94,6 +97,12 @@ def approach_grid(spark, d):
     return metrics.confusion_metrics(metrics.label_sources(x), ["model", "approach", "label_source"])
 
 
+@query(f"""WITH g AS ({GRID}), p AS (SELECT * FROM g WHERE label_source = 'pooled'), b AS (SELECT * FROM p WHERE f1 > 0 ORDER BY f1 DESC, model, approach LIMIT 1), m AS (SELECT max(f1) AS hi, min(f1) AS lo FROM p WHERE model = 'm1')
+SELECT (SELECT count(DISTINCT model) FROM p) AS n_models, b.model AS best_model, b.approach AS best_approach, b.f1, b.precision, b.recall, b.specificity, (SELECT model FROM p WHERE approach = 'flagged' ORDER BY f1, model LIMIT 1) AS worst_model, CASE WHEN lo > 0 THEN round((hi - lo) / lo * 100, 6) ELSE 0.0 END AS improvement_pct FROM b, m""")
+def approach_summary(spark, d):
+    return metrics.grid_summary(approach_grid(spark, d), primary="m1", shown="flagged")
+
+
 ODDS = f"""WITH {s.RUNS}, {s.RATINGS}, f AS (SELECT doc_id, max(score) >= 75 AS flagged, avg(score) >= 50 AS validated FROM runs GROUP BY 1),
 x AS (SELECT rater_b, count(*) AS n, count(*) FILTER (WHERE flagged) AS n_flagged, count(*) FILTER (WHERE validated) AS n_validated FROM ratings JOIN f USING (doc_id) WHERE rater_b IS NOT NULL GROUP BY 1),
 p AS (SELECT max(n_flagged / n) FILTER (WHERE rater_b = 1) AS f1, max(n_flagged / n) FILTER (WHERE rater_b = 0) AS f0, max(n_validated / n) FILTER (WHERE rater_b = 1) AS v1, max(n_validated / n) FILTER (WHERE rater_b = 0) AS v0 FROM x)

@@ -62,9 +62,12 @@ def first_usable_run(spark, d):
     return ops.first_usable_run(s.runs(spark, d))
 
 
-@query(R + f", n AS (SELECT *, {RN.format('doc_id', 'run_id')} AS rn FROM runs WHERE prompt = 'click') SELECT doc_id, max(CASE WHEN rn = 1 THEN score END) AS first_score, CASE WHEN count(*) >= 11 THEN round(avg(CASE WHEN rn <= 11 THEN score END), 6) END AS repeat_mean, round(avg(score), 6) AS all_mean, list(score ORDER BY rn) FILTER (WHERE rn <= 11) AS first_scores, count(*) AS n_runs FROM n GROUP BY 1")
+@query(R + f", n AS (SELECT *, {RN.format('doc_id', 'run_id')} AS rn FROM runs WHERE prompt = 'click') SELECT doc_id, max(CASE WHEN rn = 1 THEN score END) AS first_score, CASE WHEN count(*) >= 11 THEN round(avg(CASE WHEN rn <= 11 THEN score END), 6) END AS repeat_mean, round(avg(score), 6) AS all_mean, list(score ORDER BY rn) FILTER (WHERE rn <= 11) AS first_scores, count(*) AS n_runs, 'run ' || chr(97 + (min(run_id) % 26)::INT) AS first_reasoning, CASE WHEN min(run_id) % 3 > 0 THEN 'q' || min(run_id) || '; s' ELSE '' END AS first_excerpts FROM n GROUP BY 1")
 def repeat_aggregate(spark, d):
-    return ops.repeat_aggregate(s.runs(spark, d).where("prompt = 'click'"))
+    i = F.col("run_id").cast("string")
+    excerpts = F.when(F.col("run_id") % 3 > 0, F.concat(F.lit(', "excerpts": ["q'), i, F.lit('", "s"]'))).otherwise(F.lit(""))
+    text = F.concat(F.lit('{"score": '), F.col("score").cast("int").cast("string"), F.lit(', "reasoning": "run '), F.char((F.col("run_id") % 26 + 97).cast("int")), F.lit('"'), excerpts, F.lit("}"))
+    return ops.repeat_aggregate(s.runs(spark, d).where("prompt = 'click'").withColumn("response", text), response="response")
 
 
 @query(f"WITH {s.FOLLOWUPS}, g AS (SELECT r.doc_id, round(avg(f.score), 6) AS followup_mean, count(*) AS n_followups FROM followups f JOIN runs r ON f.parent_id = r.run_id WHERE r.prompt <> 'error' GROUP BY 1) SELECT doc_id, followup_mean, coalesce(n_followups, 0) AS n_followups FROM (SELECT DISTINCT doc_id FROM runs WHERE prompt <> 'error') LEFT JOIN g USING (doc_id)")

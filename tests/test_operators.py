@@ -1,6 +1,9 @@
 """Operators on small hand-written frames: ties, NULLs, thresholds, empty frames."""
 
+import random
+
 from pyspark.sql import functions as F
+from screenlake.functions import expr
 from screenlake.operators import breakdowns, documents, entities, metrics, runs
 from screenlake.streaming import ingest
 
@@ -46,7 +49,7 @@ def test_ingest_stream_holds_each_result_once(spark, tmp_path):
     for part in ([1, 2], [2, 3], [3]):
         (source / f"{len(list(source.iterdir()))}.txt").write_text("\n".join(line % i for i in part) + "\n{bad\n")
         ingest.ingest_available(spark, str(source), str(tmp_path / "t"), str(tmp_path / "c"))
-    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3]
+    assert sorted(r["doc_id"] for r in ingest.results(spark, str(tmp_path / "t")).collect()) == [1, 2, 3]
 
 
 def test_scorer_failures_become_errors(spark):
@@ -61,3 +64,64 @@ def test_joins_with_short_lists_are_broadcast(spark):
     codes = spark.createDataFrame([("1005", 3, 1)], "code string, n long, hits long")
     plan = breakdowns.prefix_rates(codes, spark.createDataFrame([("a", "10")], "segment string, prefix string"))._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
+
+
+def test_averages_number_runs_over_all_models(spark):
+    """With two repeats wanted, each model's rows are those among the first two of the document, whoever made them."""
+    rows = [(1, 1, "p", "a", 1, 10.0, "yes"), (2, 1, "p", "b", 2, 30.0, "no"), (3, 1, "p", "a", 3, 90.0, "no"), (4, 2, "p", "a", 1, 10.0, "true"), (5, 2, "p", "a", 2, None, "maybe"), (6, 2, "p", "b", 3, 5.0, "no")]
+    df = spark.createDataFrame(rows, "run_id long, doc_id long, prompt string, model string, run_at long, score double, flag string")
+    got = {(r["doc_id"], r["model"]): (r["mean_score"], r["mean_flag"], r["n"]) for r in runs.avg_first_n(df, repeats=2).collect()}
+    assert got == {(1, "a"): (None, None, 1), (1, "b"): (None, None, 1), (2, "a"): (10.0, 1.0, 2)}
+    loose = {(r["doc_id"], r["model"]): (r["mean_score"], r["mean_flag"]) for r in runs.avg_first_n(df, repeats=2, strict=False).collect()}
+    assert loose[1, "a"] == (10.0, 1.0) and loose[1, "b"] == (30.0, 0.0)
+
+
+def test_the_first_response_gives_reasoning_and_excerpts(spark):
+    rows = [(2, 1, 5.0, '{"score": 5, "reasoning": "later"}'), (1, 1, None, '{"reasoning": "first", "excerpts": ["a", "b"]}'), (3, 2, 1.0, '{"score": 1, "reasoning": "cut o'), (4, 3, 1.0, None), (5, 4, 1.0, "")]
+    df = spark.createDataFrame(rows, "run_id long, doc_id long, score double, response string")
+    got = {r["doc_id"]: (r["first_reasoning"], r["first_excerpts"]) for r in runs.repeat_aggregate(df, response="response").collect()}
+    assert got == {1: ("first", "a; b"), 2: ("cut o", ""), 3: (None, None), 4: (None, None)}
+
+
+def test_versions_by_text_times(spark):
+    rows = [(1, 1, "2020-01-02", "10:00:00"), (1, 2, "2020-01-02", "09:59:59"), (1, 3, "2020-01-02", "25:00:00"), (2, 4, None, "10:00:00"), (2, 5, "x", ""), (3, 6, "2020-1-2", "10:00:00"), (3, 7, "2019-12-31", "00:00:00")]
+    df = spark.createDataFrame(rows, "event int, version int, d string, t string").withColumn("created", expr.moment(F.col("d"), F.col("t")))
+    assert {r["event"]: r["version"] for r in entities.latest_version(df).collect()} == {1: 1, 2: 5, 3: 7}
+
+
+def test_rankings_of_a_group_with_most_entities(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("AAAAAAAAAB"), rng.randint(1, 300), rng.random() < 0.3) for _ in range(3000)] + [("C", 1, None)]
+    got = breakdowns.entity_rankings(spark.createDataFrame(rows, "g string, e int, f boolean"), "g", "e", "f", best=4, least=2).collect()
+    per = {}
+    for g, e, f in rows:
+        n, k = per.get((g, e), (0, 0))
+        per[g, e] = (n + 1, k + bool(f))
+    for g in "ABC":
+        mine = [(e, n, k) for (x, e), (n, k) in per.items() if x == g]
+        orders = {"volume": lambda r: (-r[1], -r[2], r[0]), "rate": lambda r: (-r[2] / r[1], -r[1], r[0]), "tail": lambda r: (r[2] / r[1], -r[1], r[0])}
+        for name, order in orders.items():
+            want = sorted((r for r in mine if name == "volume" or r[1] >= 2), key=order)[:4]
+            assert [(r["e"], r["n"], r["hits"]) for r in sorted(got, key=lambda r: r["rank"]) if (r["g"], r["ranking"]) == (g, name)] == want
+        assert {r["n_entities"] for r in got if r["g"] == g} == {len(mine)}
+
+
+def test_pairings_and_repeats(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 2), (None, 3), ("c", 4)], "l string, r int")
+    got = {r["side"]: tuple(r)[1:] for r in entities.pairing_report(df, "l", "r").collect()}
+    assert got == {"l": (4, 1, 3, 1, 2), "r": (4, 2, 4, 1, 2)}
+    assert tuple(entities.distinct_counts(df).first()) == (6, 5) and tuple(entities.distinct_counts(df.where("false")).first()) == (0, 0)
+
+
+def test_odds_ratios(spark):
+    rows = [(1, True, True)] * 3 + [(1, False, True)] + [(0, True, False)] * 1 + [(0, False, False)] * 3 + [(None, True, True)]
+    got = {r["y"]: r for r in metrics.agreement(spark.createDataFrame(rows, "y int, f boolean, v boolean"), "y", ["f", "v"]).collect()}
+    assert set(got) == {0, 1} and got[1]["f_odds_ratio"] == got[0]["f_odds_ratio"] == 9.0 and got[1]["f_pct"] == 75.0
+    assert got[1]["v_odds_ratio"] is None and got[1]["n_v"] == 4  # class 1 always
+
+
+def test_summary_of_a_grid(spark):
+    grid = spark.createDataFrame([("m1", "x", "pooled", 0.4, 1.0, 1.0, 1.0), ("m1", "y", "pooled", 0.5, 0.5, 0.5, 0.5), ("m2", "x", "pooled", 0.1, 1.0, 1.0, 1.0), ("m2", "y", "other", 0.9, 1.0, 1.0, 1.0)], "model string, approach string, label_source string, f1 double, precision double, recall double, specificity double")
+    assert tuple(metrics.grid_summary(grid, "m1", "x").first()) == (2, "m1", "y", 0.5, 0.5, 0.5, 0.5, "m2", 25.0)
+    zero = metrics.grid_summary(grid.withColumn("f1", F.lit(0.0)), "m1", "x").first()
+    assert zero["best_model"] is None and zero["improvement_pct"] == 0.0
