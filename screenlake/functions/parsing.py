@@ -78,6 +78,11 @@ def embedded_object(response: Column) -> Column:
     return F.regexp_extract(response, r"(?s)(\{.*\})", 1)
 
 
+def found_number(text: Column, pattern: str) -> Column:
+    """The number in the pattern's first match. Without a match nothing is cast, as failing casts are slow."""
+    return let(F.regexp_extract(text, pattern, 1), lambda t: F.when(t != "", number(t)))
+
+
 def last_fields(text: Column, keys: tuple[str, ...]) -> Column:
     """The keys' values, as text, of an object that may repeat keys: the last one counts. NULL for broken JSON."""
     ddl = ", ".join(f"`{k}` STRING" for k in keys)
@@ -118,9 +123,9 @@ def cascade(response: Column) -> Column:
     by_key = lambda parsed: F.coalesce(*(staged(f"json:{k}", json_score(parsed, k)) for k in SCORE_KEYS))
     digits = lambda text, k: F.when(text[k].rlike(r"^-?\d+(\.\d+)?$"), F.floor(let(number(text[k]), lambda v: clamped(v))).cast("double"))
     repeated = lambda text: F.coalesce(*(staged(f"json:{k}", digits(text, k)) for k in SCORE_KEYS))
-    from_object = let(embedded_object(response), lambda text: let(F.try_parse_json(text), lambda parsed: F.when(parsed.isNotNull(), by_key(parsed)).when(text != "", let(last_fields(text, SCORE_KEYS), repeated))))
-    wordings = [staged(stage, let(number(F.regexp_extract(response, p, 1)), lambda v: clamped(v))) for stage, p in SCORE_PATTERNS]
-    salvage = let(number(F.regexp_extract(F.replace(response, F.lit("\\"), F.lit("")), r'(?s)"score".*?(\d+)', 1)), lambda v: clamped(v))
+    from_object = let(embedded_object(response), lambda text: F.when(text != "", let(F.try_parse_json(text), lambda parsed: F.when(parsed.isNotNull(), by_key(parsed)).otherwise(let(last_fields(text, SCORE_KEYS), repeated)))))
+    wordings = [staged(stage, let(found_number(response, p), lambda v: clamped(v))) for stage, p in SCORE_PATTERNS]
+    salvage = let(found_number(F.replace(response, F.lit("\\"), F.lit("")), r'(?s)"score".*?(\d+)'), lambda v: clamped(v))
     return F.coalesce(from_object, *wordings, staged("salvage", salvage), staged("context", context_score(response)))
 
 

@@ -20,13 +20,14 @@ def prefixes(df: DataFrame, code: str = "code", shortest: int = 1, whole: bool =
     return df.withColumn("length", F.explode(lengths)).withColumn("prefix", F.col(code).substr(F.lit(1), F.col("length")))
 
 
-def tree(names: DataFrame) -> DataFrame:
-    """(system, level, code, name, parent) from a classification (system, level, code, name).
+def listed(names: DataFrame) -> DataFrame:
+    """(system, level, code, name) from a classification; a code that it has at several levels is the node of the most specific one."""
+    return names.groupBy("system", "code").agg(F.max_by(F.struct("level", "name"), F.struct("level", F.col("name"))).alias("x")).select("system", F.col("x.level").cast("bigint").alias("level"), "code", "x.name")
 
-    A code that is listed at several levels is the node of the most specific one; a node's parent is the longest shorter code
-    that is listed in its system, NULL at the top.
-    """
-    nodes = names.groupBy("system", "code").agg(F.max_by(F.struct("level", "name"), F.struct("level", F.col("name"))).alias("x")).select("system", F.col("x.level").cast("bigint").alias("level"), "code", "x.name")
+
+def tree(names: DataFrame) -> DataFrame:
+    """The nodes of a classification with their parent: the longest shorter code that is listed in the system, NULL at the top."""
+    nodes = listed(names)
     above = prefixes(nodes.select("system", "code"), whole=False).join(nodes.select("system", F.col("code").alias("prefix")), ["system", "prefix"])
     parents = above.groupBy("system", "code").agg(F.max_by("prefix", "length").alias("parent"))
     return nodes.join(parents, ["system", "code"], "left")
@@ -46,17 +47,17 @@ def hierarchy_rates(df: DataFrame, codes: dict[str, str], names: DataFrame, flag
     ``codes``: system -> column. Rows are first counted by whole code, then rolled up along the tree. A code without a name
     has its nearest listed ancestor's, with the code, at a system's last level, and else the system and the code.
     """
-    nodes = tree(names)
+    nodes = listed(names)
     systems = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.col(c).alias("full")) for s, c in codes.items()]))
     whole = df.select(systems.alias("c"), F.col(flag).cast("int").alias("f")).where("c.full IS NOT NULL").groupBy("c.system", "c.full").agg(F.count("f").alias("n"), F.coalesce(F.sum("f"), F.lit(0)).alias("hits"))
     lengths = F.create_map(*[x for s in codes for x in (F.lit(s), F.array(*map(F.lit, levels[s])))])
     rolled = resolved(whole, nodes).withColumn("level", F.explode(lengths[F.col("system")])).where(F.length("own") >= F.col("level")).withColumn("code", F.col("own").substr(F.lit(1), F.col("level")))
     summed = rolled.groupBy("system", F.col("level").cast("bigint").alias("level"), "code").agg(as_count(F.sum("n")).alias("n"), as_count(F.sum("hits")).alias("hits"))
-    listed = summed.join(nodes.select("system", "code", "name"), ["system", "code"], "left")
+    known = summed.join(nodes.select("system", "code", "name"), ["system", "code"], "left")
     last = F.create_map(*[F.lit(x) for s in codes for x in (s, max(levels[s]))])
-    lost = listed.where(F.col("name").isNull() & (F.col("level") == last[F.col("system")])).select("system", "code")
+    lost = known.where(F.col("name").isNull() & (F.col("level") == last[F.col("system")])).select("system", "code")
     heirs = prefixes(lost, whole=False).join(nodes.select("system", F.col("code").alias("prefix"), "name"), ["system", "prefix"]).groupBy("system", "code").agg(F.max_by("name", "length").alias("ancestor"))
-    named = listed.join(heirs, ["system", "code"], "left").withColumn("name", F.coalesce("name", F.concat("ancestor", F.lit(" (code: "), "code", F.lit(")")), F.concat(F.upper("system"), F.lit(" "), "code")))
+    named = known.join(heirs, ["system", "code"], "left").withColumn("name", F.coalesce("name", F.concat("ancestor", F.lit(" (code: "), "code", F.lit(")")), F.concat(F.upper("system"), F.lit(" "), "code")))
     out = named.select("system", "level", "code", "name", "n", "hits", F.round(percent(F.col("hits"), F.col("n")), 2).alias("pct"))
     return out.orderBy("system", "level", F.desc("pct"), "code")
 
