@@ -98,7 +98,7 @@ def approach_grid(spark, d):
 
 
 @query(f"""WITH g AS ({GRID}), p AS (SELECT * FROM g WHERE label_source = 'pooled'), b AS (SELECT * FROM p WHERE f1 > 0 ORDER BY f1 DESC, model, approach LIMIT 1), m AS (SELECT max(f1) AS hi, min(f1) AS lo FROM p WHERE model = 'm1')
-SELECT (SELECT count(DISTINCT model) FROM p) AS n_models, b.model AS best_model, b.approach AS best_approach, b.f1, b.precision, b.recall, b.specificity, (SELECT model FROM p WHERE approach = 'flagged' ORDER BY f1, model LIMIT 1) AS worst_model, CASE WHEN lo > 0 THEN round((hi - lo) / lo * 100, 6) ELSE 0.0 END AS improvement_pct FROM b, m""")
+SELECT (SELECT count(DISTINCT model) FROM p) AS n_models, b.model AS best_model, b.approach AS best_approach, b.f1, b.precision, b.recall, b.specificity, (SELECT model FROM p WHERE approach = 'flagged' ORDER BY f1, model LIMIT 1) AS worst_model, CASE WHEN lo > 0 THEN round((hi - lo) / lo * 100, 6) ELSE 0.0 END AS improvement_pct FROM m LEFT JOIN b ON true""")
 def approach_summary(spark, d):
     return metrics.grid_summary(approach_grid(spark, d), primary="m1", shown="flagged")
 
