@@ -272,6 +272,13 @@ def flag_number(value: Column) -> Column:
     return F.when(text.isin("1", "1.0", "true", "yes", "y"), F.lit(1.0)).when(text.isin("0", "0.0", "false", "no", "n"), F.lit(0.0))
 
 
+def saved(value: Column) -> Column:
+    """Whether a tracker's cell says that a batch is saved: true, yes, y or 1 as text in any case, or a number whose whole part is 1; NULL says no."""
+    text = F.lower(F.trim(value.cast("string")))
+    number_of = F.when(text.rlike(r"^[+-]?\d+\.\d+$"), text.try_cast("double"))
+    return F.coalesce(text.isin("true", "1", "yes", "y") | ((number_of >= 1) & (number_of < 2)), text.isin("true", "1", "yes", "y"), F.lit(False))
+
+
 def period(headline: Column) -> tuple[Column, Column]:
     """Quarter and year of a headline such as '..., Q3 2011 Earnings Call'."""
     pattern = r"Q([1-4])\s+(\d{4})"

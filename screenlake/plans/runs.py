@@ -251,9 +251,12 @@ def period_from_headline(spark, d):
     return o.select("o_orderkey", q.alias("quarter"), y.alias("year"))
 
 
-@query(f"WITH {s.RUNS} SELECT run_id, score, round(score / 2, 6) AS as_number, NULL::DOUBLE AS bad FROM runs")
+@query(f"WITH {s.RUNS} SELECT run_id, score, round(score / 2, 6) AS as_number, NULL::DOUBLE AS bad, CASE WHEN run_id % 3 > 0 THEN date_trunc('second', run_at) END AS as_time FROM runs")
 def coerce_types(spark, d):
-    return s.runs(spark, d).select("run_id", "score", rounded((F.col("score") / 2).cast("string").try_cast("double")).alias("as_number"), F.concat(F.lit("x"), F.col("run_id").cast("string")).try_cast("double").alias("bad"))
+    """Numbers and times as text; every third time isn't one."""
+    text = F.when(F.col("run_id") % 3 > 0, F.date_format("run_at", "yyyy-MM-dd HH:mm:ss")).otherwise(F.lit("2020-13-01 10:00:00"))
+    date, time = F.substring_index(text, " ", 1), F.substring_index(text, " ", -1)
+    return s.runs(spark, d).select("run_id", "score", rounded((F.col("score") / 2).cast("string").try_cast("double")).alias("as_number"), F.concat(F.lit("x"), F.col("run_id").cast("string")).try_cast("double").alias("bad"), expr.moment(date, time).alias("as_time"))
 
 
 @query(R + "SELECT doc_id, prompt, score FROM runs WHERE score >= 98")

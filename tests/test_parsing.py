@@ -144,6 +144,13 @@ def test_folding_all_of_unicode(spark):
     assert [t for i, t in enumerate(texts) if got[i] != unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()] == []
 
 
+def test_saved_cells(spark):
+    cases = [("True", True), (" yes ", True), ("1", True), ("1.0", True), ("1.9", True), ("y", True), ("0", False), ("2.0", False), ("false", False), ("t", False), ("", False), ("nan", False), (None, False)]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "v string")
+    assert [x[0] for x in df.select(parsing.saved(F.col("v"))).collect()] == [v for _, v in cases]
+    assert spark.range(3).select(parsing.saved(F.col("id") == 1)).collect() == [(False,), (True,), (False,)]
+
+
 def test_expressions(spark):
     row = spark.createDataFrame([("0161", " t ", "Énorme", 0, 0)], "c string, l string, a string, h int, n int")
     low, high = expr.wilson(F.col("h").cast("double"), F.col("n").cast("double"))
