@@ -38,8 +38,9 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = staged(lm_scoring.word_counts(docs), "words")
-    known, weights = lm_scoring.fit(docs, counts=counts)
-    return lm_scoring.score(docs, known, weights, counts=counts).select("doc_id", "n_tokens", "log_prob", "log_prob_per_token")
+    tokens = staged(lm_scoring.numbered(docs, lm_scoring.most_frequent(counts), counts=counts), "tokens", by="step")
+    known, weights = lm_scoring.fit(docs, counts=counts, tokens=tokens)
+    return lm_scoring.score(docs, known, weights, counts=counts, tokens=tokens).select("doc_id", "n_tokens", "log_prob", "log_prob_per_token")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
