@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, language_id, lm_scoring, mixing, near_dedup, piece_model, prefix_trie, quality, token_store, topk, url_filter, whitening
-from .common import fold, shared_dir, staged, table
+from .common import discard, fold, shared_dir, staged, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -40,7 +40,9 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = staged(lm_scoring.word_counts(docs), "words")
     tokens = staged(lm_scoring.numbered(docs, lm_scoring.most_frequent(counts), counts=counts), "tokens", by="step")
     known, weights = lm_scoring.fit(docs, counts=counts, tokens=tokens)
-    return lm_scoring.score(docs, known, weights, counts=counts, tokens=tokens).select("doc_id", "n_tokens", "log_prob", "log_prob_per_token")
+    scored = lm_scoring.score(docs, known, weights, counts=counts, tokens=tokens).select("doc_id", "n_tokens", "log_prob", "log_prob_per_token")
+    discard(counts, tokens)
+    return scored
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
