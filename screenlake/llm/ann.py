@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, unit_hash
+from .common import staged, taken, unit_hash
 
 TREES = 2
 LEAF_ROWS = 128
@@ -108,10 +108,11 @@ def plant(sample: np.ndarray, rows: int, trees: int = TREES, seed: int = 0) -> F
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.col(vector_col)
+    vectors = taken(vectors, vec_id=id_col, vector=vector_col)
+    v = F.col("vector")
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     # + 0.0 makes -0.0 equal to 0.0
-    return vectors.where(v.isNotNull() & F.col(id_col).isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("bigint").alias("vec_id"), F.transform(v, lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
+    return vectors.where(v.isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(v, lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
 
 
 def vector_key() -> Column:

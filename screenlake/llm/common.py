@@ -89,6 +89,12 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def taken(df: DataFrame, **names: str) -> DataFrame:
+    """The named columns of ``df`` alone, by their new names; a column that differs from them in case only is no clash."""
+    place = {c.lower(): i for i, c in reversed([*enumerate(df.columns)])} | {c: i for i, c in enumerate(df.columns)}
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*(F.col(f"c{place.get(c, place.get(c.lower()))}").alias(n) for n, c in names.items()))
+
+
 def others(df: DataFrame, *replaced: str) -> list:
     """The fields of ``df`` that a result with the columns ``replaced`` keeps (Spark's names ignore case)."""
     lower = {r.lower() for r in replaced}

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import taken
+
 CELL = 16_384
 LEAST_CELLS = 64
 BLOCK = 1_024
@@ -29,9 +31,10 @@ BLOCK = 1_024
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(vec_id, terms): floor(scale * x) of every component as 64-bit integers, unusable vectors left out."""
-    v = F.col(vector_col)
-    usable = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
-    return vectors.where(usable).select(F.col(id_col).cast("bigint").alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint")).alias("terms"))
+    vectors = taken(vectors, vec_id=id_col, vector=vector_col)
+    v = F.col("vector")
+    usable = v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
+    return vectors.where(usable).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint")).alias("terms"))
 
 
 def postings(terms: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, taken
 
 DAMPING, ITERATIONS, THRESHOLD = 0.85, 20, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,14 +74,15 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterati
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, iterations: int = ITERATIONS) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust), a row for each row of ``pages``."""
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
+    pages = taken(pages, page_id=id_col, url=url_col, html=html_col)
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
     verdict = F.lit(None).cast("string")
     for v, text in rules:
         verdict = F.when(F.col("rule") == text, F.lit(v)).otherwise(verdict)
-    judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    judged = pages.select("page_id", host.alias("host"), path.alias("path"))
     judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("by_rule", verdict)
     counts = staged(judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked")), "hosts")
-    edges = staged(host_links(pages, url_col, html_col), "edges")
+    edges = staged(host_links(pages, "url", "html"), "edges")
     both = {}
     for name, column, links in (("trust", "allowed", edges), ("distrust", "blocked", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))):
         total = counts.agg(F.sum(column)).first()[0] or 0

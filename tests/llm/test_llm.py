@@ -330,6 +330,16 @@ def test_lm_is_the_same_however_rows_lie_in_tasks(spark, small):
         assert max(abs(got[n][d] - got[1][d]) for d in got[1]) < 1e-3
 
 
+def test_columns_that_clash_but_for_case(spark, small):
+    for name, tab, search in (("embedding", "embeddings", lambda d: ann.search(d, F.col("vec_id") % 20 == 0, k=3)), ("embedding", "embeddings", lambda d: topk.top_k(topk.quantised(d), F.col("vec_id") % 50 == 0, k=3)), ("url", "pages", lambda d: url_filter.judge(d, q.URL_RULES))):
+        plain = spark.read.parquet(f"{small}/{tab}.parquet")
+        key = plain.columns[0]
+        clash = plain.toDF(*(f"x{i}" for i in range(len(plain.columns)))).withColumn("a.b", F.lit(1)).withColumn("more", F.lit("x")).withColumn("too", F.lit(None).cast("long"))
+        clash = clash.toDF(*plain.columns, "a.b", name.upper(), key.upper())
+        got, want = (sorted(map(str, search(d).collect())) for d in (clash, plain))
+        assert got == want and want
+
+
 def brute_components(docs, n, percent):
     ids, sets = [], []
     for i, t in docs:
