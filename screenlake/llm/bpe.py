@@ -1,12 +1,20 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 Texts are cut into chunks where a rolling hash of the last WINDOW bytes hits a mask, so the same passage
-gives the same chunks in every document that holds it. Each chunk's core, from its first safe cut to its
-last (see ``pieces``), is encoded once by a worker for all documents that share it; the memo stays from
-task to task. What lies around a join of two chunks, from the left one's last safe cut to the right one's
-first, is encoded again together with characters of both neighbours: the ids at either end must be exactly
-those that the neighbours' characters have alone. Where they aren't, more of the neighbours is taken
-until they agree; where they never do, the text goes to the library whole. Joins are kept like cores, by their text.
+gives the same chunks in every document that holds it. A chunk's core reaches from its first safe cut to its
+last (see ``pieces``). All cores of the corpus are counted in Spark; each that occurs more than once is
+encoded once, and its ids are joined back, by a 128-bit hash of the core, to the texts that hold it. Other
+cores are encoded where their text is. What lies around a join of two chunks, from the left one's last
+safe cut to the right one's first, is encoded again together with characters of both neighbours: the ids
+at either end must be exactly those that the neighbours' characters have alone. Where they aren't, more of
+the neighbours is taken until they agree; where they never do, the text goes to the library whole. No
+join is kept beyond its slice of texts.
+
+With ``across=False`` no table of chunks is made: cores are shared by the slices of a worker only, and no text
+is shuffled.
+
+The hash of a text only says which cores' ids travel to it; a core takes its ids by its own hash. A text that fills
+a third of all rows has its cores listed once, and Spark splits its rows where they are joined with that list.
 
 Texts with a special token's string inside go to the library whole. Cases: a null text counts as empty
 (no ids); an empty table gives an empty result; all other columns and repeated rows are kept as they
@@ -16,17 +24,21 @@ are; columns of the result with the name of an input column replace it.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_text_columns
-from .pieces import PieceEncoder, safe_cuts, shared
+from .common import column, others, text_slices
+from .pieces import ODD, PieceEncoder, joined, safe_cuts, shared
 
-WINDOW = 4
-#: Chunks have 2**CHUNK_BITS bytes on the average. Short ones are shared the most; longer ones make fewer joins.
-CHUNK_BITS = 2
+WINDOW = 32
+#: Chunks have 2**CHUNK_BITS bytes on the average.
+CHUNK_BITS = 8
 #: Characters of either neighbour that are encoded with a join at first.
 CONTEXT = 1
 SLICE = 1 << 20
@@ -45,32 +57,69 @@ def cut_points(data: np.ndarray, window: int = WINDOW, bits: int = CHUNK_BITS) -
     return np.flatnonzero((h[window - 1 : -1] >> np.uint32(32 - bits)) == 0) + window
 
 
+def hash_of(core: bytes) -> bytes:
+    return hashlib.blake2b(core, digest_size=16).digest()
+
+
 class ChunkEncoder(PieceEncoder):
-    """Encodes texts; the stretches of its memo are cores of chunks and joins."""
+    """Encodes texts by cores of chunks and joins; the memo keeps cores only, ``given`` holds ids of cores by their hash."""
 
-    def __init__(self, path: str, limit: int = 600_000, separator: str | None = None):
+    def __init__(self, path: str, limit: int = 20_000, separator: str | None = None):
         super().__init__(path, limit, separator)
         self.tokens = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())] if self.tok.decoder is None else None
         self.edges: dict[str, bytes] = {}
         self.cuts = np.zeros(0, dtype=np.int64)
+        self.given: dict[bytes, bytes] = {}
+        self.passing = np.zeros(0, dtype=np.int64)
 
     def bounds(self, data: np.ndarray, starts: np.ndarray, odd: np.ndarray) -> np.ndarray:
         safe = safe_cuts(data, starts, odd)
         is_safe = np.zeros(len(data) + 1, dtype=bool)
         is_safe[safe] = True
         cuts = cut_points(data)
-        self.cuts = cuts[~is_safe[cuts]]  # a cut at a safe one joins nothing
+        cuts = cuts[cuts - starts[np.searchsorted(starts, cuts, side="right") - 1] >= WINDOW]  # no hash reaches into the text before
+        self.cuts = cuts[~is_safe[cuts]]
         before = np.cumsum(is_safe, dtype=np.int32)[self.cuts] - 1
         start = np.zeros(len(data) + 1, dtype=bool)
-        for ends in (starts, safe[before], safe[before + 1]):
+        for ends in (starts, cuts[is_safe[cuts]], safe[before], safe[before + 1]):  # a cut at a safe one joins nothing
             start[ends] = True
         return np.flatnonzero(start)
 
+    def joins(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which stretches of the last ``bounds`` hold a cut, so that they are no cores."""
+        return np.searchsorted(self.cuts, begin, side="right") < np.searchsorted(self.cuts, end)
+
+    def cores(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The cores of the texts in a row, and the number of the text of each; none of texts that go to the library whole."""
+        texts = pc.fill_null(texts, "")
+        for s in self.special:
+            texts = pc.if_else(pc.match_substring(texts, s), "", texts)
+        data, starts = joined(texts)
+        if not len(data):
+            return pa.array([], pa.binary()), np.zeros(0, dtype=np.int64)
+        bounds = self.bounds(data, starts, pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
+        all_ = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, dtype=np.int64)), pa.py_buffer(data)])
+        core = ~self.joins(bounds[:-1], bounds[1:])
+        return all_.filter(pa.array(core)).cast(pa.binary()), np.searchsorted(starts, bounds[:-1][core], side="right") - 1
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.memo.trim()
+        before, self.passing = len(self.memo.known), np.zeros(0, dtype=np.int64)
+        out = super().cut(texts)
+        if len(self.passing):
+            self.memo.keep(np.setdiff1d(np.arange(len(self.memo.known)), before + self.passing))
+        return out
+
     def learn(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray, first: np.ndarray, texts: list[str]) -> list[bytes | None]:
         begin, end = bounds[first], bounds[first + 1]
-        joins = np.searchsorted(self.cuts, begin, side="right") < np.searchsorted(self.cuts, end)
+        joins = self.joins(begin, end)
+        self.passing = np.flatnonzero(joins)
         out: list[bytes | None] = [None] * len(texts)
         cores = np.flatnonzero(~joins).tolist()
+        if self.given:
+            for i in cores:
+                out[i] = self.given.get(hash_of(texts[i].encode()))
+        cores = [i for i in cores if out[i] is None]
         for i, ids in zip(cores, self.encode_new([texts[i] for i in cores])):
             out[i] = ids
         text = np.searchsorted(starts, begin, side="right") - 1
@@ -106,22 +155,72 @@ class ChunkEncoder(PieceEncoder):
         return " ".join(map(self.tokens.__getitem__, numbers))
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256, and on demand ids (binary) and decoded."""
+def chunk_ids(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """(core, ids): the hash and the ids of each core that occurs more than once in the corpus.
+
+    Cores are counted in each slice and task before the shuffle, so a frequent one arrives as few rows.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared(ChunkEncoder, tokenizer)
+        for batch in text_slices(batches, "text", SLICE):
+            counted = encoder.cores(batch.column(0))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["core", "n"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared(ChunkEncoder, tokenizer)
+        for batch in text_slices(batches, "core", SLICE):
+            cores = batch.column(0).to_pylist()
+            ids = encoder.encode_new([c.decode() for c in cores])
+            yield pa.RecordBatch.from_arrays([pa.array(map(hash_of, cores), pa.binary()), pa.array(ids, pa.binary())], ["core", "ids"])
+
+    counted = docs.select(column(text_col).alias("text")).mapInArrow(count, "core binary, n bigint")
+    return counted.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core").mapInArrow(encode, "core binary, ids binary")
+
+
+def chunks_of_texts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """(_key, chunks): for the hash of a text its cores that occur more than once in the corpus, with their ids."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared(ChunkEncoder, tokenizer)
+        for batch in text_slices(batches, "text", SLICE):
+            cores, of = encoder.cores(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(map(hash_of, cores.to_pylist()), pa.binary())], ["_key", "core"])
+
+    rows = docs.select(F.xxhash64(column(text_col)).alias("_key"), column(text_col).alias("text")).mapInArrow(hashes, "_key bigint, core binary")
+    known = rows.distinct().join(chunk_ids(docs, tokenizer, text_col), "core")
+    return known.groupBy("_key").agg(F.collect_list(F.struct("core", "ids")).alias("chunks"))  # no more than a text has cores
+
+
+def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_ids: bool = False, keep_text: bool = False, across: bool = True) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256, and on demand ids (binary) and decoded.
+
+    ``across``: cores that texts share are encoded once for the whole corpus, not once for each worker.
+    """
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     added += [T.StructField("ids", T.BinaryType())] * keep_ids + [T.StructField("decoded", T.StringType())] * keep_text
+    kept = others(docs, *(f.name for f in added))
+    places, names = [docs.schema.fields.index(f) for f in kept], docs.columns
+    at = names.index(text_col) if text_col in names else [n.lower() for n in names].index(text_col.lower())
+    docs, text = docs.toDF(*(f"c{i}" for i in range(len(names)))), F.col(f"c{at}")  # names may clash but for case
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*kept, *added])])
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(ChunkEncoder, tokenizer)
-
-        def compute(texts: pa.Array) -> list[pa.Array]:
-            ids, counts = encoder.encode(texts)
-            each = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
-            raw = [x.astype("<u4", copy=False).tobytes() for x in each]
-            decoded = [encoder.decode(x) for x in each]
+        for batch in text_slices(batches, "text", SLICE):
+            if across:
+                each = pc.list_flatten(batch.column(len(kept) + 1))
+                encoder.given = dict(zip(each.field("core").to_pylist(), each.field("ids").to_pylist()))
+            ids, counts = encoder.encode(batch.column(len(kept)))
+            encoder.given = {}
+            split = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
+            raw = [x.astype("<u4", copy=False).tobytes() for x in split]
+            decoded = [encoder.decode(x) for x in split]
             columns = [pa.array(counts, pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (raw, [t.encode() for t in decoded]))]
-            return columns + [pa.array(raw, pa.binary())] * keep_ids + [pa.array(decoded, pa.string())] * keep_text
-
-        return compute
+            columns += [pa.array(raw, pa.binary())] * keep_ids + [pa.array(decoded, pa.string())] * keep_text
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], inner.names)
 
-    return with_text_columns(docs, text_col, added, start, SLICE)
+    rows = docs.select(*(f"c{i}" for i in places), text.alias("text"), *[F.xxhash64(text).alias("_key")] * across)
+    if across:
+        rows = rows.join(chunks_of_texts(docs.select(text.alias("text")), tokenizer), "_key", "left").drop("_key")
+    return rows.mapInArrow(run, inner).toDF(*(f.name for f in [*kept, *added]))

@@ -105,10 +105,13 @@ class Memo:
 
     def trim(self) -> None:
         if len(self.known) > self.limit:
-            keep = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
-            flat, lengths = self.ids(keep), self.lengths[keep]
-            self.known, self.used, self.firm = self.known.take(pa.array(keep)), self.used[keep], self.firm[keep]
-            self.flat, self.lengths, self.starts = flat, lengths, np.cumsum(lengths) - lengths
+            self.keep(np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2]))
+
+    def keep(self, places: np.ndarray) -> None:
+        """Drop all stretches but those at ``places``."""
+        flat, lengths = self.ids(places), self.lengths[places]
+        self.known, self.used, self.firm = self.known.take(pa.array(places)), self.used[places], self.firm[places]
+        self.flat, self.lengths, self.starts = flat, lengths, np.cumsum(lengths) - lengths
 
 
 class PieceEncoder:

@@ -68,7 +68,40 @@ def test_shared_passages_are_encoded_once():
     encoder.encode_all([f"one {passage} end"])
     first = sum(sent)
     encoder.encode_all([f"{k} {passage} more {k}" for k in range(50)])
-    assert first > len(passage) * 0.9 and sum(sent) - first < 0.05 * first
+    # 50 texts of the same passage: new are their own two ends, about a chunk each, and the passage's joins once
+    assert first > len(passage) * 0.9 and sum(sent) - first < 0.01 * 50 * len(passage) and sum(sent) - first < 0.05 * first + 50 * 2 * 256
+
+
+def test_chunks_of_the_corpus_are_encoded_once(spark):
+    """Cores that texts share have one row with the library's ids, and reach each text that holds them; results don't depend on them."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(9)
+    passages = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(700)) for _ in range(3)]
+    texts = [f"{k} start {passages[k % 3]} end {rng.random()}" for k in range(30)] + [passages[0]] * 40 + odd_texts(200, 5) + ["<|endoftext|> " + passages[1]] * 2 + [None, ""]
+    only = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    docs = only.select("*", F.lit("mine").alias("TEXT"))
+    encoder = bpe.ChunkEncoder(path)
+    seen = Counter(c for t in texts for c in encoder.cores(pa.array([t], pa.string()))[0].to_pylist())
+    table = {bytes(r["core"]): bytes(r["ids"]) for r in bpe.chunk_ids(only, path).collect()}
+    assert table == {bpe.hash_of(c): encoder.library(c.decode()).tobytes() for c, n in seen.items() if n > 1}
+    long = [c for c, n in seen.items() if n > 1 and len(c) > 100]
+    assert sum(map(len, long)) > 0.8 * sum(map(len, passages))
+    lists = {r["_key"]: r["chunks"] for r in bpe.chunks_of_texts(only, path).collect()}
+    assert max(len(x) for x in lists.values()) <= max(len(encoder.cores(pa.array([t]))[0]) for t in texts if t)
+    got = {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode_decode(docs, path, keep_ids=True).collect()}
+    assert got == {d: encoder.library(t or "").tobytes() for d, t in enumerate(texts)}
+    alone = {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode_decode(docs, path, keep_ids=True, across=False).collect()}
+    assert alone == got
+
+
+def test_chunks_from_the_table_are_not_encoded_again():
+    encoder, sent = bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(4000))
+    cores = encoder.cores(pa.array([text]))[0].to_pylist()
+    encoder.given = {bpe.hash_of(c): encoder.library(c.decode()).tobytes() for c in cores}
+    want, library = encoder.library(text).tobytes(), encoder.library_all
+    encoder.library_all = lambda texts, *k: sent.append(sum(map(len, texts))) or library(texts, *k)
+    assert encoder.encode_all([text]) == [want] and sum(sent) < 0.15 * len(text)
 
 
 def test_joins_widen_until_ids_agree(monkeypatch):
@@ -78,7 +111,7 @@ def test_joins_widen_until_ids_agree(monkeypatch):
     monkeypatch.setattr(bpe, "cut_points", lambda data: np.arange(2, len(data), 5))
     text = "unbelievable characterisations of internationalisation"
     assert encoder.encode_all([text]) == [encoder.library(text).tobytes()]
-    assert not encoder.memo.firm.all()
+    assert encoder.cut(pa.array([text]))[2].all()
 
 
 def test_bpe_of_odd_rows(spark, odd_docs):
