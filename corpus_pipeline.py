@@ -67,8 +67,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows without the text, with n_tokens, ids_sha256, decoded_sha256 and ids; a null text has no ids."""
-    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True).drop("text")
+    """All rows without the text, with n_tokens, ids_sha256, decoded_sha256 and ids; a null text has no ids.
+
+    Near-duplicates are gone by now, so chunks are shared within workers and no text is shuffled for them.
+    """
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True, across=False).drop("text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
