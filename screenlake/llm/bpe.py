@@ -2,9 +2,10 @@
 
 Texts are cut into chunks where a rolling hash of the last WINDOW bytes hits a mask, so the same passage
 gives the same chunks in every document that holds it. A chunk's core reaches from its first safe cut to its
-last (see ``pieces``). All cores of the corpus are counted in Spark; each that occurs more than once is
-encoded once, and its ids are joined back, by a 128-bit hash of the core, to the texts that hold it. Other
-cores are encoded where their text is. What lies around a join of two chunks, from the left one's last
+last (see ``pieces``). The cores of the whole corpus are counted in Spark, by their hashes; each that occurs more
+than once is encoded once, and its ids are joined back, by a 128-bit hash of the core, to the texts that hold
+it. Other cores are encoded where their text is. A filter of the repeated hashes (see ``Repeats``) picks the cores and
+the rows that take part in the joins; rows without a repeated core are encoded where they were read. What lies around a join of two chunks, from the left one's last
 safe cut to the right one's first, is encoded again together with characters of both neighbours: the ids
 at either end must be exactly those that the neighbours' characters have alone. Where they aren't, more of
 the neighbours is taken until they agree; where they never do, the text goes to the library whole. No
@@ -29,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, others, text_slices
+from .common import Members, column, discard, others, staged, text_slices
 from .pieces import ODD, PieceEncoder, joined, safe_cuts, shared
 
 WINDOW = 32
@@ -155,7 +156,38 @@ class ChunkEncoder(PieceEncoder):
         return " ".join(map(self.tokens.__getitem__, numbers))
 
 
-def chunk_ids(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+class Repeats(Members):
+    """A Bloom filter of the hashes of cores that occur more than once, 32 MB at most (see ``Members``).
+
+    False hits send more rows through the joins, which sort them out; results are the same with any number.
+    """
+
+    def __init__(self, docs: DataFrame, tokenizer: str, text_col: str = "text"):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder = shared(ChunkEncoder, tokenizer)
+            for batch in text_slices(batches, "text", SLICE):
+                counted = encoder.cores(batch.column(0))[0].value_counts()
+                yield pa.RecordBatch.from_arrays([pa.array(first_halves(counted.field("values"))), counted.field("counts")], ["h", "n"])
+
+        rows = docs.select(column(text_col).alias("text")).mapInArrow(count, "h bigint, n bigint")
+        found = staged(rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "chunks")
+        super().__init__(found, "h")
+        discard(found)
+
+    def places(self, key: Column) -> list[Column]:
+        return [F.pmod(F.shiftrightunsigned(key, 18 * k), F.lit(self.size)) for k in range(self.HASHES)]
+
+    def hold(self, cores: pa.Array) -> np.ndarray:
+        """Which of the cores may occur more than once."""
+        h = first_halves(cores).view(np.uint64)
+        return self.mask([(h >> np.uint64(18 * k) & np.uint64(self.size - 1)).astype(np.int64) for k in range(self.HASHES)])
+
+
+def first_halves(cores: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(hash_of(c)[:8] for c in cores.to_pylist()), dtype="<i8")
+
+
+def chunk_ids(docs: DataFrame, tokenizer: str, repeats: Repeats, text_col: str = "text") -> DataFrame:
     """(core, ids): the hash and the ids of each core that occurs more than once in the corpus.
 
     Cores are counted in each slice and task before the shuffle, so a frequent one arrives as few rows.
@@ -164,7 +196,8 @@ def chunk_ids(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(ChunkEncoder, tokenizer)
         for batch in text_slices(batches, "text", SLICE):
-            counted = encoder.cores(batch.column(0))[0].value_counts()
+            cores = encoder.cores(batch.column(0))[0]
+            counted = cores.filter(pa.array(repeats.hold(cores))).value_counts()
             yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["core", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,24 +211,40 @@ def chunk_ids(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFr
     return counted.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core").mapInArrow(encode, "core binary, ids binary")
 
 
-def chunks_of_texts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+def chunks_of_texts(docs: DataFrame, tokenizer: str, repeats: Repeats, text_col: str = "text") -> DataFrame:
     """(_key, chunks): for the hash of a text its cores that occur more than once in the corpus, with their ids."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(ChunkEncoder, tokenizer)
         for batch in text_slices(batches, "text", SLICE):
             cores, of = encoder.cores(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(map(hash_of, cores.to_pylist()), pa.binary())], ["_key", "core"])
+            held = repeats.hold(cores)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[held])), pa.array(map(hash_of, cores.filter(pa.array(held)).to_pylist()), pa.binary())], ["_key", "core"])
 
     rows = docs.select(F.xxhash64(column(text_col)).alias("_key"), column(text_col).alias("text")).mapInArrow(hashes, "_key bigint, core binary")
-    known = rows.distinct().join(chunk_ids(docs, tokenizer, text_col), "core")
+    known = rows.distinct().join(chunk_ids(docs, tokenizer, repeats, text_col), "core")
     return known.groupBy("_key").agg(F.collect_list(F.struct("core", "ids")).alias("chunks"))  # no more than a text has cores
 
 
+def rows_by_repeats(rows: DataFrame, tokenizer: str, repeats: Repeats, some: bool) -> DataFrame:
+    """The rows whose ``text`` has a core that may be repeated (``some``), or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared(ChunkEncoder, tokenizer)
+        for batch in text_slices(batches, "text", SLICE):
+            cores, of = encoder.cores(batch.column(batch.schema.get_field_index("text")))
+            hit = np.zeros(batch.num_rows, dtype=bool)
+            hit[of[repeats.hold(cores)]] = True
+            yield batch.filter(pa.array(hit == some))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_ids: bool = False, keep_text: bool = False, across: bool = True) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256, and on demand ids (binary) and decoded.
 
-    ``across``: cores that texts share are encoded once for the whole corpus, not once for each worker.
+    ``across``: cores that texts share are encoded once for the whole corpus, not once for each worker. The
+    repeated hashes are then counted when the query is built.
     """
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     added += [T.StructField("ids", T.BinaryType())] * keep_ids + [T.StructField("decoded", T.StringType())] * keep_text
@@ -208,7 +257,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(ChunkEncoder, tokenizer)
         for batch in text_slices(batches, "text", SLICE):
-            if across:
+            if batch.num_columns > len(kept) + 1:
                 each = pc.list_flatten(batch.column(len(kept) + 1))
                 encoder.given = dict(zip(each.field("core").to_pylist(), each.field("ids").to_pylist()))
             ids, counts = encoder.encode(batch.column(len(kept)))
@@ -220,7 +269,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_
             columns += [pa.array(raw, pa.binary())] * keep_ids + [pa.array(decoded, pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], inner.names)
 
-    rows = docs.select(*(f"c{i}" for i in places), text.alias("text"), *[F.xxhash64(text).alias("_key")] * across)
+    rows = docs.select(*(f"c{i}" for i in places), text.alias("text")).toDF(*(f"c{i}" for i in range(len(kept))), "text")
     if across:
-        rows = rows.join(chunks_of_texts(docs.select(text.alias("text")), tokenizer), "_key", "left").drop("_key")
-    return rows.mapInArrow(run, inner).toDF(*(f.name for f in [*kept, *added]))
+        texts = docs.select(text.alias("text"))
+        repeats = Repeats(texts, tokenizer)
+        shared_ = rows_by_repeats(rows, tokenizer, repeats, True).withColumn("_key", F.xxhash64("text"))
+        shared_ = shared_.join(chunks_of_texts(texts, tokenizer, repeats), "_key", "left").drop("_key")
+        out = rows_by_repeats(rows, tokenizer, repeats, False).mapInArrow(run, inner).unionByName(shared_.mapInArrow(run, inner))
+    else:
+        out = rows.mapInArrow(run, inner)
+    return out.toDF(*(f.name for f in [*kept, *added]))

@@ -72,7 +72,7 @@ def test_shared_passages_are_encoded_once():
     assert first > len(passage) * 0.9 and sum(sent) - first < 0.01 * 50 * len(passage) and sum(sent) - first < 0.05 * first + 50 * 2 * 256
 
 
-def test_chunks_of_the_corpus_are_encoded_once(spark):
+def test_chunks_of_the_corpus_are_encoded_once(spark, monkeypatch):
     """Cores that texts share have one row with the library's ids, and reach each text that holds them; results don't depend on them."""
     path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(9)
     passages = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(700)) for _ in range(3)]
@@ -81,16 +81,23 @@ def test_chunks_of_the_corpus_are_encoded_once(spark):
     docs = only.select("*", F.lit("mine").alias("TEXT"))
     encoder = bpe.ChunkEncoder(path)
     seen = Counter(c for t in texts for c in encoder.cores(pa.array([t], pa.string()))[0].to_pylist())
-    table = {bytes(r["core"]): bytes(r["ids"]) for r in bpe.chunk_ids(only, path).collect()}
+    repeats = bpe.Repeats(only, path)
+    assert repeats.hold(pa.array([c for c, n in seen.items() if n > 1], pa.binary())).all()
+    assert repeats.hold(pa.array([c for c, n in seen.items() if n == 1], pa.binary())).mean() < 0.1
+    table = {bytes(r["core"]): bytes(r["ids"]) for r in bpe.chunk_ids(only, path, repeats).collect()}
     assert table == {bpe.hash_of(c): encoder.library(c.decode()).tobytes() for c, n in seen.items() if n > 1}
     long = [c for c, n in seen.items() if n > 1 and len(c) > 100]
     assert sum(map(len, long)) > 0.8 * sum(map(len, passages))
-    lists = {r["_key"]: r["chunks"] for r in bpe.chunks_of_texts(only, path).collect()}
+    lists = {r["_key"]: r["chunks"] for r in bpe.chunks_of_texts(only, path, repeats).collect()}
     assert max(len(x) for x in lists.values()) <= max(len(encoder.cores(pa.array([t]))[0]) for t in texts if t)
     got = {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode_decode(docs, path, keep_ids=True).collect()}
     assert got == {d: encoder.library(t or "").tobytes() for d, t in enumerate(texts)}
     alone = {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode_decode(docs, path, keep_ids=True, across=False).collect()}
     assert alone == got
+    made = bpe.Repeats.__init__
+    monkeypatch.setattr(bpe.Repeats, "__init__", lambda self, *a: (made(self, *a), self.bits.fill(255))[1])  # a filter that is full
+    assert bpe.Repeats(only, path).hold(pa.array([b"none of them"])).all()
+    assert {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode_decode(docs, path, keep_ids=True).collect()} == got
 
 
 def test_chunks_from_the_table_are_not_encoded_again():
