@@ -43,6 +43,8 @@ CHUNK_BITS = 8
 #: Characters of either neighbour that are encoded with a join at first.
 CONTEXT = 1
 SLICE = 1 << 20
+#: Cores that are encoded in one string; the library takes half as long again for each byte of long strings.
+TOGETHER = 4
 
 
 def cut_points(data: np.ndarray, window: int = WINDOW, bits: int = CHUNK_BITS) -> np.ndarray:
@@ -121,7 +123,7 @@ class ChunkEncoder(PieceEncoder):
             for i in cores:
                 out[i] = self.given.get(hash_of(texts[i].encode()))
         cores = [i for i in cores if out[i] is None]
-        for i, ids in zip(cores, self.encode_new([texts[i] for i in cores])):
+        for i, ids in zip(cores, self.encode_new([texts[i] for i in cores], TOGETHER)):
             out[i] = ids
         text = np.searchsorted(starts, begin, side="right") - 1
         low, high = starts[text], starts[np.minimum(text + 1, len(starts) - 1)]
@@ -204,7 +206,7 @@ def chunk_ids(docs: DataFrame, tokenizer: str, repeats: Repeats, text_col: str =
         encoder = shared(ChunkEncoder, tokenizer)
         for batch in text_slices(batches, "core", SLICE):
             cores = batch.column(0).to_pylist()
-            ids = encoder.encode_new([c.decode() for c in cores])
+            ids = encoder.encode_new([c.decode() for c in cores], TOGETHER)
             yield pa.RecordBatch.from_arrays([pa.array(map(hash_of, cores), pa.binary()), pa.array(ids, pa.binary())], ["core", "ids"])
 
     counted = docs.select(column(text_col).alias("text")).mapInArrow(count, "core binary, n bigint")
@@ -226,13 +228,13 @@ def chunks_of_texts(docs: DataFrame, tokenizer: str, repeats: Repeats, text_col:
     return known.groupBy("_key").agg(F.collect_list(F.struct("core", "ids")).alias("chunks"))  # no more than a text has cores
 
 
-def rows_by_repeats(rows: DataFrame, tokenizer: str, repeats: Repeats, some: bool) -> DataFrame:
-    """The rows whose ``text`` has a core that may be repeated (``some``), or the others."""
+def rows_by_repeats(rows: DataFrame, tokenizer: str, repeats: Repeats, some: bool, text_col: str) -> DataFrame:
+    """The rows whose text has a core that may be repeated (``some``), or the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(ChunkEncoder, tokenizer)
-        for batch in text_slices(batches, "text", SLICE):
-            cores, of = encoder.cores(batch.column(batch.schema.get_field_index("text")))
+        for batch in text_slices(batches, text_col, SLICE):
+            cores, of = encoder.cores(batch.column(batch.schema.get_field_index(text_col)))
             hit = np.zeros(batch.num_rows, dtype=bool)
             hit[of[repeats.hold(cores)]] = True
             yield batch.filter(pa.array(hit == some))
@@ -256,11 +258,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(ChunkEncoder, tokenizer)
-        for batch in text_slices(batches, "text", SLICE):
-            if batch.num_columns > len(kept) + 1:
-                each = pc.list_flatten(batch.column(len(kept) + 1))
+        for batch in text_slices(batches, f"c{t}", SLICE):
+            if "chunks" in batch.schema.names:
+                each = pc.list_flatten(batch.column(batch.num_columns - 1))
                 encoder.given = dict(zip(each.field("core").to_pylist(), each.field("ids").to_pylist()))
-            ids, counts = encoder.encode(batch.column(len(kept)))
+            ids, counts = encoder.encode(batch.column(t))
             encoder.given = {}
             split = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
             raw = [x.astype("<u4", copy=False).tobytes() for x in split]
@@ -269,13 +271,15 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_
             columns += [pa.array(raw, pa.binary())] * keep_ids + [pa.array(decoded, pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], inner.names)
 
-    rows = docs.select(*(f"c{i}" for i in places), text.alias("text")).toDF(*(f"c{i}" for i in range(len(kept))), "text")
+    t = places.index(at) if at in places else len(kept)  # the text is once in a row
+    rows = docs.select(*(f"c{i}" for i in [*places, *[at] * (t == len(kept))]))
+    rows = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
     if across:
         texts = docs.select(text.alias("text"))
         repeats = Repeats(texts, tokenizer)
-        shared_ = rows_by_repeats(rows, tokenizer, repeats, True).withColumn("_key", F.xxhash64("text"))
+        shared_ = rows_by_repeats(rows, tokenizer, repeats, True, f"c{t}").withColumn("_key", F.xxhash64(f"c{t}"))
         shared_ = shared_.join(chunks_of_texts(texts, tokenizer, repeats), "_key", "left").drop("_key")
-        out = rows_by_repeats(rows, tokenizer, repeats, False).mapInArrow(run, inner).unionByName(shared_.mapInArrow(run, inner))
+        out = rows_by_repeats(rows, tokenizer, repeats, False, f"c{t}").mapInArrow(run, inner).unionByName(shared_.mapInArrow(run, inner))
     else:
         out = rows.mapInArrow(run, inner)
     return out.toDF(*(f.name for f in [*kept, *added]))
