@@ -43,7 +43,7 @@ CHUNK_BITS = 8
 #: Characters of either neighbour that are encoded with a join at first.
 CONTEXT = 1
 SLICE = 1 << 20
-#: Cores that are encoded in one string; the library takes half as long again for each byte of long strings.
+#: Cores that are encoded in one string.
 TOGETHER = 4
 
 
