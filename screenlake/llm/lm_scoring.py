@@ -5,17 +5,18 @@ hashed numbers. The probability of a masked word has three parts:
 
 * The network sees the REACH words on either side and predicts the number by a softmax over classes and one
   over the numbers of its class. It starts from the numbers' frequencies.
-* Where the hash of the two neighbours hits a mask (one place in ANCHOR), what the corpus has between the same
-  neighbours elsewhere is mixed in: (c - 1 + PRIOR * p) / (C - 1 + PRIOR) for c of C such places with
-  this number, this place itself left out. Whether a place is asked depends on its neighbours alone, so
-  probabilities still sum to 1. Passages that the corpus repeats score high by it.
+* At every place what the corpus has between the same neighbours elsewhere is mixed in:
+  (c - 1 + PRIOR * p) / (C - 1 + PRIOR) for c of C such places with this number, this place itself left out.
+  Both are counted in Spark over all places of the corpus. Passages that the corpus repeats score high by it.
 * A word that shares its number has its own share of the number's count, from the counts of all words;
   words that were never counted have UNSEEN together.
 
 A document's score is the sum of the log probabilities of all its words. The counts of words and of
 neighbours grow with the corpus and are held by no task: both are joined in Spark, and the logs are summed
 by the hash of the text (64 bits), over its copies, and divided by their number. Only the counts of the
-LISTED most frequent words are given to every task, so that few words need the join.
+LISTED most frequent words are given to every task, so that few words need the join. Texts lie in blocks (a slice
+of a task's texts); a block asks for each different triple of neighbours and number once, so frequent neighbours
+arrive as few numbers, and gets the counts back.
 
 Every document takes part in all counts and in training. Rows are dealt to STEPS mini-batches by a hash of
 their columns. In each step tasks compute in numpy the gradient over all positions of their rows of that batch,
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +51,11 @@ DECAY = (0.8, 0.95)  # of Adam's means of gradients and of their squares
 TOKENS = CLASSES * SIZE
 EDGE = TOKENS  # stands beyond either end of a document
 UNSEEN = 0.5  # the count of all words of a number that the corpus doesn't have
-ANCHOR, PRIOR = 16, 1.0
+PRIOR = 1.0
+#: Bits of a token number or EDGE; of two of them; and the odd number that spreads neighbours over all parts.
+BITS, PAIR, SPREAD = 13, 26, 0x2545F49
+#: Asked triples are dealt to 128 parts or more, so that 32 bits tell those of a part; more where a part would have more places than PART.
+LEAST, PART = 7, 1 << 21
 LISTED = 100_000
 SLICE = 8 << 20
 OFFSETS = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
@@ -270,7 +276,7 @@ class Adam:
 
 
 def numbered(docs: DataFrame, known: list[str], text_col: str = "text", counts: DataFrame | None = None, listed: int = LISTED) -> DataFrame:
-    """(_key, numbers, own, step): a text's hash, its words' numbers (2 bytes each), and what its listed words add for having shares of their numbers.
+    """(_key, numbers, own, block, step): a text's hash, its words' numbers (2 bytes each), what its listed words add for having shares of their numbers, and its block.
 
     Rows lie by their step of training and by where they were, so that each step is a few files, more with more
     rows. A step is chosen by all plain columns of a row, so copies of a text with ids of their own are spread.
@@ -278,8 +284,8 @@ def numbered(docs: DataFrame, known: list[str], text_col: str = "text", counts:
     names, logs, shared = listed_words(counts, known, listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(names, logs)
-        for batch in text_slices(batches, "text", SLICE // 2):
+        numbers, task = Numbers(names, logs), TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(text_slices(batches, "text", SLICE // 2)):
             words, sizes = words_of(batch.column(1))
             flat, extra = numbers.of(words)
             starts, some = np.cumsum(sizes) - sizes, sizes > 0
@@ -287,15 +293,16 @@ def numbered(docs: DataFrame, known: list[str], text_col: str = "text", counts:
             own[some] = np.add.reduceat(extra - shared[flat], starts[some]) if some.any() else 0.0
             ends = np.concatenate([[0], np.cumsum(sizes * 2)]).astype("i4")
             packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<i2").tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array(own), *batch.columns[2:]], ["_key", "numbers", "own", "step", "place"])
+            block = pa.array(np.full(len(sizes), task + k))
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array(own), block, *batch.columns[2:]], ["_key", "numbers", "own", "block", "step", "place"])
 
     plain = [column(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
     step = F.pmod(F.xxhash64(*plain), F.lit(STEPS)).cast("int")
     rows = docs.select(F.xxhash64(column(text_col)).alias("_key"), column(text_col).alias("text"), step.alias("step"), F.floor(F.spark_partition_id() / 16).cast("int").alias("place"))
-    return rows.mapInArrow(run, "_key bigint, numbers binary, own double, step int, place int").repartition("step", "place").drop("place")
+    return rows.mapInArrow(run, "_key bigint, numbers binary, own double, block bigint, step int, place int").repartition("step", "place").drop("place")
 
 
-def unpacked(numbers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(numbers: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of a column of ``numbered`` in a row, and how many each text has."""
     lists = numbers.to_pylist()
     return np.frombuffer(b"".join(lists), dtype="<i2").astype(np.int64), np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)) // 2
@@ -365,44 +372,87 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 0, counts: DataFram
 
 
 def anchors(tape: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the positions ``at`` ask the corpus, and the hashes of their neighbours."""
-    with np.errstate(over="ignore"):
-        x = tape[at - 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tape[at + 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-    some = np.flatnonzero(x % np.uint64(ANCHOR) == 0)
-    return some, x[some].view(np.int64)
+    """Which of the positions ``at`` ask the corpus, all of them, and the numbers of their neighbours, spread over PAIR bits."""
+    return np.arange(len(at)), (tape[at - 1] << BITS | tape[at + 1]) * SPREAD & (1 << PAIR) - 1
 
 
-def repeated_logs(places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(_key, log), and the staged table that it reads: for texts' hashes, what the corpus elsewhere adds to the log probabilities of their anchors.
+def triples(tape: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for the neighbours and the token of each position; its high bits are of the neighbours."""
+    return anchors(tape, at)[1] << BITS | tape[at]
 
-    ``places``: (_key, sides, numbers, logs), arrays as bytes, a row for each text. Equal places of a slice
-    are counted before the shuffle, so frequent neighbours arrive as few rows.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides, numbers = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=t) for k, t in ((0, "<i8"), (1, "<i4")))
-            if len(sides):
-                pairs = np.stack([sides, numbers.astype("<i8")], axis=1)
-                found, n = np.unique(pairs, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(n, pa.int64())], ["side", "number", "n"])
+def planes(x: np.ndarray) -> bytes:
+    """Counts as all their lowest bytes, then all their second ones and so on, as few as the largest needs."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return x.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T.tobytes()
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides, numbers, logs = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=t) for k, t in ((1, "<i8"), (2, "<i4"), (3, "<f4")))
-            sizes = [len(x) // 8 for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(sides), pa.array(numbers.astype(np.int64)), pa.array(logs)], ["_key", "side", "number", "p"])
 
-    counted = places.select("sides", "numbers").mapInArrow(count, "side bigint, number bigint, n bigint")
-    each = counted.groupBy("side", "number").agg(F.sum("n").alias("c"))
-    total = each.groupBy("side").agg(F.sum("c").alias("all"), F.collect_list(F.struct("number", "c")).alias("of"))  # as many as numbers at most
-    known = staged(total.where(F.col("all") > 1).select("side", "all", F.explode("of").alias("x")).select("side", "all", F.col("x.number").alias("number"), F.col("x.c").alias("c")), "repeated")
-    rows = places.mapInArrow(flat, "_key bigint, side bigint, number bigint, p float").join(known, ["side", "number"])
-    p = F.exp(F.col("p").cast("double"))
-    mixed = F.log((F.col("c") - 1 + PRIOR * p) / (F.col("all") - 1 + PRIOR)) - F.col("p")
-    return rows.groupBy("_key").agg(F.sum(mixed).alias("log")), known
+def from_planes(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype="u1")
+    out[:, : len(raw) // n] = np.frombuffer(raw, dtype="u1").reshape(-1, n).T
+    return out.reshape(-1).view("<u8").astype(np.int64)
+
+
+def starts_of(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
+def asked(tokens: DataFrame, bits: int) -> DataFrame:
+    """(part, block, codes, n): for each block and each of 2**bits parts of the neighbours the different triples in order (their low 32 bits), and how often each occurs."""
+
+    def run(frame: pa.Table) -> pa.Table:
+        found, n = np.unique(triples(*laid_out(*unpacked(frame["numbers"]))), return_counts=True)
+        part = found >> PAIR + BITS - bits
+        cuts = starts_of(part) if len(part) else part
+        ends = [*cuts[1:].tolist(), len(part)]
+        codes, spans = found.astype("<u4"), [*zip(cuts.tolist(), ends)]
+        columns = [pa.array(part[cuts], pa.int64()), pa.array([frame["block"][0].as_py()] * len(cuts), pa.int64())]
+        columns += [pa.array([codes[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([planes(n[a:b]) for a, b in spans], pa.binary())]
+        return pa.table(columns, ["part", "block", "codes", "n"])
+
+    return tokens.groupBy("block").applyInArrow(run, "part bigint, block bigint, codes binary, n binary")
+
+
+def answered(asks: DataFrame) -> DataFrame:
+    """(block, part, same, all): for each code of ``asked`` how often the corpus has the triple, and how often its neighbours."""
+
+    def run(frame: pa.Table) -> pa.Table:
+        lists = frame["codes"].to_pylist()
+        sizes = [len(x) // 4 for x in lists]
+        codes = np.frombuffer(b"".join(lists), dtype="<u4")
+        n = np.concatenate([from_planes(x, k) for x, k in zip(frame["n"].to_pylist(), sizes)])
+        order = np.argsort(codes, kind="stable")
+        ordered = codes[order]
+        first = starts_of(ordered)
+        same, side = np.add.reduceat(n[order], first), ordered[first] >> BITS
+        top = starts_of(side)
+        whole = np.repeat(np.add.reduceat(same, top), np.diff(np.append(top, len(side))))
+        times, cuts, back = np.diff(np.append(first, len(codes))), np.cumsum([0, *sizes]).tolist(), []
+        for x in (same, whole):
+            y = np.empty_like(n)
+            y[order] = np.repeat(x, times)
+            back.append(pa.array([planes(y[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()))
+        return pa.table([frame["block"], frame["part"], *back], ["block", "part", "same", "all"])
+
+    return asks.groupBy("part").applyInArrow(run, "block bigint, part bigint, same binary, all binary")
+
+
+def text_sums(net: Network, numbers: pa.Array | pa.ChunkedArray, own: np.ndarray, replies: pa.Table | None = None, bits: int = LEAST) -> list[pa.Array]:
+    """_key's companions n and log of texts: their words, and the sum of the logs with what the corpus has between the same neighbours mixed in."""
+    flat, sizes = unpacked(numbers)
+    tape, at = laid_out(flat, sizes)
+    logs = net.log_probs(tape, at)
+    if replies is not None and len(at):
+        found, place = np.unique(triples(tape, at), return_inverse=True)
+        first = starts_of(found >> PAIR + BITS - bits)
+        counts = np.diff(np.append(first, len(found))).tolist()
+        replies = replies.sort_by("part")
+        same, whole = (np.concatenate([from_planes(x, k) for x, k in zip(replies[c].to_pylist(), counts, strict=True)])[place] for c in ("same", "all"))
+        logs = np.log((same - 1 + PRIOR * np.exp(logs)) / (whole - 1 + PRIOR))
+    starts, some, sums = np.cumsum(sizes) - sizes, sizes > 0, own.copy()
+    sums[some] += np.add.reduceat(logs, starts[some]) if some.any() else 0.0
+    return [pa.array(sizes, pa.int64()), pa.array(sums)]
 
 
 def score(docs: DataFrame, known: list[str], weights: np.ndarray, text_col: str = "text", counts: DataFrame | None = None, listed: int = LISTED, tokens: DataFrame | None = None) -> DataFrame:
@@ -413,33 +463,33 @@ def score(docs: DataFrame, known: list[str], weights: np.ndarray, text_col: str
     """
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("log_prob_per_token", T.DoubleType())]
     kept = [f.name for f in others(docs, *(f.name for f in added))]
-    tokens = numbered(docs, known, text_col, counts, listed) if tokens is None else tokens
+    own = staged(numbered(docs, known, text_col, counts, listed), "tokens", by="step") if tokens is None else None  # once, as blocks are
+    tokens = tokens if own is None else own
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(weights)
         for batch in text_slices(batches, "numbers", SLICE // 8):
-            flat, sizes = unpacked(batch.column(1))
-            tape, at = laid_out(flat, sizes)
-            logs = net.log_probs(tape, at)
-            starts = np.cumsum(sizes) - sizes
-            sums, some = batch.column(2).to_numpy().copy(), sizes > 0
-            sums[some] += np.add.reduceat(logs, starts[some]) if some.any() else 0.0
-            asked, sides = anchors(tape, at)
-            cuts = np.searchsorted(asked, np.append(starts, len(flat)))
-            parts = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] for x in (sides.astype("<i8"), flat[asked].astype("<i4"), logs[asked].astype("<f4"))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums), *(pa.array(x, pa.binary()) for x in parts)], ["_key", "n", "log", "sides", "numbers", "logs"])
-
-    key = F.xxhash64(column(text_col)).alias("_key")
-    scored = staged(tokens.select("_key", "numbers", "own").mapInArrow(run, "_key bigint, n bigint, log double, sides binary, numbers binary, logs binary"), "scored")
-    parts = scored.select("_key", "log", F.col("n").alias("n"), F.lit(1).cast("bigint").alias("copies"))
-    asked = None
-    if counts is not None:
-        repeated, asked = repeated_logs(scored.select("_key", "sides", "numbers", "logs"))
-        more = rare_logs(docs, listed_words(counts, known, listed)[0], counts, text_col).unionByName(repeated)
-        parts = parts.unionByName(more.select("_key", "log", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("copies")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *text_sums(net, batch.column(1), batch.column(2).to_numpy())], ["_key", "n", "log"])
+
+    def mixed(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        return pa.table([texts["_key"], *text_sums(Network(weights), texts["numbers"], texts["own"].to_numpy(), replies, bits)], ["_key", "n", "log"])
+
+    key, schema, more = F.xxhash64(column(text_col)).alias("_key"), "_key bigint, n bigint, log double", None
+    if counts is None:
+        scored = tokens.select("_key", "numbers", "own").mapInArrow(alone, schema)
+    else:
+        places = counts.agg(F.sum("count")).first()[0] or 0
+        bits = min(PAIR, max(LEAST, (places // PART).bit_length()))
+        texts = tokens.select("block", "_key", "numbers", "own")
+        scored = texts.groupBy("block").cogroup(answered(asked(texts, bits)).groupBy("block")).applyInArrow(mixed, schema)
+        more = rare_logs(docs, listed_words(counts, known, listed)[0], counts, text_col)
+    none = F.lit(0).cast("bigint")
+    parts = scored.select("_key", "log", "n", F.lit(1).cast("bigint").alias("copies"))
+    if more is not None:
+        parts = parts.unionByName(more.select("_key", "log", none.alias("n"), none.alias("copies")))
     by_text = parts.groupBy("_key").agg(F.sum("copies").alias("_copies"), F.sum("log").alias("_log"), F.sum("n").alias("_n"))
     of_text = staged(by_text.select("_key", (F.col("_n") / F.col("_copies")).cast("bigint").alias("_n"), (F.col("_log") / F.col("_copies")).alias("_log")), "texts")
-    discard(scored, asked)
+    discard(own)
     rows = docs.select(key, *(column(c).alias(f"c{i}") for i, c in enumerate(kept))).join(of_text, "_key")
     per = F.col("_log") / F.greatest(F.col("_n"), F.lit(1))
     return rows.select(*(f"c{i}" for i in range(len(kept))), "_n", "_log", per.alias("_per")).toDF(*kept, *(f.name for f in added))

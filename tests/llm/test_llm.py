@@ -339,6 +339,25 @@ def test_lm_scores_against_brute_force(spark, odd_docs, listed):
     assert odd.count() == 7 and odd.columns[: len(odd_docs.columns)] == odd_docs.columns
 
 
+def test_lm_asks_the_corpus_at_every_position(spark, monkeypatch):
+    """Brute force over all places, in many blocks and parts, with neighbours that are frequent."""
+    rng = random.Random(8)
+    monkeypatch.setattr(lm_scoring, "PART", 3)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 30))) for _ in range(80)] + ["a " * 3000, "b a " * 500, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    counts = lm_scoring.word_counts(docs)
+    known, weights = lm_scoring.fit(docs, counts=counts)
+    net, numbers, places, sides = lm_scoring.Network(weights), lm_scoring.Numbers(known), Counter(), Counter()
+    laid = [lm_scoring.laid_out(*numbers(pa.array([t], pa.string()))) for t in texts]
+    for tape, at in laid:
+        places.update((int(tape[i - 1]), int(tape[i + 1]), int(tape[i])) for i in at)
+        sides.update((int(tape[i - 1]), int(tape[i + 1])) for i in at)
+    got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.score(docs, known, weights, counts=counts).collect()}
+    for d, (tape, at) in enumerate(laid):
+        want = sum(np.log((places[int(tape[i - 1]), int(tape[i + 1]), int(tape[i])] - 1 + np.exp(p)) / sides[int(tape[i - 1]), int(tape[i + 1])]) for i, p in zip(at, net.log_probs(tape, at)))
+        assert got[d] == pytest.approx(want, abs=1e-3, rel=1e-5)
+
+
 def test_lm_tells_documents_that_occur_twice(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(400)]
