@@ -27,9 +27,13 @@ def refine_crosswalk(pairs: DataFrame) -> DataFrame:
     return first_by(pairs, ["entity"], F.desc("obs"), F.asc("code"))
 
 
-def key_uniqueness(df: DataFrame, key: str, partner: str) -> DataFrame:
-    """Keys with several rows: rows and different partners."""
-    return df.groupBy(key).agg(as_count(F.count(F.lit(1))).alias("n_rows"), as_count(F.count_distinct(partner)).alias("n_partners")).where("n_rows > 1")
+def key_uniqueness(df: DataFrame, key: str, partner: str, unique: bool = False) -> DataFrame:
+    """Keys with several rows: rows and different partners.
+
+    ``unique``: no two rows have the same key and partner, as after grouping by both; partners are then counted without grouping by both again.
+    """
+    partners = F.count(partner) if unique else F.count_distinct(partner)
+    return df.groupBy(key).agg(as_count(F.count(F.lit(1))).alias("n_rows"), as_count(partners).alias("n_partners")).where("n_rows > 1")
 
 
 def pairing_report(df: DataFrame, left: str, right: str) -> DataFrame:

@@ -64,7 +64,7 @@ def refine_crosswalk(spark, d):
 
 @query(f"WITH {s.CROSSWALK} SELECT code, count(*) AS n_rows, count(DISTINCT entity) AS n_partners FROM crosswalk GROUP BY 1 HAVING count(*) > 1")
 def key_uniqueness(spark, d):
-    return ops.key_uniqueness(s.crosswalk(spark, d), "code", "entity")
+    return ops.key_uniqueness(s.crosswalk(spark, d), "code", "entity", unique=True)
 
 
 @query(f"WITH {s.CROSSWALK} SELECT entity, code, obs, p_brand AS brand FROM crosswalk JOIN part ON code = p_partkey WHERE obs >= 2")

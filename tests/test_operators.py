@@ -125,3 +125,35 @@ def test_summary_of_a_grid(spark):
     assert tuple(metrics.grid_summary(grid, "m1", "x").first()) == (2, "m1", "y", 0.5, 0.5, 0.5, 0.5, "m2", 25.0)
     zero = metrics.grid_summary(grid.withColumn("f1", F.lit(0.0)), "m1", "x").first()
     assert zero["best_model"] is None and zero["improvement_pct"] == 0.0
+
+
+def test_scorer_gets_texts_by_their_bytes(spark):
+    """However many rows a batch has, and with columns of any type beside; failures and nulls stay with their rows."""
+    docs = spark.range(400, numPartitions=1).select("id", F.repeat(F.lit("x"), F.when(F.col("id") % 7 > 0, 30_000 + F.col("id"))).alias("text"), F.array("id").alias("other"))
+
+    def scorer(texts):
+        sizes = texts.str.len().fillna(0)
+        if sizes.sum() > 3 << 20:
+            raise ValueError("too much")
+        if (sizes % 5 == 0).any():
+            raise ValueError("no score")
+        return sizes
+
+    seen = []
+    for r in documents.scored(docs, lambda texts: [float(texts.str.len().sum())] * len(texts)).collect():
+        seen.append(r["score"])
+    assert max(seen) < 3 << 20
+    for r in documents.scored(docs, scorer).collect():
+        n = len(r["text"] or "")
+        assert (r["score"], r["error"]) == ((None, "ValueError: no score") if n % 5 == 0 else (n, None)) and r["other"] == [r["id"]]
+    assert documents.scored(docs.where("false"), scorer).count() == 0
+
+
+def test_keys_of_grouped_pairs_are_counted_without_grouping_them_again(spark, small):
+    from screenlake.plans import entities as plans
+
+    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, "a"), (None, "a"), (None, "c")], "key int, partner string")
+    got = [sorted(map(tuple, entities.key_uniqueness(pairs, "key", "partner", unique=u).collect()), key=str) for u in (False, True)]
+    assert got[0] == got[1] == [(1, 3, 2), (None, 2, 2)]
+    plan = plans.key_uniqueness(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 4  # two of the pairs and two of the keys
