@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..functions.expr import as_count, rounded, token_estimate
 RESULT = "custom_id STRING, response STRUCT<body: STRUCT<choices: ARRAY<STRUCT<message: STRUCT<content: STRING>>>, usage: STRUCT<prompt_tokens: BIGINT, completion_tokens: BIGINT>>>"
 
 
+#: Bytes of text that a scorer gets at once.
+SCORED = 2 << 20
 #: What stands for an absent type and speaker, and what else than these characters is removed.
 DEFAULT_KIND, DEFAULT_SPEAKER = "Comment", "Call Participant"
 KEPT = r"\x20-\x7E\n\t -￿"
@@ -70,21 +74,39 @@ def halved(texts: pd.Series, scorer: Callable[[pd.Series], pd.Series]) -> pd.Dat
     return pd.concat([halved(texts.iloc[:middle], scorer), halved(texts.iloc[middle:], scorer)])
 
 
+def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of rows with about ``limit`` bytes of text, one row at least."""
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if total and total + n > limit:
+            yield start, i - start
+            start, total = i, 0
+        total += n
+    if start < len(texts):
+        yield start, len(texts) - start
+
+
 def scored(docs: DataFrame, scorer: Column | Callable[[pd.Series], pd.Series], text_col: str = "text") -> DataFrame:
     """``docs`` with score and error: by a column expression, or by a function of a batch of texts.
 
-    A text that the function fails on has its error and no score; the others of its batch keep theirs.
+    A text that the function fails on has its error and no score; the others of its batch keep theirs. The function gets
+    the texts of some rows, about SCORED bytes of them; other columns stay as they came.
     """
     if isinstance(scorer, Column):
         return docs.withColumns({"score": scorer.cast("double"), "error": F.lit(None).cast("string")})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at, names = docs.columns.index(text_col), [*docs.columns, "score", "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                yield batch.assign(**halved(batch[text_col], scorer))
+            for start, n in slices(batch.column(at), SCORED):
+                rows = batch.slice(start, n)
+                found = halved(rows.column(at).to_pandas(), scorer)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found["score"], pa.float64(), from_pandas=True), pa.array(found["error"], pa.string(), from_pandas=True)], names)
+        pa.default_memory_pool().release_unused()
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, f"{ddl}, score double, error string").withColumn("score", F.nanvl("score", F.lit(None)))
+    return docs.mapInArrow(run, f"{ddl}, score double, error string").withColumn("score", F.nanvl("score", F.lit(None)))
 
 
 def lexicon_score(text: Column, words: list[str]) -> Column:
