@@ -11,6 +11,9 @@ at either end must be exactly those that the neighbours' characters have alone.
 the neighbours is taken until they agree; where they never do, the text goes to the library whole. No
 join is kept beyond its slice of texts.
 
+Cores and joins are encoded many at a time: a stretch that occurs in several of them at once is encoded once, plain
+words by the merges (see ``plain_words``), all else by the library.
+
 With ``across=False`` no table of chunks is made: cores are shared by the slices of a worker only, and no text
 is shuffled.
 
@@ -35,16 +38,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Members, column, discard, others, staged, text_slices
-from .pieces import ODD, PieceEncoder, joined, safe_cuts, shared
+from .pieces import ODD, PieceEncoder, joined, ragged, safe_cuts, shared
+from .plain_words import PlainWords
 
 WINDOW = 32
 #: Chunks have 2**CHUNK_BITS bytes on the average.
 CHUNK_BITS = 8
 #: Characters of either neighbour that are encoded with a join at first.
 CONTEXT = 1
-SLICE = 1 << 20
-#: Cores that are encoded in one string.
-TOGETHER = 4
+SLICE = 2 << 20
 
 
 def cut_points(data: np.ndarray, window: int = WINDOW, bits: int = CHUNK_BITS) -> np.ndarray:
@@ -68,6 +70,7 @@ class ChunkEncoder(PieceEncoder):
     """Encodes texts by cores of chunks and joins; the memo keeps cores only, ``given`` holds ids of cores by their hash."""
 
     def __init__(self, path: str, limit: int = 20_000, separator: str | None = None):
+        self.plain = PlainWords.of(path)
         super().__init__(path, limit, separator)
         self.tokens = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())] if self.tok.decoder is None else None
         self.edges: dict[str, bytes] = {}
@@ -113,6 +116,38 @@ class ChunkEncoder(PieceEncoder):
             self.memo.keep(np.setdiff1d(np.arange(len(self.memo.known)), before + self.passing))
         return out
 
+    def library_all(self, texts: list[str], at_once: int = 16) -> Iterator[bytes]:
+        """As the library's ids, but plain words are merged here, all at once."""
+        plain = self.plain.fits(pa.array(texts, pa.large_string())) if self.plain and texts else np.zeros(len(texts), dtype=bool)
+        if not plain.any():
+            yield from super().library_all(texts, at_once)
+            return
+        words = iter(self.plain.ids([texts[i] for i in np.flatnonzero(plain)]))
+        rest = super().library_all([texts[i] for i in np.flatnonzero(~plain)], at_once)
+        for is_plain in plain:
+            yield next(words if is_plain else rest)
+
+    def encode_each(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text alone, as bytes; a stretch between safe cuts that occurs more than once in them is encoded once, none is kept for later."""
+        texts = texts.cast(pa.large_string())
+        data, starts = joined(texts)
+        if not len(data):
+            return [b""] * len(texts)
+        bounds = safe_cuts(data, starts, pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, dtype=np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_string())
+        plain = self.plain.fits(distinct) if self.plain else np.zeros(len(distinct), dtype=bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        strings = distinct.take(pa.array(order)).to_pylist()
+        n = int(plain.sum())
+        found = [*self.library_all(strings[:n]), *self.encode_new(strings[n:])]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        codes, lengths = place[codes], np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[ragged((np.cumsum(lengths) - lengths)[codes], lengths[codes])].tobytes()
+        cuts = (np.concatenate([[0], np.cumsum(lengths[codes])])[np.searchsorted(bounds, starts)] * 4).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def learn(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray, first: np.ndarray, texts: list[str]) -> list[bytes | None]:
         begin, end = bounds[first], bounds[first + 1]
         joins = self.joins(begin, end)
@@ -123,7 +158,7 @@ class ChunkEncoder(PieceEncoder):
             for i in cores:
                 out[i] = self.given.get(hash_of(texts[i].encode()))
         cores = [i for i in cores if out[i] is None]
-        for i, ids in zip(cores, self.encode_new([texts[i] for i in cores], TOGETHER)):
+        for i, ids in zip(cores, self.encode_each(pa.array([texts[i] for i in cores], pa.large_string()))):
             out[i] = ids
         text = np.searchsorted(starts, begin, side="right") - 1
         low, high = starts[text], starts[np.minimum(text + 1, len(starts) - 1)]
@@ -138,7 +173,7 @@ class ChunkEncoder(PieceEncoder):
             missing = list({x for left, right, _ in around for x in (left, right) if x and x not in self.edges})
             self.edges.update(zip(missing, self.library_all(missing)))
             again = []
-            for i, (left, right, all_), ids in zip(open_, around, self.encode_new([left + texts[i] + right for i, (left, right, _) in zip(open_, around)])):
+            for i, (left, right, all_), ids in zip(open_, around, self.encode_each(pa.array([left + texts[i] + right for i, (left, right, _) in zip(open_, around)], pa.large_string()))):
                 p, q = (len(self.edges[x]) if x else 0 for x in (left, right))
                 inner = len(ids) - p - q
                 if inner >= 0 and ids[:p] == self.edges.get(left, b"") and ids[p + inner :] == self.edges.get(right, b""):
@@ -205,9 +240,8 @@ def chunk_ids(docs: DataFrame, tokenizer: str, repeats: Repeats, text_col: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(ChunkEncoder, tokenizer)
         for batch in text_slices(batches, "core", SLICE):
-            cores = batch.column(0).to_pylist()
-            ids = encoder.encode_new([c.decode() for c in cores], TOGETHER)
-            yield pa.RecordBatch.from_arrays([pa.array(map(hash_of, cores), pa.binary()), pa.array(ids, pa.binary())], ["core", "ids"])
+            ids = encoder.encode_each(batch.column(0).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(map(hash_of, batch.column(0).to_pylist()), pa.binary()), pa.array(ids, pa.binary())], ["core", "ids"])
 
     counted = docs.select(column(text_col).alias("text")).mapInArrow(count, "core binary, n bigint")
     return counted.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core").mapInArrow(encode, "core binary, ids binary")
