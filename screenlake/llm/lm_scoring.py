@@ -47,6 +47,8 @@ from .common import column, discard, others, staged, text_slices
 KNOWN, CLASSES, SIZE = 2048, 64, 64  # CLASSES * SIZE token numbers
 EMBED, HIDDEN, REACH = 8, 16, 2
 BATCH, STEPS, RATE = 16_384, 32, 0.08
+#: Positions whose arrays stay in a core's cache; they are in order of their classes, so few classes meet in one block.
+BLOCK = 2048
 DECAY = (0.8, 0.95)  # of Adam's means of gradients and of their squares
 TOKENS = CLASSES * SIZE
 EDGE = TOKENS  # stands beyond either end of a document
@@ -133,6 +135,11 @@ def rare_logs(docs: DataFrame, listed: list[str], counts: DataFrame, text_col: s
     return words.where("log <> 0").mapInArrow(run, "_key bigint, log double")
 
 
+def hashed(words: list[str]) -> np.ndarray:
+    """The numbers of words that aren't known, as ``bucket`` has them."""
+    return KNOWN + np.fromiter((zlib.crc32(w.encode()) for w in words), dtype=np.int64, count=len(words)) % (TOKENS - KNOWN)
+
+
 class Numbers:
     """Token numbers of words, and the logs of the counts of those that share theirs.
 
@@ -143,14 +150,13 @@ class Numbers:
         self.listed, self.logs = pa.array(listed, pa.string()), np.zeros(len(listed) + 1)
         if logs is not None:
             self.logs[:-1] = logs
+        self.number = np.concatenate([np.arange(min(KNOWN, len(listed))), hashed(listed[KNOWN:])])
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         coded = words.dictionary_encode()
         place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        number = place.copy()
-        rare = np.flatnonzero((place < 0) | (place >= KNOWN))
-        strings = coded.dictionary.take(pa.array(rare)).to_pylist()
-        number[rare] = KNOWN + np.fromiter((zlib.crc32(w.encode()) for w in strings), dtype=np.int64, count=len(rare)) % (TOKENS - KNOWN)
+        number, rare = np.append(self.number, 0)[place], np.flatnonzero(place < 0)
+        number[rare] = hashed(coded.dictionary.take(pa.array(rare)).to_pylist())
         codes = coded.indices.to_numpy() if len(words) else number[:0]
         return number[codes], self.logs[place][codes]
 
@@ -168,11 +174,15 @@ def laid_out(numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return tape, at
 
 
-def by_class(c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The rows in order of their classes, and (class, start, end) of each class that occurs."""
-    order = np.argsort(c.astype(np.int16), kind="stable")
-    ends = np.cumsum(np.bincount(c, minlength=CLASSES)).tolist()
-    return order, [(n, a, b) for n, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+def by_class(token: np.ndarray) -> np.ndarray:
+    """The places of the tokens in order of their classes."""
+    return np.argsort((token // SIZE).astype(np.int16), kind="stable")
+
+
+def classes(c: np.ndarray) -> list[tuple[int, int, int]]:
+    """(class, start, end) of each class in ``c``, which is in order."""
+    cuts = np.flatnonzero(np.diff(c, prepend=-1)).tolist()
+    return [*zip(c[cuts].tolist(), cuts, [*cuts[1:], len(c)])]
 
 
 class Network:
@@ -193,31 +203,47 @@ class Network:
     def inputs(self, context: np.ndarray) -> np.ndarray:
         return np.take(self.p["embed"], context.reshape(-1), axis=0).reshape(len(context), -1)
 
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        """What the hidden units make of ``inputs``, and a 1 for the biases."""
+        h = np.ones((len(x), HIDDEN + 1), dtype="f4")
+        e = x @ self.p["w"]
+        e += self.p["b"]
+        e *= 2
+        with np.errstate(over="ignore"):
+            np.exp(e, out=e)
+        e += 1
+        np.subtract(1, np.divide(2, e, out=e), out=h[:, :-1])  # tanh
+        return h
+
+    def levels(self) -> list[tuple[np.ndarray, bool]]:
+        """The weights of the softmax over classes, then of each class, with biases as the last row; whether a logit may be large."""
+        p = self.p
+        both = [np.concatenate([p["cw"], p["cb"][None]]), *np.concatenate([p["tw"], p["tb"][:, None]], axis=1)]
+        return [(w, bool(np.abs(w).sum(axis=0).max() > 60)) for w in both]
+
     @staticmethod
-    def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """exp of each row's logits, less a common number where they are large, and the rows' sums."""
-        if x.max() > 60:
-            x = x - x.max(axis=1, keepdims=True)
-        e = np.exp(x)
+    def softmax(h: np.ndarray, w: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray]:
+        """exp of each row's logits, less a common number where they may be large, and the rows' sums."""
+        e = h @ w
+        if large:
+            e -= e.max(axis=1, keepdims=True)
+        np.exp(e, out=e)
         return e, e @ np.ones(e.shape[1], dtype=e.dtype)
 
     def log_probs(self, tape: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log p(token | both sides) at the positions ``at``."""
-        p, out = self.p, np.empty(len(at), dtype="f8")
-        for k in range(0, len(at), BATCH):
-            here = at[k : k + BATCH]
-            h = np.tanh(self.inputs(tape[here[:, None] + OFFSETS]) @ p["w"] + p["b"])
-            token = tape[here]
+        levels, out, order = self.levels(), np.empty(len(at), dtype="f8"), by_class(tape[at])
+        for here in (order[k : k + BLOCK] for k in range(0, len(at), BLOCK)):
+            places = at[here]
+            h = self.hidden(self.inputs(tape[places[:, None] + OFFSETS]))
+            token, rows = tape[places], np.arange(len(here))
             c, j = token // SIZE, token % SIZE
-            e, total = self.softmax(h @ p["cw"] + p["cb"])
-            result = np.log(e[np.arange(len(here)), c]) - np.log(total)
-            order, groups = by_class(c)
-            h, j, inner = np.take(h, order, axis=0), j[order], np.empty(len(here), dtype="f4")
-            for n, a, b in groups:
-                e, total = self.softmax(h[a:b] @ p["tw"][n] + p["tb"][n])
-                inner[a:b] = np.log(e[np.arange(b - a), j[a:b]]) - np.log(total)
-            result[order] += inner
-            out[k : k + BATCH] = result
+            e, total = self.softmax(h, *levels[0])
+            result = np.log(e[rows, c]) - np.log(total)
+            for n, a, b in classes(c):
+                e, total = self.softmax(h[a:b], *levels[1 + n])
+                result[a:b] += np.log(e[rows[: b - a], j[a:b]]) - np.log(total)
+            out[here] = result
         return out
 
     def zeros(self) -> dict[str, np.ndarray]:
@@ -225,37 +251,45 @@ class Network:
 
     def add_gradient(self, tape: np.ndarray, at: np.ndarray, sums: dict[str, np.ndarray]) -> None:
         """Add to ``sums`` the gradient of the summed loss at the positions ``at``."""
-        p, n = self.p, len(at)
-        order, groups = by_class(tape[at] // SIZE)
-        at = at[order]
-        context, token = tape[at[:, None] + OFFSETS], tape[at]
+        levels, at = self.levels(), at[by_class(tape[at])]
+        for k in range(0, len(at), BATCH):
+            here = at[k : k + BATCH]
+            context = tape[here[:, None] + OFFSETS]
+            dx = np.empty((len(here), context.shape[1] * EMBED), dtype="f4")
+            for a in range(0, len(here), BLOCK):
+                dx[a : a + BLOCK] = self.add_block(context[a : a + BLOCK], tape[here[a : a + BLOCK]], levels, sums)
+            flat = context.reshape(-1)
+            order = np.argsort(flat.astype(np.int16 if EDGE < 1 << 15 else np.int32), kind="stable")
+            sorted_ = flat[order]
+            first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+            sums["embed"][sorted_[first]] += np.add.reduceat(np.take(dx.reshape(-1, EMBED), order, axis=0), first, axis=0)
+
+    def add_block(self, context: np.ndarray, token: np.ndarray, levels: list[tuple[np.ndarray, bool]], sums: dict[str, np.ndarray]) -> np.ndarray:
+        """Add the gradient of all weights but the embeddings, for tokens in order of their classes; returns that of ``inputs``."""
+        p, rows = self.p, np.arange(len(token))
         c, j = token // SIZE, token % SIZE
         x = self.inputs(context)
-        h = np.tanh(x @ p["w"] + p["b"])
-        d, total = self.softmax(h @ p["cw"] + p["cb"])
-        d /= total[:, None]
-        d[np.arange(n), c] -= 1
-        dh = d @ p["cw"].T
-        for k, a, b in groups:
-            hk = h[a:b]
-            e, total = self.softmax(hk @ p["tw"][k] + p["tb"][k])
-            e /= total[:, None]
-            e[np.arange(b - a), j[a:b]] -= 1
-            dh[a:b] += e @ p["tw"][k].T
-            sums["tw"][k] += hk.T @ e
-            sums["tb"][k] += np.ones(b - a, dtype="f4") @ e
-        sums["cw"] += h.T @ d
-        sums["cb"] += np.ones(n, dtype="f4") @ d
-        h *= h
-        dh *= 1 - h
-        dx = (dh @ p["w"].T).reshape(-1, EMBED)
+        h = self.hidden(x)
+
+        def level(h: np.ndarray, n: int, right: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Add the gradient of level ``n`` to ``w`` and ``b``; returns that of ``h``. Divisions by the rows' sums are left to the narrow side."""
+            e, total = self.softmax(h, *levels[n])
+            e[rows[: len(h)], right] -= total
+            share = 1 / total[:, None]
+            g = (h * share).T @ e
+            w += g[:-1]
+            b += g[-1]
+            dh = e @ levels[n][0][:-1].T
+            dh *= share
+            return dh
+
+        dh = level(h, 0, c, sums["cw"], sums["cb"])
+        for k, a, b in classes(c):
+            dh[a:b] += level(h[a:b], 1 + k, j[a:b], sums["tw"][k], sums["tb"][k])
+        dh *= 1 - h[:, :-1] ** 2
         sums["w"] += x.T @ dh
-        sums["b"] += np.ones(n, dtype="f4") @ dh
-        flat = context.reshape(-1)
-        order = np.argsort(flat.astype(np.int16 if EDGE < 1 << 15 else np.int32), kind="stable")
-        sorted_ = flat[order]
-        first = np.flatnonzero(np.diff(sorted_, prepend=-1))
-        sums["embed"][sorted_[first]] += np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
+        sums["b"] += np.ones(len(x), dtype="f4") @ dh
+        return dh @ p["w"].T
 
 
 def flattened(parts: dict[str, np.ndarray]) -> np.ndarray:
@@ -317,8 +351,7 @@ def gradient(tokens: DataFrame, weights: np.ndarray) -> tuple[int, np.ndarray]:
         sums = net.zeros()
         for batch in text_slices(batches, "numbers", SLICE // 4):
             tape, at = laid_out(*unpacked(batch.column(0)))
-            for k in range(0, len(at), BATCH):
-                net.add_gradient(tape, at[k : k + BATCH], sums)
+            net.add_gradient(tape, at, sums)
             seen += len(at)
         if seen:
             flat = flattened(sums)

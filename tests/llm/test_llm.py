@@ -564,3 +564,53 @@ def test_plain_words_are_merged_as_the_library_does(monkeypatch):
     text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(4000))
     assert encoder.encode_all([text]) == [encoder.library(text).tobytes()] and sum(sent) < 0.1 * len(text)
     assert bpe.PlainWords.of(public_tokenizers.path("byte_bpe_50k.json")) is None
+
+
+def test_listed_words_are_hashed_once(monkeypatch):
+    """Words that share a number are hashed when the list is made, not again for each slice of texts."""
+    listed = [f"w{k}" for k in range(lm_scoring.KNOWN + 500)]
+    numbers, crc, asked = lm_scoring.Numbers(listed), lm_scoring.zlib.crc32, []
+    monkeypatch.setattr(lm_scoring.zlib, "crc32", lambda x: asked.append(x) or crc(x))
+    got = numbers(pa.array([" ".join(listed), "w3 new w2100 new", None, ""]))
+    want = [k if k < lm_scoring.KNOWN else lm_scoring.KNOWN + crc(w.encode()) % (lm_scoring.TOKENS - lm_scoring.KNOWN) for k, w in enumerate(listed)]
+    unknown = lm_scoring.KNOWN + crc(b"new") % (lm_scoring.TOKENS - lm_scoring.KNOWN)
+    assert got[0].tolist() == [*want, 3, unknown, want[2100], unknown] and got[1].tolist() == [len(listed), 4, 0, 0]
+    assert asked == [b"new"]
+    assert len(lm_scoring.Numbers([])(pa.array(["a b"]))[0]) == 2 and not len(numbers(pa.array([None], pa.string()))[0])
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_blocks_of_the_network_agree_with_double_precision(scale):
+    """Scores and gradients over several blocks and batches, with logits beyond the range of exp too."""
+    rng, net = np.random.default_rng(4), lm_scoring.Network(seed=5)
+    for k in ("cw", "tw"):
+        net.p[k] = (net.p[k] * 20 * scale).astype("f4")
+    net.p["tb"] += rng.normal(0, 1, net.p["tb"].shape).astype("f4")
+    sizes = np.array([3, 0, lm_scoring.BATCH + 700, 1, lm_scoring.BLOCK + 1])
+    tape, at = lm_scoring.laid_out((rng.random(int(sizes.sum())) ** 3 * lm_scoring.TOKENS).astype(np.int64), sizes)
+    p = {k: v.astype("f8") for k, v in net.p.items()}
+    x = p["embed"][tape[at[:, None] + lm_scoring.OFFSETS]].reshape(len(at), -1)
+    h, c, j = np.tanh(x @ p["w"] + p["b"]), tape[at] // lm_scoring.SIZE, tape[at] % lm_scoring.SIZE
+    outer, inner = h @ p["cw"] + p["cb"], np.einsum("nh,nhs->ns", h, p["tw"][c]) + p["tb"][c]
+    shares = [np.exp(z - z.max(axis=1, keepdims=True)) for z in (outer, inner)]
+    shares = [e / e.sum(axis=1, keepdims=True) for e in shares]
+    rows, logp = np.arange(len(at)), 0
+    for z, right in ((outer, c), (inner, j)):
+        logp = logp + z[rows, right] - z.max(axis=1) - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1))
+    got = net.log_probs(tape, at)
+    mild = logp > -80  # beyond, the single precision of exp ends
+    assert np.abs(got - logp)[mild].max() < 1e-3 and mild.mean() > 0.5
+    d, e = (s.copy() for s in shares)
+    d[rows, c] -= 1
+    e[rows, j] -= 1
+    tw = np.zeros_like(p["tw"])
+    for n in range(lm_scoring.CLASSES):
+        tw[n] = h[c == n].T @ e[c == n]
+    dz = (d @ p["cw"].T + np.einsum("ns,nhs->nh", e, p["tw"][c])) * (1 - h**2)
+    embed = np.zeros_like(p["embed"])
+    np.add.at(embed, tape[at[:, None] + lm_scoring.OFFSETS].reshape(-1), (dz @ p["w"].T).reshape(-1, lm_scoring.EMBED))
+    want = {"embed": embed, "w": x.T @ dz, "b": dz.sum(axis=0), "cw": h.T @ d, "cb": d.sum(axis=0), "tw": tw, "tb": np.stack([e[c == n].sum(axis=0) for n in range(lm_scoring.CLASSES)])}
+    sums = net.zeros()
+    net.add_gradient(tape, at, sums)
+    for k, v in want.items():
+        assert np.abs(sums[k] - v).max() < 1e-3 * np.abs(v).max() + 1e-3, k
