@@ -14,7 +14,8 @@ hashed numbers. The probability of a masked word has three parts:
 A document's score is the sum of the log probabilities of all its words. The counts of words and of
 neighbours grow with the corpus and are held by no task: both are joined in Spark, and the logs are summed
 by the hash of the text (64 bits), over its copies, and divided by their number. Only the counts of the
-LISTED most frequent words are given to every task, so that few words need the join. Texts lie in blocks (a slice
+LISTED most frequent words are given to every task, so that few words need the join. Words travel packed:
+they are dealt to parts by their crc32, and a slice of texts sends one row to each part. Texts lie in blocks (a slice
 of a task's texts); a block asks for each different triple of neighbours and number once, so frequent neighbours
 arrive as few numbers, and gets the counts back.
 
@@ -38,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,7 +61,13 @@ BITS, PAIR, SPREAD = 13, 26, 0x2545F49
 LEAST, PART = 7, 1 << 21
 LISTED = 100_000
 SLICE = 8 << 20
+#: Words of up to LONG bytes are hashed together, if they aren't FEW.
+LONG, FEW = 64, 64
+CRC = np.arange(256, dtype="u4")
+for _ in range(8):
+    CRC = np.where(CRC & 1, CRC >> 1 ^ np.uint32(0xEDB88320), CRC >> 1)
 OFFSETS = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
+NARROW = np.int16 if EDGE < 1 << 15 else np.int32  # holds a token number or EDGE
 SHAPES = {"embed": (TOKENS + 1, EMBED), "w": (2 * REACH * EMBED, HIDDEN), "b": (HIDDEN,), "cw": (HIDDEN, CLASSES), "cb": (CLASSES,), "tw": (CLASSES, HIDDEN, SIZE), "tb": (CLASSES, SIZE)}
 #: Gradients travel in rows of this many numbers, which are added one row's place at a time: 8 KB from each task.
 CHUNK = 1024
@@ -74,15 +81,68 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(some), np.bincount(parent[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
+def crc32s(words: pa.Array) -> np.ndarray:
+    """The crc32 of each word, as Spark's: a byte of all words at a time; few words and those of more than LONG bytes one by one."""
+    if len(words) < FEW:
+        return np.array([zlib.crc32(w.encode()) for w in words.to_pylist()], dtype="u4")
+    ends, data = np.frombuffer(words.buffers()[1], dtype="<i4")[words.offset : words.offset + len(words) + 1], np.frombuffer(words.buffers()[2] or b"", dtype="u1")
+    size, crc = np.diff(ends), np.full(len(words), 0xFFFFFFFF, dtype="u4")
+    order = np.argsort(-np.minimum(size, LONG).astype(np.int16), kind="stable")
+    at = ends[:-1][order].astype(np.int64)
+    for k in range(LONG):
+        n = np.count_nonzero(size > k)
+        if not n:
+            break
+        crc[:n] = CRC[(crc[:n] ^ data[at[:n] + k]) & 255] ^ crc[:n] >> 8
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    for k in np.flatnonzero(size > LONG):
+        out[k] = zlib.crc32(data[ends[k] : ends[k + 1]])
+    return out
+
+
+def dealt(words: pa.Array, bits: int) -> tuple[np.ndarray, list[tuple[int, int]], dict[str, pa.Array]]:
+    """Different words in order of 2**bits parts by their hashes: the order, the span of each part, and a row for each part with its words' lengths and bytes."""
+    part = (crc32s(words) & (1 << bits) - 1).astype(np.int16 if bits < 16 else np.int32)
+    order = np.argsort(part, kind="stable")
+    part, words = part[order], words.take(pa.array(order))
+    ends, data = np.frombuffer(words.buffers()[1], dtype="<i4")[: len(words) + 1], words.buffers()[2].to_pybytes()
+    cuts = starts_of(part)
+    spans, sizes = [*zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)])], np.diff(ends)
+    rows = {"part": pa.array(part[cuts], pa.int32()), "n": pa.array([b - a for a, b in spans], pa.int64()), "sizes": pa.array([planes(sizes[a:b]) for a, b in spans], pa.binary()), "words": pa.array([data[ends[a] : ends[b]] for a, b in spans], pa.binary())}
+    return order, spans, rows
+
+
+def from_dealt(rows: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
+    """The words of rows of ``dealt``, and the number that the column ``name`` has for each, as ``planes``."""
+    n = rows["n"].to_pylist()
+    sizes, numbers = (np.concatenate([from_planes(x, k) for x, k in zip(rows[c].to_pylist(), n)]) for c in ("sizes", name))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(rows["words"].to_pylist()))]), numbers
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, count) over all documents, counted in each task before the shuffle."""
+    """(word, count) over all documents, counted in each task before the shuffle; a task sends its words of a part as one row.
+
+    There are two parts or more for each of Spark's shuffle partitions.
+    """
+    bits = max(LEAST, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 2 * SLICE):
             counted = words_of(batch.column(0))[0].value_counts()
-            yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["word", "count"])
+            if len(counted):
+                order, spans, rows = dealt(counted.field("values"), bits)
+                counts = counted.field("counts").to_numpy()[order]
+                yield pa.RecordBatch.from_pydict(rows | {"counts": pa.array([planes(counts[a:b]) for a, b in spans], pa.binary())})
+
+    def added(rows: pa.Table) -> pa.Table:
+        words, counts = from_dealt(rows, "counts")
+        coded = words.dictionary_encode()
+        return pa.table({"word": coded.dictionary.cast(pa.string()), "count": np.bincount(coded.indices.to_numpy(), counts).astype(np.int64)})
 
-    return docs.select(column(text_col).alias("text")).mapInArrow(run, "word string, count bigint").groupBy("word").agg(F.sum("count").alias("count"))
+    sent = docs.select(column(text_col).alias("text")).mapInArrow(run, "part int, n bigint, sizes binary, words binary, counts binary")
+    return sent.groupBy("part").applyInArrow(added, "word string, count bigint")
 
 
 def bucket(word: Column) -> Column:
@@ -101,8 +161,8 @@ def shared_counts(counts: DataFrame, known: list[str]) -> np.ndarray:
     return out
 
 
-def words_of_texts(docs: DataFrame, listed: list[str], text_col: str) -> DataFrame:
-    """(word, keys) for the words of a slice that aren't listed; keys: 8 bytes for each time, of the text's hash."""
+def words_of_texts(docs: DataFrame, listed: list[str], text_col: str, bits: int) -> DataFrame:
+    """Rows of ``dealt`` for the words of a slice that aren't listed; times: how often each occurs; keys: 8 bytes for each time, of the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skip = pa.array(listed, pa.string())
@@ -111,33 +171,40 @@ def words_of_texts(docs: DataFrame, listed: list[str], text_col: str) -> DataFra
             rare = pc.invert(pc.is_in(words, skip))
             keys = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)[rare.to_numpy(zero_copy_only=False)]
             coded = words.filter(rare).dictionary_encode()
-            codes = coded.indices.to_numpy()
-            order = np.argsort(codes, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)) * 8)]).astype("i4")
-            lists = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(keys[order].astype("<i8").tobytes())])
-            yield pa.RecordBatch.from_arrays([coded.dictionary, lists], ["word", "keys"])
-
-    return docs.select(column(text_col).alias("text"), F.xxhash64(column(text_col)).alias("key")).mapInArrow(run, "word string, keys binary")
-
-
-def rare_logs(docs: DataFrame, listed: list[str], counts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(_key, log): for the hash of a text, a row for each time of a word that isn't listed, with the log of its count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0).to_pylist()
-            logs = np.repeat(batch.column(1).to_numpy(), [len(x) // 8 for x in lists])
-            keys = np.frombuffer(b"".join(lists), dtype="<i8")
-            for k in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 200_000]), pa.array(logs[k : k + 200_000])], ["_key", "log"])
-
-    words = words_of_texts(docs, listed, text_col).join(counts, "word", "left").select("keys", F.log(F.coalesce(F.col("count").cast("double"), F.lit(UNSEEN))).alias("log"))
-    return words.where("log <> 0").mapInArrow(run, "_key bigint, log double")
-
-
-def hashed(words: list[str]) -> np.ndarray:
+            if not len(coded):
+                continue
+            order, spans, rows = dealt(coded.dictionary, bits)
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            ranks, places = in_order(rank[coded.indices.to_numpy()], 32)
+            times, keys = np.bincount(ranks), keys[places].astype("<i8")
+            ends = np.concatenate([[0], np.cumsum(times)])
+            more = {"times": pa.array([planes(times[a:b]) for a, b in spans], pa.binary()), "keys": pa.array([keys[ends[a] : ends[b]].tobytes() for a, b in spans], pa.binary())}
+            yield pa.RecordBatch.from_pydict(rows | more)
+
+    return docs.select(column(text_col).alias("text"), F.xxhash64(column(text_col)).alias("key")).mapInArrow(run, "part int, n bigint, sizes binary, words binary, times binary, keys binary")
+
+
+def rare_logs(docs: DataFrame, listed: list[str], counts: DataFrame, text_col: str = "text", bits: int = LEAST) -> DataFrame:
+    """(_key, log): for the hash of a text, sums of the logs of the counts of its words that aren't listed, one from each of 2**bits parts of the words that has some."""
+
+    def run(asks: pa.Table, found: pa.Table) -> pa.Table:
+        keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0)
+        if asks.num_rows:
+            words, times = from_dealt(asks, "times")
+            place = pc.fill_null(pc.index_in(words, value_set=found["word"].combine_chunks().cast(pa.large_string())), -1).to_numpy(zero_copy_only=False)
+            logs = np.repeat(np.log(np.append(found["count"].to_numpy(), UNSEEN))[place], times)
+            keys, at = np.unique(np.frombuffer(b"".join(asks["keys"].to_pylist()), dtype="<i8")[logs != 0], return_inverse=True)
+            sums = np.bincount(at, logs[logs != 0], minlength=len(keys))
+        return pa.table({"_key": keys, "log": sums})
+
+    known = counts.select(F.crc32("word").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("part"), "word", "count")
+    return words_of_texts(docs, listed, text_col, bits).groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, "_key bigint, log double")
+
+
+def hashed(words: pa.Array) -> np.ndarray:
     """The numbers of words that aren't known, as ``bucket`` has them."""
-    return KNOWN + np.fromiter((zlib.crc32(w.encode()) for w in words), dtype=np.int64, count=len(words)) % (TOKENS - KNOWN)
+    return KNOWN + crc32s(words).astype(np.int64) % (TOKENS - KNOWN)
 
 
 class Numbers:
@@ -150,13 +217,13 @@ class Numbers:
         self.listed, self.logs = pa.array(listed, pa.string()), np.zeros(len(listed) + 1)
         if logs is not None:
             self.logs[:-1] = logs
-        self.number = np.concatenate([np.arange(min(KNOWN, len(listed))), hashed(listed[KNOWN:])])
+        self.number = np.concatenate([np.arange(min(KNOWN, len(listed))), hashed(self.listed[KNOWN:])])
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         coded = words.dictionary_encode()
         place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         number, rare = np.append(self.number, 0)[place], np.flatnonzero(place < 0)
-        number[rare] = hashed(coded.dictionary.take(pa.array(rare)).to_pylist())
+        number[rare] = hashed(coded.dictionary.take(pa.array(rare)))
         codes = coded.indices.to_numpy() if len(words) else number[:0]
         return number[codes], self.logs[place][codes]
 
@@ -174,6 +241,19 @@ def laid_out(numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return tape, at
 
 
+def contexts(tape: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The numbers of the neighbours of each position, read along the tape; a row is so short that taking rows in any order is cheap."""
+    small, out = tape.astype(NARROW), np.empty((len(at), len(OFFSETS)), dtype=NARROW)
+    for k, offset in enumerate(OFFSETS):
+        out[:, k] = small[at + offset]
+    return out
+
+
+def spots(e: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Where in the flat ``e`` each row's entry ``right`` is."""
+    return np.arange(0, e.size, e.shape[1]) + right
+
+
 def by_class(token: np.ndarray) -> np.ndarray:
     """The places of the tokens in order of their classes."""
     return np.argsort((token // SIZE).astype(np.int16), kind="stable")
@@ -233,17 +313,17 @@ class Network:
     def log_probs(self, tape: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log p(token | both sides) at the positions ``at``."""
         levels, out, order = self.levels(), np.empty(len(at), dtype="f8"), by_class(tape[at])
-        for here in (order[k : k + BLOCK] for k in range(0, len(at), BLOCK)):
-            places = at[here]
-            h = self.hidden(self.inputs(tape[places[:, None] + OFFSETS]))
-            token, rows = tape[places], np.arange(len(here))
+        context, tokens = np.take(contexts(tape, at), order, axis=0), tape[at][order]
+        for k in range(0, len(at), BLOCK):
+            h = self.hidden(self.inputs(context[k : k + BLOCK]))
+            token = tokens[k : k + BLOCK]
             c, j = token // SIZE, token % SIZE
             e, total = self.softmax(h, *levels[0])
-            result = np.log(e[rows, c]) - np.log(total)
+            result = np.log(e.reshape(-1)[spots(e, c)]) - np.log(total)
             for n, a, b in classes(c):
                 e, total = self.softmax(h[a:b], *levels[1 + n])
-                result[a:b] += np.log(e[rows[: b - a], j[a:b]]) - np.log(total)
-            out[here] = result
+                result[a:b] += np.log(e.reshape(-1)[spots(e, j[a:b])]) - np.log(total)
+            out[order[k : k + BLOCK]] = result
         return out
 
     def zeros(self) -> dict[str, np.ndarray]:
@@ -251,30 +331,27 @@ class Network:
 
     def add_gradient(self, tape: np.ndarray, at: np.ndarray, sums: dict[str, np.ndarray]) -> None:
         """Add to ``sums`` the gradient of the summed loss at the positions ``at``."""
-        levels, at = self.levels(), at[by_class(tape[at])]
+        levels, order = self.levels(), by_class(tape[at])
+        contexts_, tokens = np.take(contexts(tape, at), order, axis=0), tape[at][order]
         for k in range(0, len(at), BATCH):
-            here = at[k : k + BATCH]
-            context = tape[here[:, None] + OFFSETS]
-            dx = np.empty((len(here), context.shape[1] * EMBED), dtype="f4")
-            for a in range(0, len(here), BLOCK):
-                dx[a : a + BLOCK] = self.add_block(context[a : a + BLOCK], tape[here[a : a + BLOCK]], levels, sums)
-            flat = context.reshape(-1)
-            order = np.argsort(flat.astype(np.int16 if EDGE < 1 << 15 else np.int32), kind="stable")
-            sorted_ = flat[order]
-            first = np.flatnonzero(np.diff(sorted_, prepend=-1))
-            sums["embed"][sorted_[first]] += np.add.reduceat(np.take(dx.reshape(-1, EMBED), order, axis=0), first, axis=0)
+            context, token = contexts_[k : k + BATCH], tokens[k : k + BATCH]
+            dx = np.empty((len(token), context.shape[1] * EMBED), dtype="f4")
+            for a in range(0, len(token), BLOCK):
+                dx[a : a + BLOCK] = self.add_block(context[a : a + BLOCK], token[a : a + BLOCK], levels, sums)
+            flat = context.reshape(-1).astype(np.int64)
+            for d in range(EMBED):
+                sums["embed"][:, d] += np.bincount(flat, dx.reshape(-1, EMBED)[:, d], minlength=TOKENS + 1)
 
     def add_block(self, context: np.ndarray, token: np.ndarray, levels: list[tuple[np.ndarray, bool]], sums: dict[str, np.ndarray]) -> np.ndarray:
         """Add the gradient of all weights but the embeddings, for tokens in order of their classes; returns that of ``inputs``."""
-        p, rows = self.p, np.arange(len(token))
-        c, j = token // SIZE, token % SIZE
+        p, c, j = self.p, token // SIZE, token % SIZE
         x = self.inputs(context)
         h = self.hidden(x)
 
         def level(h: np.ndarray, n: int, right: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
             """Add the gradient of level ``n`` to ``w`` and ``b``; returns that of ``h``. Divisions by the rows' sums are left to the narrow side."""
             e, total = self.softmax(h, *levels[n])
-            e[rows[: len(h)], right] -= total
+            e.reshape(-1)[spots(e, right)] -= total
             share = 1 / total[:, None]
             g = (h * share).T @ e
             w += g[:-1]
@@ -381,13 +458,18 @@ def most_frequent(counts: DataFrame) -> list[str]:
     return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(KNOWN).collect()]
 
 
+def other_words(counts: DataFrame, known: list[str], listed: int) -> list[Row]:
+    """The listed words that aren't known, with their counts."""
+    of_known = set(known)
+    return [r for r in counts.orderBy(F.desc("count"), "word").limit(listed).collect() if r["word"] not in of_known] if known else []
+
+
 def listed_words(counts: DataFrame | None, known: list[str], listed: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The known and the other listed words, the logs of their counts (0 if known), and for each number the log of the count that its words share."""
     names, own, shared = known, np.zeros(len(known)), np.zeros(TOKENS)
     if counts is not None:
         shared[KNOWN:] = np.log(shared_counts(counts, known)[KNOWN:])
-        of_known = set(known)
-        more = [r for r in counts.orderBy(F.desc("count"), "word").limit(listed).collect() if r["word"] not in of_known] if known else []
+        more = other_words(counts, known, listed)
         names, own = [*known, *(r["word"] for r in more)], np.concatenate([own, np.log([r["count"] for r in more])])
     return names, own, shared
 
@@ -431,6 +513,16 @@ def starts_of(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
+def in_order(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``x``, of numbers below 2**bits, in order, and the places they had. The place goes into the low bits: a plain sort is some times faster than an argsort."""
+    low = len(x).bit_length()
+    if bits + low > 64:
+        order = np.argsort(x, kind="stable")
+        return x[order], order
+    both = np.sort(x.astype("u8") << np.uint64(low) | np.arange(len(x), dtype="u8"))
+    return (both >> np.uint64(low)).view("i8"), (both & np.uint64((1 << low) - 1)).view("i8")
+
+
 def asked(tokens: DataFrame, bits: int) -> DataFrame:
     """(part, block, codes, n): for each block and each of 2**bits parts of the neighbours the different triples in order (their low 32 bits), and how often each occurs."""
 
@@ -455,8 +547,7 @@ def answered(asks: DataFrame) -> DataFrame:
         sizes = [len(x) // 4 for x in lists]
         codes = np.frombuffer(b"".join(lists), dtype="<u4")
         n = np.concatenate([from_planes(x, k) for x, k in zip(frame["n"].to_pylist(), sizes)])
-        order = np.argsort(codes, kind="stable")
-        ordered = codes[order]
+        ordered, order = in_order(codes, 32)
         first = starts_of(ordered)
         same, side = np.add.reduceat(n[order], first), ordered[first] >> BITS
         top = starts_of(side)
@@ -477,12 +568,14 @@ def text_sums(net: Network, numbers: pa.Array | pa.ChunkedArray, own: np.ndarray
     tape, at = laid_out(flat, sizes)
     logs = net.log_probs(tape, at)
     if replies is not None and len(at):
-        found, place = np.unique(triples(tape, at), return_inverse=True)
+        ordered, order = in_order(triples(tape, at), PAIR + BITS)
+        begins = starts_of(ordered)
+        found, times = ordered[begins], np.diff(np.append(begins, len(ordered)))
         first = starts_of(found >> PAIR + BITS - bits)
         counts = np.diff(np.append(first, len(found))).tolist()
         replies = replies.sort_by("part")
-        same, whole = (np.concatenate([from_planes(x, k) for x, k in zip(replies[c].to_pylist(), counts, strict=True)])[place] for c in ("same", "all"))
-        logs = np.log((same - 1 + PRIOR * np.exp(logs)) / (whole - 1 + PRIOR))
+        same, whole = (np.repeat(np.concatenate([from_planes(x, k) for x, k in zip(replies[c].to_pylist(), counts, strict=True)]), times) for c in ("same", "all"))
+        logs[order] = np.log((same - 1 + PRIOR * np.exp(logs[order])) / (whole - 1 + PRIOR))
     starts, some, sums = np.cumsum(sizes) - sizes, sizes > 0, own.copy()
     sums[some] += np.add.reduceat(logs, starts[some]) if some.any() else 0.0
     return [pa.array(sizes, pa.int64()), pa.array(sums)]
@@ -515,7 +608,7 @@ def score(docs: DataFrame, known: list[str], weights: np.ndarray, text_col: str
         bits = min(PAIR, max(LEAST, (places // PART).bit_length()))
         texts = tokens.select("block", "_key", "numbers", "own")
         scored = texts.groupBy("block").cogroup(answered(asked(texts, bits)).groupBy("block")).applyInArrow(mixed, schema)
-        more = rare_logs(docs, listed_words(counts, known, listed)[0], counts, text_col)
+        more = rare_logs(docs, [*known, *(r["word"] for r in other_words(counts, known, listed))], counts, text_col, bits)
     none = F.lit(0).cast("bigint")
     parts = scored.select("_key", "log", "n", F.lit(1).cast("bigint").alias("copies"))
     if more is not None:

@@ -614,3 +614,40 @@ def test_blocks_of_the_network_agree_with_double_precision(scale):
     net.add_gradient(tape, at, sums)
     for k, v in want.items():
         assert np.abs(sums[k] - v).max() < 1e-3 * np.abs(v).max() + 1e-3, k
+
+
+def test_lm_words_travel_packed(spark):
+    """A slice sends a row to each part, not one for each of its words; counts and sums stay exact, with long and odd words too."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(3000)] + ["é" * 40, "日本語", "x" * 64, "y" * 65, "z" * 70_000]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 200))) for _ in range(60)] + [None, "", "  ", " ".join(words), " ".join(words[-5:] * 3)]
+    texts += texts[:3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    assert lm_scoring.crc32s(pa.array(words)[7:]).tolist() == [zlib.crc32(w.encode()) for w in words[7:]]
+    counts = lm_scoring.word_counts(docs)
+    count = Counter(w for t in texts for w in (t or "").split())
+    assert {r["word"]: r["count"] for r in counts.collect()} == count and counts.count() == len(count) > 2000
+    listed = sorted(count, key=lambda w: (-count[w], w))[:20]
+    sent = lm_scoring.words_of_texts(docs, listed, "text", 4)
+    assert sent.count() <= 3 * 16 and sent.agg(F.sum("n")).first()[0] >= len(count) - 20
+    seen = counts.where("word <> 'yyy' and length(word) < 60000 and count > 1")  # words that were never counted have UNSEEN
+    keys = {r["doc_id"]: r["k"] for r in docs.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    want, known = Counter(), {r["word"]: r["count"] for r in seen.collect()}
+    for d, t in enumerate(texts):
+        want[keys[d]] += sum(np.log(known.get(w, lm_scoring.UNSEEN)) for w in (t or "").split() if w not in listed)
+    got = Counter()
+    for r in lm_scoring.rare_logs(docs, listed, seen, bits=4).collect():
+        got[r["_key"]] += r["log"]
+    assert all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-9) for k, v in want.items()) and set(got) <= set(want)
+    assert lm_scoring.word_counts(docs.where("false")).count() == lm_scoring.rare_logs(docs.where("false"), listed, seen).count() == 0
+
+
+def test_lm_plain_sort_gives_the_order():
+    rng = np.random.default_rng(3)
+    for bits, dtype in ((39, "i8"), (32, "u4"), (62, "i8")):  # the last has no room for the places
+        x = rng.integers(0, 1 << bits, 5000, dtype="i8").astype(dtype) >> np.array(bits - 10, dtype)
+        x[:3] = [(1 << bits) - 1, 0, (1 << bits) - 1]
+        values, order = lm_scoring.in_order(x, bits)
+        assert (order == np.argsort(x, kind="stable")).all() and (values == x[order]).all()
+    tape, at = lm_scoring.laid_out(np.arange(50) * 83, np.array([20, 0, 30]))
+    assert (lm_scoring.contexts(tape, at) == tape[at[:, None] + lm_scoring.OFFSETS]).all() and tape.max() == lm_scoring.EDGE
